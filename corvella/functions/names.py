@@ -30,7 +30,7 @@ def person_name(raw: Column) -> Column:
     """A person's name in its usual order, without titles, notes and years; null for headings and what has no letter."""
 
     def years_out(name: Column) -> Column:
-        parts = F.filter(F.transform(F.split(name, ","), F.trim), lambda p: (p != "") & ~p.rlike(r"^\d{4}(\s*-\s*\d{0,4})?$"))
+        parts = F.filter(F.transform(F.split(name, ","), lambda p: F.trim(p)), lambda p: (p != "") & ~p.rlike(r"^\d{4}(\s*-\s*\d{0,4})?$"))
 
         def swapped(p: Column) -> Column:
             given = F.get(p, F.lit(1))

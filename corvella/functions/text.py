@@ -103,8 +103,9 @@ DENIAL = r"(?<!\b(?:not|no|without|neither|never)\b[\w\s-]{0,35})"
 
 def methodologies(text: Column, labels: Iterable[tuple[str, str]] = V.METHODOLOGIES, denials: bool = True) -> Column:
     """Labels whose pattern the text matches at least once without a denial before it, in the labels' order."""
-    prefix = f"(?i){DENIAL}" if denials else "(?i)"
-    return F.array_compact(F.array(*[F.when(text.rlike(prefix + p), F.lit(label)) for label, p in labels]))
+    # The label is looked for first, as the look-behind is dear.
+    form = f"(?i)(?=%s){DENIAL}" if denials else "(?i)%s"
+    return F.array_compact(F.array(*[F.when(text.rlike(form % p), F.lit(label)) for label, p in labels]))
 
 
 def plain_stem(token: Column) -> Column:

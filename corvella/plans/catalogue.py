@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvella.plans import corpus, graph, subjects
+from corvella.plans import corpus, graph, people, streams, subjects, texts
 
-PARTS = (graph, corpus, subjects)
+PARTS = (graph, corpus, subjects, texts, people, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
