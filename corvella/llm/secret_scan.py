@@ -241,5 +241,9 @@ def secret_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     found = find_secrets(docs)
     base = F.filter("spans", lambda s: s["ord"] < len(BASE_RULES))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["ord"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE_RULES)]
+
+    def count(i: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["ord"] == i)).cast("long").alias(f"n_{BASE_RULES[i].kind}")
+
+    counts = [count(i) for i in range(len(BASE_RULES))]
     return found.select("doc_id", *counts, hex_sha256(_listed(base)).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
