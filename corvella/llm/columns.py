@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What separates words, and what a line is stripped of.
@@ -21,6 +21,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def carried(docs: DataFrame, **more: Column) -> DataFrame:
+    """docs as one struct column, __row, beside columns of the operator's own: no name in docs can clash with them."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), *[v.alias(k) for k, v in more.items()])
+
+
+def restored(rows: DataFrame, names: list[str], *more: Column, **new: Column) -> DataFrame:
+    """The carried columns again, those in `new` replaced, then more."""
+    return rows.select(*[(new[c] if c in new else F.col("__row").getField(c)).alias(c) for c in names], *more)
+
+
 def words(text: Column) -> Column:
     """Maximal runs of anything but the six blanks; none for null."""
     spaced = F.coalesce(text, F.lit(""))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corvella.llm.columns import BLANKS, ascii_lower, hex_sha256, let
+from corvella.llm.columns import BLANKS, ascii_lower, carried, hex_sha256, let, restored
 from corvella.llm.store import Cuts, shuffle_width
 
 #: Runs of one hash are cut by document into so many, so that a line that a third of the corpus holds fills many tasks.
@@ -58,33 +58,31 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
 
 def _kept_lines(lines: Column, keep: Column) -> Column:
     """Lines whose bit is set."""
-    words = F.map_from_entries(keep)
-    dense = let(words, lambda m: F.transform(F.sequence(F.lit(0), F.expr("(size(split(__text, '\\n')) - 1) div 64").cast("int")), lambda w: F.coalesce(m[w], F.lit(-1).cast("long"))))
-    return let(dense, lambda d: F.filter(lines, lambda _, i: F.getbit(F.get(d, F.floor(i / 64).cast("int")), i % 64) == 1))
+    words = lambda m, n: F.transform(F.sequence(F.lit(0), ((n - 1) / 64).cast("int")), lambda w: F.coalesce(m[w], F.lit(-1).cast("long")))
+    return let(lines, lambda x: let(F.map_from_entries(keep), lambda m: let(words(m, F.size(x)), lambda d: F.filter(x, lambda _, i: F.getbit(F.get(d, F.floor(i / 64).cast("int")), i % 64) == 1))))
 
 
-def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """All columns of docs, with text as the bitmaps leave it, and __n_lines (before) and __n_dropped.
+def drop_lines(docs: DataFrame, bitmaps: DataFrame, *more: str) -> DataFrame:
+    """All columns of docs, with text as the bitmaps leave it, and n_lines (before) and n_dropped where asked for in `more`.
 
     Null text becomes one empty line. Only the narrow bitmaps are built into hash
     tables; the texts stream by.
     """
-    names = docs.columns
-    rows = docs.withColumn("__text", F.coalesce(F.col("text"), F.lit(""))).withColumn("__th", F.xxhash64("__text"))
-    maps = bitmaps.withColumnRenamed("__th", "__th2").hint("shuffle_hash")
-    both = rows.join(maps, rows["doc_id"].eqNullSafe(maps["__doc"]) & (rows["__th"] == maps["__th2"]), "left")
-    lines = F.split("__text", "\n")
-    text = F.when(F.col("keep").isNull(), F.col("__text")).otherwise(F.array_join(_kept_lines(lines, F.col("keep")), "\n"))
-    out = [text.alias("text") if c == "text" else rows[c] for c in names]
-    return both.select(*out, F.size(lines).cast("long").alias("__n_lines"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("__n_dropped"))
+    rows = carried(docs, __id=F.col("doc_id"), __of=F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    both = rows.join(bitmaps.hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__of") == F.col("__th")), "left")
+    whole = F.coalesce(F.col("__row.text"), F.lit(""))
+    lines = F.split(whole, "\n")
+    text = F.when(F.col("keep").isNull(), whole).otherwise(F.array_join(_kept_lines(lines, F.col("keep")), "\n"))
+    counts = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce("n_dropped", F.lit(0).cast("long"))}
+    return restored(both, docs.columns, *[counts[c].alias(c) for c in more], text=text)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, *more: str, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """docs with shared lines left in their largest document only; see keep_bitmaps and drop_lines."""
-    return drop_lines(docs, keep_bitmaps(docs, min_chars, min_docs))
+    return drop_lines(docs, keep_bitmaps(docs, min_chars, min_docs), *more)
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of each document."""
     own = docs.select("doc_id", "text")
-    return dedup_lines(own).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), hex_sha256(F.col("text")).alias("kept_sha256"))
+    return dedup_lines(own, "n_lines", "n_dropped").select("doc_id", "n_lines", "n_dropped", hex_sha256(F.col("text")).alias("kept_sha256"))

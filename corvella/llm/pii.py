@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvella.llm.columns import carried, restored
 from corvella.llm.store import Cuts
 
 KINDS = ("email", "ip", "card", "phone")
@@ -213,10 +214,11 @@ def mask(docs: DataFrame, found: DataFrame) -> DataFrame:
     def cover(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([covered(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    keyed = docs.withColumn("__key", _key())
-    both = keyed.join(spans.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(spans["__doc"]) & (keyed["__key"] == spans["__th"]), "left")
-    text = F.when(F.col("__spans").isNull(), keyed["text"]).otherwise(cover(F.when(F.col("__spans").isNotNull(), keyed["text"]), F.col("__spans")))
-    return both.select(*[text.alias("text") if c == "text" else keyed[c] for c in docs.columns])
+    rows = carried(docs, __id=F.col("doc_id"), __of=_key())
+    both = rows.join(spans.hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__of") == F.col("__th")), "left")
+    own = F.col("__row.text")
+    text = F.when(F.col("__spans").isNull(), own).otherwise(cover(F.when(F.col("__spans").isNotNull(), own), F.col("__spans")))
+    return restored(both, docs.columns, text=text)
 
 
 def covered(text: str | None, spans) -> str | None:

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvella.llm.columns import carried, restored
 from corvella.llm.components import components
 from corvella.llm.store import Cuts, shuffle_width
 
@@ -197,7 +198,8 @@ def keep_first(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
     Rows with a null id stay. The ids to drop are narrow and are built into hash tables; the texts stream by.
     """
     gone = near_duplicates(docs, width, radius).filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__gone"], "left_anti")
+    rows = carried(docs, __id=F.col("doc_id"))
+    return restored(rows.join(gone.hint("shuffle_hash"), F.col("__id") == F.col("__gone"), "left_anti"), docs.columns)
 
 
 def simhash_digests(docs: DataFrame) -> DataFrame:
