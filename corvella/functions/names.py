@@ -120,7 +120,7 @@ AFFILIATION_REWRITES = (
 
 
 def affiliation(raw: Column) -> Column:
-    out = F.trim(F.regexp_replace(raw, r"\s+", " "))
+    out = F.trim(raw)
     for pattern, to in AFFILIATION_REWRITES:
         out = F.regexp_replace(out, pattern, to)
-    return out
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
