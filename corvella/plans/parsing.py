@@ -44,6 +44,6 @@ def committee_members_parsed(t: Tables) -> DataFrame:
     return members.select("doc_id", "name", "role").distinct()
 
 
-@R.query("SELECT doc_id, 'Smith' AS author, 'Learning in ' || affiliation || ' and elsewhere' AS title FROM docs WHERE doc_id IN (SELECT doc_id FROM committee WHERE pos <= 2)")
+@R.query("SELECT doc_id, 'Smith' AS author, 'Learning in ' || replace(affiliation, '_', '') || ' and elsewhere' AS title FROM docs WHERE doc_id IN (SELECT doc_id FROM committee WHERE pos <= 2)")
 def search_terms(t: Tables) -> DataFrame:
     return bibliography_entries(t).select("doc_id", P.citation_terms("entry").alias("x")).select("doc_id", "x.author", "x.title")
