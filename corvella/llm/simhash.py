@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
+def keep_first(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """docs, all columns, without the rows whose class holds a smaller doc_id. Of rows that repeat a doc_id all or none stay.
 
     Rows with a null id stay. The ids to drop are narrow and are built into hash tables; the texts stream by.

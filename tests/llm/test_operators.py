@@ -328,7 +328,7 @@ def test_keep_first(wide):
     out = simhash.keep_first(wide)
     assert out.columns == wide.columns
     ids = {r.doc_id for r in out.select("doc_id").collect()}
-    group = {r.doc_id: r.component_id for r in simhash.near_duplicates(wide, 5).collect() if r.doc_id is not None}
+    group = {r.doc_id: r.component_id for r in simhash.near_duplicates(wide).collect() if r.doc_id is not None}
     assert ids - {None} == set(group.values())
 
 
