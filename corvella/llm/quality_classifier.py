@@ -6,7 +6,6 @@ stochastic gradient descent on the driver, over a bounded sample of labelled row
 """
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,10 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLANK_RUN = re.compile(r"[\x20\x09-\x0D]+")
-
 #: The pseudo word that stands for a word equal to the one before it. No word holds a blank.
-DOUBLED = " ="
+DOUBLED = b" ="
 
 
 @dataclass(frozen=True)
@@ -39,20 +36,54 @@ class Settings:
     seed: int = 7
 
 
-def word_features(word: str, s: Settings) -> np.ndarray:
-    """Buckets of a word and of the n-grams of it with its ends marked."""
-    if word == DOUBLED:
-        return np.full(s.doubled_weight, crc32(b" =") % s.buckets)
-    marked = f"<{word}>"
-    found = [crc32(marked.encode("utf-8", "surrogatepass"))]
+def features(words: list[bytes], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of many words at once, as (word's place, bucket) arrays: whole words, then the character n-grams of each length.
+
+    Words, in UTF-8 and without blanks, have their ends marked; n-grams are of code points and
+    are hashed as numbers, all at once.
+    """
+    if not words:
+        return []
+    found = [(np.arange(len(words)), np.fromiter((crc32(w) for w in words), dtype=np.int64, count=len(words)) % s.buckets)]
+    text = "<" + b"> <".join(words).decode("utf-8", "surrogatepass") + ">"
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    blank = code == 32
+    word = np.cumsum(blank)
     for n in s.grams:
-        found += [crc32(marked[i : i + n].encode("utf-8", "surrogatepass")) for i in range(len(marked) - n + 1)]
-    return np.array(found, dtype=np.int64) % s.buckets
+        last = len(code) - n + 1
+        if last < 1:
+            continue
+        at = np.flatnonzero((word[:last] == word[n - 1 :]) & ~blank[:last])
+        mix = np.full(len(at), n, dtype=np.uint64)
+        for k in range(n):
+            mix = (mix ^ code[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+            mix ^= mix >> np.uint64(29)
+        found.append((word[at], (mix % np.uint64(s.buckets)).astype(np.int64)))
+    return found
+
+
+#: Texts whose words are looked up together.
+TEXTS, CHARS = 512, 4_000_000
+
+
+def portions(texts: list[str | None]) -> Iterator[list[str | None]]:
+    now, size = [], 0
+    for t in texts:
+        now.append(t)
+        size += len(t or "")
+        if len(now) >= TEXTS or size >= CHARS:
+            yield now
+            now, size = [], 0
+    if now:
+        yield now
 
 
 def word_counts(text: str | None) -> Counter:
-    """Words of a whole text with their counts, and how many equal their predecessor."""
-    words = [w for w in BLANK_RUN.split(text or "") if w]
+    """Words of a whole text, in UTF-8, with their counts, and how many equal their predecessor.
+
+    Bytes are split at just the six blanks.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").split()
     counts = Counter(words)
     if doubled := sum(map(eq, words, words[1:])):
         counts[DOUBLED] = doubled
@@ -78,13 +109,15 @@ def train(texts: list[str | None], labels: list[int], s: Settings = Settings())
     if len(set(labels)) < 2:
         return Model(s, np.zeros(s.buckets, dtype=np.float32), bias)
     rng = np.random.default_rng(s.seed)
-    known: dict[str, np.ndarray] = {}
+    counted = [word_counts(t) for t in texts]
+    known = {DOUBLED: np.full(s.doubled_weight, crc32(DOUBLED) % s.buckets)}
+    words = sorted({w for c in counted for w in c} - known.keys())
+    if words:
+        place, bucket = (np.concatenate(x) for x in zip(*features(words, s), strict=True))
+        order = np.argsort(place, kind="stable")
+        known |= zip(words, np.split(bucket[order], np.searchsorted(place[order], np.arange(1, len(words)))), strict=True)
     docs = []
-    for text in texts:
-        counts = word_counts(text)
-        for w in counts:
-            if w not in known:
-                known[w] = word_features(w, s)
+    for counts in counted:
         if not counts:
             docs.append((np.zeros(0, dtype=np.int64), np.zeros((0, 1), dtype=np.float32)))
             continue
@@ -124,28 +157,36 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.kept: dict[str, tuple[float, int]] = {}
-
-    def pull(self, word: str) -> tuple[float, int]:
-        found = self.kept.get(word)
-        if found is None:
-            ids = word_features(word, self.model.settings)
-            found = (float(self.model.gain[ids].sum(dtype=np.float64)), len(ids))
-            if len(word) <= self.LONGEST_KEPT:
-                if len(self.kept) >= self.MOST_WORDS:
-                    self.kept.clear()
-                self.kept[word] = found
-        return found
-
-    def score(self, text: str | None) -> float:
-        total, n = 0.0, 0
-        # Summed in the words' order, so a text has one score wherever it is scored.
-        for w, k in word_counts(text).items():
-            g, m = self.pull(w)
-            total += k * g
-            n += k * m
-        z = self.model.bias + (total / n if n else 0.0)
-        return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
+        self.gain = model.gain.astype(np.float64)
+        s = model.settings
+        self.doubled = (float(self.gain[crc32(DOUBLED) % s.buckets]) * s.doubled_weight, s.doubled_weight)
+        self.kept: dict[bytes, tuple[float, int]] = {}
+
+    def learn(self, words: list[bytes]) -> dict[bytes, tuple[float, int]]:
+        """The summed pull and the number of each word's features; a word's sum does not depend on the others."""
+        pull, number = np.zeros(len(words)), np.zeros(len(words), dtype=np.int64)
+        for place, bucket in features(words, self.model.settings):
+            pull += np.bincount(place, weights=self.gain[bucket], minlength=len(words))
+            number += np.bincount(place, minlength=len(words))
+        return dict(zip(words, zip(pull.tolist(), number.tolist(), strict=True), strict=True))
+
+    def scores(self, texts: list[str | None]) -> Iterator[float]:
+        for part in portions(texts):
+            counted = [word_counts(t) for t in part]
+            if len(self.kept) > self.MOST_WORDS:
+                self.kept.clear()
+            made = self.learn(list(set().union(*counted).difference(self.kept, (DOUBLED,))))
+            made[DOUBLED] = self.doubled
+            self.kept.update((w, x) for w, x in made.items() if len(w) <= self.LONGEST_KEPT)
+            for counts in counted:
+                total, n = 0.0, 0
+                # Summed in the words' order, so a text has one score wherever it is scored.
+                for w, k in counts.items():
+                    g, m = self.kept.get(w) or made[w]
+                    total += k * g
+                    n += k * m
+                z = self.model.bias + (total / n if n else 0.0)
+                yield 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -172,7 +213,7 @@ def score(model: Model):
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(model)
         for texts in batches:
-            yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
+            yield pd.Series(list(scorer.scores(texts.tolist())), dtype="float64")
 
     return F.pandas_udf(each, "double")
 
