@@ -102,23 +102,6 @@ def best_label(candidates: DataFrame, least: int = 80) -> DataFrame:
     return passing.withColumn("n", n).filter("n = 1").select("topic_id", "label", "score")
 
 
-def keyword_bag(label: Column) -> Column:
-    """Whether a label only lists words: a slash, a comma list without a final and/or, or four words with nothing between."""
-    words = F.split(F.trim(label), r"\s+")
-    listed = F.contains(label, F.lit(",")) & ~F.lower(label).rlike(r",?\s(and|or)\s+\S+(\s+\S+)*$")
-    bare = (F.size(words) >= 4) & ~F.lower(label).rlike(r"\b(and|or|of|in|for|to|with|on|through|as|the|a|an|from|by|at)\b")
-    return F.contains(label, F.lit("/")) | listed | bare
-
-
-def label_score(label: Column, duplicate: Column, fallback: Column) -> Column:
-    """100 less penalties for duplicates, fallback labels, length, keyword bags and generic names; not below 0."""
-    words = F.size(F.split(F.trim(label), r"\s+"))
-    generic = F.lower(F.trim(label)).isin("topic", "research", "study", "education", "other", "miscellaneous", "general")
-    off = lambda c, n: F.when(c, n).otherwise(0)
-    score = F.lit(100) - off(duplicate, 60) - off(label == fallback, 35) - off(words < 3, 20) - off((words > 8) | (F.length(label) > 80), 15) - off(keyword_bag(label), 30) - off(generic, 50)
-    return F.greatest(score, F.lit(0))
-
-
 def first_titles(rows: DataFrame, k: int = 5) -> DataFrame:
     """topic_id, rank, title: the k distinct titles of the highest probability of each topic; rows(topic_id, title, probability)."""
     best = rows.groupBy("topic_id", "title").agg(F.max("probability").alias("p"))
@@ -131,6 +114,15 @@ def samples(rows: DataFrame, k: int = 3) -> DataFrame:
     return rows.withColumn("rank", n).filter(F.col("rank") <= k).select("topic_id", "rank", "doc_id")
 
 
+def tree_nodes(merges: DataFrame, n_leaves: int) -> DataFrame:
+    """node, left_node, right_node, distance, is_root of merges(step, a, b, distance): leaves are 0 to n_leaves - 1, step m makes node n_leaves + m."""
+    spark = merges.sparkSession
+    inner = merges.select((F.col("step") + n_leaves).cast("long").alias("node"), F.col("a").cast("long").alias("left_node"), F.col("b").cast("long").alias("right_node"), "distance", (F.col("step") == n_leaves - 2).alias("is_root"))
+    none = F.lit(None).cast("long")
+    leaves = spark.range(n_leaves).select(F.col("id").alias("node"), none.alias("left_node"), none.alias("right_node"), F.lit(0.0).alias("distance"), F.lit(n_leaves == 1).alias("is_root"))
+    return leaves.unionByName(inner)
+
+
 def kmeans(vectors: DataFrame, k: int = 10, seed: int = 7) -> DataFrame:
     """vec_id, cluster by k-means; it stands in for density clustering, which Spark has not."""
     from pyspark.ml.clustering import KMeans

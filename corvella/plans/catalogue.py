@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvella.plans import corpus, graph, parsing, people, streams, subjects, texts
+from corvella.plans import admin, corpus, graph, parsing, people, streams, subjects, texts
 
-PARTS = (graph, corpus, subjects, texts, people, streams, parsing)
+PARTS = (graph, corpus, subjects, texts, people, streams, parsing, admin)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
