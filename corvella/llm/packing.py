@@ -22,7 +22,7 @@ from corvella.llm.store import Cuts, shuffle_width
 #: Pieces that are packed together. Bins are never shared between groups.
 GROUP = 8192
 
-PACKED = "doc_id long, piece int, first long, n_words long, bin_id long, bin_at long"
+PACKED = "doc_id string, piece int, first long, n_words long, bin_id long, bin_at long"
 
 
 class Bins:
@@ -131,8 +131,9 @@ def pack(docs: DataFrame, capacity: int = 2048, source_slots: int = 2, group: in
     part = pieces.filter((F.col("n_words") > 0) & (F.col("n_words") < capacity))
     count = sized.filter(F.col("words") % capacity > 0).count()
     groups = max(1, -(-count // group))
-    dealt = part.withColumn("grp", F.pmod(F.xxhash64("doc_id", "key"), F.lit(groups))).repartition(max(1, min(groups, shuffle_width(spark))), "grp").sortWithinPartitions("grp")
-    packed = dealt.mapInPandas(_pack(capacity, source_slots), PACKED)
+    # As text, an id passes pandas whole, also beside nulls.
+    dealt = part.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("grp", F.pmod(F.xxhash64("doc_id", "key"), F.lit(groups))).repartition(max(1, min(groups, shuffle_width(spark))), "grp").sortWithinPartitions("grp")
+    packed = dealt.mapInPandas(_pack(capacity, source_slots), PACKED).withColumn("doc_id", F.col("doc_id").cast("long"))
     # Full pieces' bins are numbered below zero, by row and piece.
     alone = full.select("doc_id", "piece", "first", "n_words", (-1 - (F.col("key") * F.lit(1 << 20) + F.col("piece"))).alias("bin_id"), F.lit(0).cast("long").alias("bin_at"))
     empty = pieces.filter(F.col("n_words") == 0).select("doc_id", "piece", "first", "n_words", F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("long").alias("bin_at"))

@@ -6,8 +6,6 @@ and compacts the arrays, until no pair is left. Ids equal those of the sentencep
 library for BPE models with byte fallback and the identity normaliser.
 """
 
-from __future__ import annotations
-
 import heapq
 import re
 import struct
@@ -320,14 +318,14 @@ def token_digests(docs: DataFrame, model_path: str) -> DataFrame:
         data = f.read()
     load(data)  # refuses models that would not give the library's ids
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(load(data))
-        for b in batches:
-            rows = [(n, sha256(ids.encode()).hexdigest(), sha256(text.encode("utf-8", "surrogatepass")).hexdigest()) for part in _portions(b["text"].tolist()) for n, ids, text in encoder.encode(part)]
-            n, ids, text = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": np.array(n, dtype=np.int64), "ids_sha256": list(ids), "decoded_sha256": list(text)})
+        for texts in batches:
+            rows = [(n, sha256(ids.encode()).hexdigest(), sha256(text.encode("utf-8", "surrogatepass")).hexdigest()) for part in _portions(texts.tolist()) for n, ids, text in encoder.encode(part)]
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).astype({"n_tokens": np.int64})
 
-    return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    digests = F.pandas_udf(each, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", digests(F.col("text")).alias("t")).select("doc_id", "t.n_tokens", "t.ids_sha256", "t.decoded_sha256")
 
 
 def token_ids(docs: DataFrame, model_path: str) -> DataFrame:
@@ -335,10 +333,9 @@ def token_ids(docs: DataFrame, model_path: str) -> DataFrame:
     with open(model_path, "rb") as f:
         data = f.read()
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(load(data))
-        for b in batches:
-            ids = [[int(x) for x in s.split(",")] if s else [] for part in _portions(b["text"].tolist()) for _, s, _ in encoder.encode(part)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": ids})
+        for texts in batches:
+            yield pd.Series([[int(x) for x in s.split(",")] if s else [] for part in _portions(texts.tolist()) for _, s, _ in encoder.encode(part)], dtype=object)
 
-    return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, ids array<int>")
+    return docs.select("doc_id", F.pandas_udf(each, "array<int>")(F.col("text")).alias("ids"))

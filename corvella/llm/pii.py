@@ -109,7 +109,7 @@ def _patterns(text: str, a: int, b: int) -> list[int]:
     return [xxhash.xxh64_intdigest(p, 11) - (1 << 63) for p in found]
 
 
-SCAN = "doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, spans array<struct<kind:int,start:int,end:int>>, near array<struct<kind:int,start:int,end:int,instance:long,patterns:array<long>>>"
+SCAN = "doc_id string, th long, n_email long, n_ip long, n_card long, n_phone long, spans array<struct<kind:int,start:int,end:int>>, near array<struct<kind:int,start:int,end:int,instance:long,patterns:array<long>>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -128,9 +128,11 @@ def scan(docs: DataFrame) -> DataFrame:
                 counts = [sum(k == i for k, _, _ in seeds) for i in range(len(KINDS))]
                 near = [{"kind": k, "start": a, "end": b, "instance": xxhash.xxh64_intdigest(_instance(text[a:b]), 13) - (1 << 63), "patterns": p} for k, a, b in spots if (p := _patterns(text, a, b))]
                 rows.append((doc, th, *counts, [{"kind": k, "start": a, "end": b} for k, a, b in seeds], near))
-            yield pd.DataFrame(rows, columns=["doc_id", "th", "n_email", "n_ip", "n_card", "n_phone", "spans", "near"]).astype({"doc_id": batch["doc_id"].dtype})
+            yield pd.DataFrame(rows, columns=["doc_id", "th", "n_email", "n_ip", "n_card", "n_phone", "spans", "near"])
 
-    return docs.select("doc_id", _key().alias("th"), "text").mapInPandas(each, SCAN)
+    # As text, an id passes pandas whole, also beside nulls.
+    found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), _key().alias("th"), "text").mapInPandas(each, SCAN)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _key():

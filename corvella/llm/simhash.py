@@ -8,8 +8,6 @@ fingerprints within the radius agree on two at least, and each pair of blocks ke
 partition of the fingerprints. No link is lost by it.
 """
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -52,12 +50,10 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long. Null and empty texts have 0."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.fromiter((fingerprint(t, width) for t in b["text"]), dtype=np.uint64, count=len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+    def each(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter((fingerprint(t, width) for t in texts), dtype=np.uint64, count=len(texts)).view(np.int64))
 
-    return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, fp long")
+    return docs.select("doc_id", F.pandas_udf(each, "long")(F.col("text")).alias("fp"))
 
 
 def _blocks(radius: int) -> list[int]:

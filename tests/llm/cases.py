@@ -26,7 +26,7 @@ def texts(seed: int = 5) -> list[str | None]:
 
 def documents(spark, extra: bool = False):
     rows = [(i, t, ("en", "de", None)[i % 3], None if i % 7 == 0 else f"src{i % 2}", None if t is None else len(t)) for i, t in enumerate(texts())]
-    rows += [rows[12], rows[12], (None, "no id at all, but a text", "en", "src0", 5), (None, None, None, None, None)]
+    rows += [rows[12], rows[12], (None, "no id at all, but a text", "en", "src0", 5), ((1 << 60) + 1, "a text of a large id, longer than a double holds", "en", "src1", 50), (None, None, None, None, None)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     return df.selectExpr("*", *[f"{v} AS `{k}`" for k, v in EXTRA.items()]) if extra else df
 
