@@ -47,6 +47,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     run = W.partitionBy("__hash", "__run").orderBy(F.desc_nulls_last("__doc"), "__th", "__pos")
     firsts = ranged.withColumn("__n", F.row_number().over(run)).withColumn("__last", F.lag("__doc").over(run)).filter((F.col("__n") == 1) | ~F.col("__doc").eqNullSafe(F.col("__last")))
     shared = firsts.groupBy("__hash").agg(F.count(F.lit(1)).alias("__docs"), F.max("__doc").alias("__holder")).filter(F.col("__docs") >= min_docs).select("__hash", "__holder")
+    # Read from a table, so that Spark can split a hot hash in the join.
+    shared = cuts.cut(shared, "shared")
     gone = found.join(shared, "__hash").filter(~F.col("__doc").eqNullSafe(F.col("__holder")))
     bit = F.expr("shiftleft(1L, __pos % 64)")
     masks = gone.groupBy("__doc", "__th", F.expr("__pos div 64").cast("int").alias("__word")).agg(F.bit_or(bit).alias("__mask"))
