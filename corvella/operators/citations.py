@@ -59,10 +59,13 @@ def pending(citations: DataFrame, lookups: DataFrame) -> DataFrame:
 
 def lookup_statistics(citations: DataFrame, lookups: DataFrame) -> DataFrame:
     """One row: citations, lookups, held, absent, retryable and pending."""
-    seen = lookups.agg(F.count(F.lit(1)).alias("looked_up"), F.count_if(F.col("hits") > 0).alias("held"), F.count_if(F.col("hits") == 0).alias("absent"), F.count_if(F.col("hits").isNull() & F.col("query_title").isNotNull()).alias("retryable"))
-    total = citations.agg(F.count(F.lit(1)).alias("citations"))
-    both = seen.withColumn("k", F.lit(1)).join(total.withColumn("k", F.lit(1)), "k")
-    return both.select("citations", "looked_up", "held", "absent", "retryable", (F.col("citations") - F.col("looked_up") + F.col("retryable")).alias("pending"))
+    hits, title = F.col("hits"), F.col("query_title")
+    seen = lookups.select(F.lit(0).alias("c"), F.lit(1).alias("l"), (hits > 0).alias("held"), (hits == 0).alias("absent"), (hits.isNull() & title.isNotNull()).alias("retry"))
+    none = F.lit(False)
+    both = seen.unionByName(citations.select(F.lit(1).alias("c"), F.lit(0).alias("l"), none.alias("held"), none.alias("absent"), none.alias("retry")))
+    n = lambda c: F.count_if(F.col(c) == 1)
+    out = both.agg(n("c").alias("citations"), n("l").alias("looked_up"), F.count_if("held").alias("held"), F.count_if("absent").alias("absent"), F.count_if("retry").alias("retryable"))
+    return out.withColumn("pending", F.col("citations") - F.col("looked_up") + F.col("retryable"))
 
 
 def status(lookups: DataFrame) -> DataFrame:

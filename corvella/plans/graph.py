@@ -94,8 +94,9 @@ def citation_counts(t: Tables) -> DataFrame:
 
 @R.query("SELECT (SELECT count(*) FROM citations) AS citations, count(*) AS links, count(DISTINCT doc_id) AS documents FROM links")
 def citation_totals(t: Tables) -> DataFrame:
-    one = t.links().agg(F.count(F.lit(1)).alias("links"), F.countDistinct("doc_id").alias("documents")).withColumn("k", F.lit(1))
-    return t.citations().agg(F.count(F.lit(1)).alias("citations")).withColumn("k", F.lit(1)).join(one, "k").select("citations", "links", "documents")
+    none = F.lit(None).cast("long")
+    rows = t.links().select(none.alias("c"), "doc_id").unionByName(t.citations().select(F.col("id").alias("c"), none.alias("doc_id")))
+    return rows.agg(F.count("c").alias("citations"), F.count("doc_id").alias("links"), F.countDistinct("doc_id").alias("documents"))
 
 
 @R.query("SELECT citation_id, CASE WHEN hits IS NULL THEN 'none' WHEN hits > 0 THEN CASE WHEN bib_id IS NOT NULL THEN 'held_link' ELSE 'held' END ELSE 'check' END AS status FROM lookups")

@@ -16,7 +16,17 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, con, name):
-    assert_equal(QUERIES[name](spark, FOLDER), con, SQL[name])
+    df = QUERIES[name](spark, FOLDER)
+    assert_equal(df, con, SQL[name])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_scans_are_narrow(spark):
+    """Filters and columns reach the scan."""
+    plan = QUERIES["document_citations"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(l_orderkey,7)" in plan
+    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in plan
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
