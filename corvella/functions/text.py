@@ -163,3 +163,18 @@ def canonical_text(text: str | None, entries: tuple = V.DOMAIN_VARIANTS) -> str:
 @F.pandas_udf(StringType())
 def canonicalise(texts: pd.Series) -> pd.Series:
     return texts.map(canonical_text)
+
+
+def paragraphs(text: Column) -> Column:
+    """Parts between blank lines, or else lines, trimmed."""
+    return F.transform(F.split(text, r"\n{2,}|\r?\n"), lambda p: F.trim(p))
+
+
+# What pages say that block a download.
+BLOCK_SIGNS = ("captcha", "access denied", "verify you are human", "unusual traffic", "checking your browser")
+
+
+def blocks_download(html: Column, signs: Iterable[str] = BLOCK_SIGNS) -> Column:
+    """Whether a page is a challenge or a refusal and not the file that was asked for."""
+    low = F.lower(F.coalesce(html, F.lit("")))
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(s)) for s in signs])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvella.functions.similarity import citation_year, jaro_winkler_similarity, prefix_key
+from corvella.operators.cut import cut
 
 
 def top_cited(links: DataFrame, citations: DataFrame, lookups: DataFrame, limit: int = 50, least: int = 2) -> DataFrame:
@@ -124,15 +125,15 @@ def cluster_first(texts: DataFrame, counts: DataFrame, least: float = 0.9, round
     rank = order.select("id", F.struct(-F.col("n"), F.col("id")).alias("at"))
     first = rank.withColumnsRenamed({"id": "id_new", "at": "at_new"})
     second = rank.withColumnsRenamed({"id": "id_known", "at": "at_known"})
-    before = pairs.join(first, "id_new").join(second, "id_known").filter(F.col("at_known") < F.col("at_new")).select(F.col("id_new").alias("id"), F.col("id_known").alias("earlier"), F.col("at_known").alias("at")).distinct().checkpoint()
-    known = order.select("id").join(before.select("id").distinct(), "id", "left_anti").withColumn("canonical", F.col("id")).checkpoint()
+    before = cut(pairs.join(first, "id_new").join(second, "id_known").filter(F.col("at_known") < F.col("at_new")).select(F.col("id_new").alias("id"), F.col("id_known").alias("earlier"), F.col("at_known").alias("at")).distinct())
+    known = cut(order.select("id").join(before.select("id").distinct(), "id", "left_anti").withColumn("canonical", F.col("id")))
     for _ in range(rounds):
         settled = known.select(F.col("id").alias("earlier"), (F.col("id") == F.col("canonical")).alias("is_canonical"))
         seen = before.join(known.select("id"), "id", "left_anti").join(settled, "earlier", "left")
         judged = seen.groupBy("id").agg(F.min(F.when(F.col("is_canonical"), F.col("at"))).alias("found"), F.min(F.when(F.col("is_canonical").isNull(), F.col("at"))).alias("open"))
         # The first canonical counts once no undecided text stands before it.
-        done = judged.filter(F.col("open").isNull() | (F.col("found") < F.col("open"))).select("id", F.coalesce(F.col("found.id"), F.col("id")).alias("canonical")).checkpoint()
+        done = cut(judged.filter(F.col("open").isNull() | (F.col("found") < F.col("open"))).select("id", F.coalesce(F.col("found.id"), F.col("id")).alias("canonical")))
         if done.isEmpty():
             return known
-        known = known.unionByName(done).checkpoint()
+        known = cut(known.unionByName(done))
     raise RuntimeError("clusters did not settle")

@@ -98,3 +98,10 @@ def free_text(docs: DataFrame, needle: str, fields: tuple[str, ...]) -> DataFram
     for f in fields:
         found = found | F.coalesce(F.contains(F.lower(F.col(f).cast("string")), F.lit(low)), F.lit(False))
     return docs.filter(found)
+
+
+def sorted_by(docs: DataFrame, key: str, descending: bool = False) -> DataFrame:
+    """docs in the order of a column: texts without case, missing values as '' or 0, ties by id."""
+    kind = docs.schema[key].dataType.typeName()
+    value = F.lower(F.coalesce(F.col(key), F.lit(""))) if kind == "string" else F.coalesce(F.col(key), F.lit(0))
+    return docs.orderBy(value.desc() if descending else value.asc(), "doc_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corvella.functions import vocabulary as V
 from corvella.functions.text import let, literals, ngrams, phrase_similarity, plain_stem, tenth, tokens
+from corvella.operators.cut import cut
 
 
 def term_counts(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -160,16 +161,16 @@ def phrase_clusters(phrases: DataFrame, rounds: int = 40) -> DataFrame:
     """
     order = phrases.select("phrase", "doc_freq")
     rank = lambda c, out: order.select(F.col("phrase").alias(c), F.struct(-F.col("doc_freq"), F.col("phrase")).alias(out))
-    before = similar_phrases(phrases).join(rank("base", "at"), "base").select("phrase", "base", "at").checkpoint()
-    known = order.select("phrase").join(before.select("phrase").distinct(), "phrase", "left_anti").withColumn("base", F.col("phrase")).checkpoint()
+    before = cut(similar_phrases(phrases).join(rank("base", "at"), "base").select("phrase", "base", "at"))
+    known = cut(order.select("phrase").join(before.select("phrase").distinct(), "phrase", "left_anti").withColumn("base", F.col("phrase")))
     for _ in range(rounds):
         settled = known.select(F.col("phrase").alias("base"), (F.col("phrase") == F.col("base")).alias("is_base"))
         seen = before.join(known.select("phrase"), "phrase", "left_anti").join(settled, "base", "left")
         judged = seen.groupBy("phrase").agg(F.min(F.when(F.col("is_base"), F.col("at"))).alias("found"), F.min(F.when(F.col("is_base").isNull(), F.col("at"))).alias("open"))
-        done = judged.filter(F.col("open").isNull() | (F.col("found") < F.col("open"))).select("phrase", F.coalesce("found.phrase", "phrase").alias("base")).checkpoint()
+        done = cut(judged.filter(F.col("open").isNull() | (F.col("found") < F.col("open"))).select("phrase", F.coalesce("found.phrase", "phrase").alias("base")))
         if done.isEmpty():
             return known
-        known = known.unionByName(done).checkpoint()
+        known = cut(known.unionByName(done))
     raise RuntimeError("clusters did not settle")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvella.functions import vocabulary as V
 from corvella.functions.text import estimated_pages, methodologies, word_count
 from corvella.operators import phrases as P
+from corvella.operators.cut import cut
 from corvella.plans.registry import Registry
 from corvella.sources.views import Tables
 
@@ -114,7 +115,7 @@ def phrase_kept(t: Tables) -> DataFrame:
 
 
 def kept(t: Tables) -> DataFrame:
-    return phrase_kept(t).filter("doc_freq >= 4").checkpoint()
+    return cut(phrase_kept(t).filter("doc_freq >= 4"))
 
 
 @R.query()
