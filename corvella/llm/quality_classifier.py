@@ -125,7 +125,8 @@ def train(texts: list[str | None], labels: list[int], s: Settings = Settings())
         weight = np.repeat(np.fromiter(counts.values(), dtype=np.float64), [len(known[w]) for w in counts])
         ids, at = np.unique(ids, return_inverse=True)
         total = np.bincount(at, weights=weight)
-        docs.append((ids, (total / total.sum()).astype(np.float32)[:, None]))
+        docs.append((ids.astype(np.int32), (total / total.sum()).astype(np.float32)[:, None]))
+    del counted, known, words
     vectors = (rng.random((s.buckets, s.dim), dtype=np.float32) - 0.5) / s.dim
     out = np.zeros((2, s.dim), dtype=np.float32)
     offset = np.array([0.0, bias], dtype=np.float32)
