@@ -115,7 +115,7 @@ def phrase_kept(t: Tables) -> DataFrame:
 
 
 def kept(t: Tables) -> DataFrame:
-    return cut(phrase_kept(t).filter("doc_freq >= 4"))
+    return cut(phrase_kept(t))
 
 
 @R.query()
