@@ -1,9 +1,11 @@
 """Operators against brute force on small documents with every awkward case, and on empty tables."""
 
+import base64
 import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -256,17 +258,57 @@ def test_tokens_equal_the_library(wide):
     assert got == bag(want)
 
 
-def test_tokens_of_random_strings():
+@pytest.mark.parametrize(("passes", "stops"), [(48, 256), (0, 256), (2, 3), (0, 0)])
+def test_tokens_of_random_strings(monkeypatch, passes, stops):
+    """Also with queues, and with words finished pair by pair, almost from the start."""
+    monkeypatch.setattr(piece_tokens, "PASSES", passes)
+    monkeypatch.setattr(piece_tokens, "STOPS", stops)
     lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     model = piece_tokens.load(open(MODEL, "rb").read())
     rng = random.Random(8)
-    for _ in range(1500):
-        text = "".join(rng.choice("ab th  \n\teß漢\U0001f600▁<0x0A>") for _ in range(rng.randint(0, 120))) + " " * rng.choice([0, 0, 40])
+    signs = ["ab th  \n\teß漢\U0001f600▁<0x0A>", "thespcinr", "*-=.", "  ▁a"]
+    texts = ["".join(rng.choice(rng.choice(signs)) for _ in range(rng.randint(0, 120))) + " " * rng.choice([0, 0, 40]) for _ in range(300)]
+    texts += ["".join(rng.choice(s) for _ in range(rng.randint(0, 120))) for s in signs for _ in range(100)]
+    texts += [u * n for u in ("spec", "th", "*", "**-", " ", "return", "  th") for n in (1, 2, 7, 33, 90)]
+    for text in texts:
         ids = lib.encode(text)
         assert model.encode(text) == ids
         assert model.decode(ids) == lib.decode(ids)
 
 
+@pytest.mark.parametrize("kind", ["base64", "spaces", "letters", "few letters", "specspec"])
+def test_tokens_of_one_huge_word(kind):
+    """A million characters without a cut: the library's ids, in seconds."""
+    rng = random.Random(4)
+    n = 1_000_000
+    text = {
+        "base64": lambda: base64.b64encode(rng.randbytes(n * 3 // 4)).decode(),
+        "spaces": lambda: " " * n,
+        "letters": lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)),
+        "few letters": lambda: "".join(rng.choices("erstanio", k=n)),
+        "specspec": lambda: "spec" * (n // 4),
+    }[kind]()
+    model = piece_tokens.load(open(MODEL, "rb").read())
+    start = time.process_time()
+    ids = model.encode(text)
+    assert time.process_time() - start < 30
+    assert ids == sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(text)
+
+
+def test_tokens_across_portions():
+    """Texts share words; the words kept are forgotten at a bound."""
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    encoder = piece_tokens.Encoder(piece_tokens.load(open(MODEL, "rb").read()))
+    encoder.MOST_WORDS = 50
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.choice([1, 3, 80])))
+    for _ in range(5):
+        texts = [" ".join(word() for _ in range(40)), None, "", word()]
+        for text, (n, ids, said) in zip(texts, encoder.encode(texts)):
+            want = lib.encode(text or "")
+            assert (n, ids.decode(), said.decode()) == (len(want), ",".join(map(str, want)), lib.decode(want))
+
+
 # 6
 
 
