@@ -5,7 +5,9 @@ counts, tile against tile; tile pairs whose population counts differ by more tha
 radius are skipped. Comparing every tile with every other is quadratic in the corpus, so
 tiles are cut inside pigeonhole blocks: of `radius + 2` blocks of the 64 bits, two
 fingerprints within the radius agree on two at least, and each pair of blocks keys one
-partition of the fingerprints. No link is lost by it.
+partition of the fingerprints. Blocks that are still large are parted once more by the
+bits that are left, five times over: of five runs of those, a pair agrees on one. No link
+is lost by it.
 """
 
 from collections.abc import Iterator
@@ -56,10 +58,10 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return docs.select("doc_id", F.pandas_udf(each, "long")(F.col("text")).alias("fp"))
 
 
-def _blocks(radius: int) -> list[int]:
-    """Masks of radius + 2 runs of bits that make up the 64."""
-    cuts = [round(64 * i / (radius + 2)) for i in range(radius + 3)]
-    return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
+def _runs(bits: list[int], n: int) -> list[int]:
+    """Masks of n runs of the given bits."""
+    cuts = [round(len(bits) * i / n) for i in range(n + 1)]
+    return [sum(1 << x for x in bits[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _long(x: int) -> Column:
@@ -100,11 +102,10 @@ def _forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _compare(radius: int, small: int = 24):
-    """Links among sorted rows (block, tile, fp, rep): small groups all at once by shifted comparison, others as tiles."""
+    """Links among rows (grp, fp), those of a group together: small groups all at once by shifted comparison, others as tiles."""
 
     def whole(b: pd.DataFrame) -> pd.DataFrame:
         fp = b["fp"].to_numpy().view(np.uint64)
-        rep = b["rep"].to_numpy()
         group = b["grp"].to_numpy()
         n = len(fp)
         if not n:
@@ -122,18 +123,18 @@ def _compare(radius: int, small: int = 24):
             near = at[np.abs(pop[at] - pop[at + d]) <= radius] if len(at) else at
             if len(near):
                 near = near[np.bitwise_count(fp[near] ^ fp[near + d]) <= radius]
-                us.append(rep[near])
-                vs.append(rep[near + d])
+                us.append(fp[near])
+                vs.append(fp[near + d])
             d += 1
         for s, k in zip(starts[sizes > small], sizes[sizes > small], strict=True):
             own = slice(s, s + k)
             if links := _forest(fp[own], radius):
                 x, y = np.array(links).T
-                us.append(rep[own][x])
-                vs.append(rep[own][y])
+                us.append(fp[own][x])
+                vs.append(fp[own][y])
         if not us:
             return pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
-        return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)}).drop_duplicates()
+        return pd.DataFrame({"u": np.concatenate(us).view(np.int64), "v": np.concatenate(vs).view(np.int64)}).drop_duplicates()
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -152,39 +153,55 @@ def _compare(radius: int, small: int = 24):
     return each
 
 
+def _sizes(keyed: DataFrame, tile: int) -> DataFrame:
+    """(block, tiles) of the blocks of over `tile` rows."""
+    return keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile).select("block", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+
+
 def near_links(prints: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
-    """(u, v): links that span the classes of prints(fp, rep), one row a fingerprint, within `radius` bits.
+    """(u, v): links that span the classes of the distinct fingerprints prints(fp), within `radius` bits.
 
-    A block of over `tile` fingerprints is cut by fingerprint hash into tiles; each pair of
-    tiles is compared as a group of its own, so no task gathers more than two tiles at once.
+    A block of over `tile` fingerprints is parted by runs of its other bits; what is still
+    larger is cut by fingerprint hash into tiles, and each pair of tiles is compared as a
+    group of its own. So no task gathers more than two tiles at once.
     """
     spark = prints.sparkSession
-    masks = _blocks(radius)
-    pairs = list(combinations(range(len(masks)), 2))
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(_long(masks[i] | masks[j])).alias("bits")) for k, (i, j) in enumerate(pairs)])
-    keyed = prints.select("fp", "rep", F.explode(keys).alias("key")).select("fp", "rep", F.xxhash64("key.k", "key.bits").alias("block"))
-    full = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile).select("block", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    tiled = keyed.join(full, "block", "left").withColumn("t", F.pmod(F.xxhash64("fp", F.lit(7)), F.coalesce("tiles", F.lit(1))).cast("int"))
-    # Every tile with itself and with each other tile of its block.
-    mates = F.when(F.col("tiles").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))
-    spread = tiled.withColumn("mate", F.explode(mates))
-    spread = spread.select("fp", "rep", F.xxhash64("block", F.least("t", "mate"), F.greatest("t", "mate")).alias("grp"))
-    dealt = spread.repartition(shuffle_width(spark), "grp").sortWithinPartitions("grp", "fp")
-    return dealt.mapInPandas(_compare(radius), "u long, v long")
+    cuts = Cuts(spark, "links")
+    masks = _runs(list(range(64)), radius + 2)
+    pairs = list(combinations(masks, 2))
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(_long(a | b)).alias("bits")) for k, (a, b) in enumerate(pairs)])
+    keyed = prints.select("fp", F.explode(keys).alias("key")).select("fp", "key.k", F.xxhash64("key.k", "key.bits").alias("block"))
+    large = cuts.cut(_sizes(keyed, tile), "large")
+    if large.isEmpty():
+        dealt = keyed.select("fp", F.col("block").alias("grp"))
+    else:
+        marked = keyed.join(large, "block", "left")
+        parts = [_runs([x for x in range(64) if not (a | b) >> x & 1], radius + 1) for a, b in pairs]
+        part = F.array(*[F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(_long(m)).alias("bits")) for i, m in enumerate(p)]) for p in parts])
+        parted = marked.filter("tiles is not null").select("fp", "block", F.explode(F.get(part, F.col("k"))).alias("x")).select("fp", F.xxhash64("block", "x.i", "x.bits").alias("block"))
+        tiled = parted.join(_sizes(parted, tile), "block", "left").withColumn("t", F.pmod(F.xxhash64("fp", F.lit(7)), F.coalesce("tiles", F.lit(1))).cast("int"))
+        # Every tile with itself and with each other tile of its block.
+        mates = F.when(F.col("tiles").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))
+        spread = tiled.withColumn("mate", F.explode(mates)).select("fp", F.xxhash64("block", F.least("t", "mate"), F.greatest("t", "mate")).alias("grp"))
+        dealt = marked.filter("tiles is null").select("fp", F.col("block").alias("grp")).unionByName(spread)
+    return dealt.repartition(shuffle_width(spark), "grp").sortWithinPartitions("grp").mapInPandas(_compare(radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links of at most `radius` differing bits.
 
-    Equal fingerprints are one node. Texts without words have fingerprint 0 and link like
-    others. Repeated rows stay. A fingerprint that only null ids have gets a null component.
+    Equal fingerprints are one node, and fingerprints are the nodes of the graph, so that
+    rows with a null id link others like any row; a class that only null ids have gets a null
+    component. Texts without words have fingerprint 0 and link like others. Repeated rows
+    stay.
     """
     cuts = Cuts(docs.sparkSession, "simhash")
     prints = cuts.cut(fingerprints(docs, width), "prints")
     reps = cuts.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    known = reps.filter(F.col("rep").isNotNull())
-    found = components(near_links(known, radius))
-    classes = cuts.cut(reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "classes")
+    found = cuts.cut(components(near_links(reps.select("fp"), radius)), "found")
+    linked = reps.join(found, reps["fp"] == found["node"]).groupBy("component").agg(F.min("rep").alias("least"))
+    least = found.join(linked, "component").select(F.col("node").alias("fp"), "least")
+    classes = cuts.cut(reps.join(least, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "classes")
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
