@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvella.llm.columns import words
@@ -86,7 +87,8 @@ def pack_group(size: np.ndarray, source: np.ndarray, cluster: np.ndarray, capaci
 
 def _pack(capacity: int, source_slots: int):
     def close(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_words", "doc_id", "key", "piece"], ascending=[False, True, True, True], kind="stable", na_position="last")
+        # Rows equal in all of these are interchangeable, so the order does not depend on how they came.
+        rows = rows.sort_values(["n_words", "doc_id", "cluster", "source", "copy"], ascending=[False, True, True, True, True], kind="stable", na_position="last")
         placed = pack_group(rows["n_words"].to_numpy(), rows["source"].to_numpy(), rows["cluster"].to_numpy(), capacity, source_slots)
         bin_, at = zip(*placed, strict=True)
         group = int(rows["grp"].iloc[0])
@@ -113,28 +115,36 @@ def pack(docs: DataFrame, capacity: int = 2048, source_slots: int = 2, group: in
     and starts bin_at words into its bin. Pieces of one document may share bins with others but
     documents of equal text (a duplicate cluster) never share one, and one source is in a bin
     at most source_slots times; a null source is a source of its own. Full pieces fill bins
-    alone. Texts without words have one empty piece and no bin. Repeated rows are packed each.
-
-    Groups are cut by row hash to hold about `group` pieces, so a hot source or cluster is
-    spread over all of them, and no task holds more than one group. Rows of equal hash are
-    told apart by their order in the written table.
+    alone, numbered below zero. Texts without words, null ones too, have one empty piece and no
+    bin. Repeated rows and null ids are packed each. Other columns are not read; an empty table
+    gives an empty result.
+
+    Groups are cut by a hash of the document and the number among its repetitions to hold
+    about `group` pieces, so a hot source, cluster or row is spread over all of them, no task
+    holds more than one group, and the result does not depend on how the table is stored. Bins
+    are not shared between groups: at the end of each the last bins stay open.
     """
     spark = docs.sparkSession
     cuts = Cuts(spark, "packing")
+    row = ["doc_id", "source", "cluster", "words"]
     n = F.size(words(F.col("text"))).cast("long")
-    sized = docs.select("doc_id", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("source"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("cluster"), n.alias("words")).withColumn("key", F.monotonically_increasing_id())
-    sized = cuts.cut(sized, "sized")
-    pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("words") / capacity) - 1).cast("int"))))
-    first = F.col("piece").cast("long") * capacity
-    pieces = pieces.select("doc_id", "source", "cluster", "key", "piece", first.alias("first"), F.least(F.lit(capacity).cast("long"), F.col("words") - first).alias("n_words"))
-    full = pieces.filter(F.col("n_words") == capacity)
-    part = pieces.filter((F.col("n_words") > 0) & (F.col("n_words") < capacity))
-    count = sized.filter(F.col("words") % capacity > 0).count()
+    sized = docs.select("doc_id", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("source"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("cluster"), n.alias("words"))
+    # Equal rows are counted and numbered without one task having to hold them.
+    counted = cuts.cut(sized.groupBy(*row).agg(F.count(F.lit(1)).alias("copies")), "sized")
+    count = counted.filter(F.col("words") % capacity > 0).agg(F.sum("copies")).first()[0] or 0
     groups = max(1, -(-count // group))
+    each = counted.select(*row, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    each = each.withColumn("grp", F.pmod(F.xxhash64("doc_id", "cluster", "source", "copy"), F.lit(groups)))
+    full = F.expr(f"words div {capacity}")
+    wide = max(1, min(groups, shuffle_width(spark)))
     # As text, an id passes pandas whole, also beside nulls.
-    dealt = part.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("grp", F.pmod(F.xxhash64("doc_id", "key"), F.lit(groups))).repartition(max(1, min(groups, shuffle_width(spark))), "grp").sortWithinPartitions("grp")
-    packed = dealt.mapInPandas(_pack(capacity, source_slots), PACKED).withColumn("doc_id", F.col("doc_id").cast("long"))
-    # Full pieces' bins are numbered below zero, by row and piece.
-    alone = full.select("doc_id", "piece", "first", "n_words", (-1 - (F.col("key") * F.lit(1 << 20) + F.col("piece"))).alias("bin_id"), F.lit(0).cast("long").alias("bin_at"))
-    empty = pieces.filter(F.col("n_words") == 0).select("doc_id", "piece", "first", "n_words", F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("long").alias("bin_at"))
+    last = each.filter(F.col("words") % capacity > 0).select(F.col("doc_id").cast("string").alias("doc_id"), "source", "cluster", "copy", full.cast("int").alias("piece"), (full * capacity).alias("first"), (F.col("words") % capacity).alias("n_words"), "grp")
+    packed = last.repartition(wide, "grp").sortWithinPartitions("grp").mapInPandas(_pack(capacity, source_slots), PACKED).withColumn("doc_id", F.col("doc_id").cast("long"))
+    # Full pieces are numbered within their group.
+    long = each.filter(F.col("words") >= capacity).withColumn("full", full)
+    before = F.sum("full").over(W.partitionBy("grp").orderBy("doc_id", "cluster", "source", "copy").rowsBetween(W.unboundedPreceding, -1))
+    alone = long.withColumn("before", F.coalesce(before, F.lit(0).cast("long"))).select("doc_id", "grp", "before", F.posexplode(F.expr("sequence(1L, full)")).alias("piece", "one"))
+    alone = alone.select("doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("first"), F.lit(capacity).cast("long").alias("n_words"), (-1 - (F.shiftleft("grp", 32) + F.col("before") + F.col("piece"))).alias("bin_id"), F.lit(0).cast("long").alias("bin_at"))
+    zero = F.lit(0).cast("long")
+    empty = each.filter(F.col("words") == 0).select("doc_id", F.lit(0).alias("piece"), zero.alias("first"), zero.alias("n_words"), F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("long").alias("bin_at"))
     return packed.unionByName(alone).unionByName(empty)
