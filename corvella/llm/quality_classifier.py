@@ -23,10 +23,9 @@ DOUBLED = b" ="
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled rows that the fit sees at most, those of the smallest id hashes. sample_chars: longer texts are not fitted on."""
+    """sample: labelled rows that the fit sees at most, those of the smallest id hashes, with whole texts of any length."""
 
     sample: int = 4000
-    sample_chars: int = 20_000
     buckets: int = 1 << 17
     dim: int = 8
     grams: tuple[int, ...] = (3, 4)
@@ -99,8 +98,21 @@ class Model:
     bias: float
 
 
-def train(texts: list[str | None], labels: list[int], s: Settings = Settings()) -> Model:
-    """Fits vectors and the softmax by gradient descent, one document a step, with a falling rate.
+def weighted(text: str | None, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a whole text's features, ascending, and their shares, as 32-bit numbers; both empty for a text without words."""
+    counts = word_counts(text)
+    doubled = counts.pop(DOUBLED, 0)
+    times = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+    total = np.zeros(s.buckets)
+    for place, bucket in features(list(counts), s):
+        total += np.bincount(bucket, weights=times[place], minlength=s.buckets)
+    total[crc32(DOUBLED) % s.buckets] += doubled * s.doubled_weight
+    ids = np.flatnonzero(total)
+    return ids.astype(np.int32), (total[ids] / max(total.sum(), 1)).astype(np.float32)
+
+
+def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], s: Settings = Settings()) -> Model:
+    """Fits vectors and the softmax by gradient descent, one document (as weighted() gives it) a step, with a falling rate.
 
     Without rows, or with one class only, the score is constant: the smoothed share of class 1.
     """
@@ -109,24 +121,6 @@ def train(texts: list[str | None], labels: list[int], s: Settings = Settings())
     if len(set(labels)) < 2:
         return Model(s, np.zeros(s.buckets, dtype=np.float32), bias)
     rng = np.random.default_rng(s.seed)
-    counted = [word_counts(t) for t in texts]
-    known = {DOUBLED: np.full(s.doubled_weight, crc32(DOUBLED) % s.buckets)}
-    words = sorted({w for c in counted for w in c} - known.keys())
-    if words:
-        place, bucket = (np.concatenate(x) for x in zip(*features(words, s), strict=True))
-        order = np.argsort(place, kind="stable")
-        known |= zip(words, np.split(bucket[order], np.searchsorted(place[order], np.arange(1, len(words)))), strict=True)
-    docs = []
-    for counts in counted:
-        if not counts:
-            docs.append((np.zeros(0, dtype=np.int64), np.zeros((0, 1), dtype=np.float32)))
-            continue
-        ids = np.concatenate([known[w] for w in counts])
-        weight = np.repeat(np.fromiter(counts.values(), dtype=np.float64), [len(known[w]) for w in counts])
-        ids, at = np.unique(ids, return_inverse=True)
-        total = np.bincount(at, weights=weight)
-        docs.append((ids.astype(np.int32), (total / total.sum()).astype(np.float32)[:, None]))
-    del counted, known, words
     vectors = (rng.random((s.buckets, s.dim), dtype=np.float32) - 0.5) / s.dim
     out = np.zeros((2, s.dim), dtype=np.float32)
     offset = np.array([0.0, bias], dtype=np.float32)
@@ -135,7 +129,7 @@ def train(texts: list[str | None], labels: list[int], s: Settings = Settings())
         for i in rng.permutation(len(docs)):
             rate = s.rate * (1 - done / steps)
             done += 1
-            ids, weight = docs[i]
+            ids, weight = docs[i][0], docs[i][1][:, None]
             mean = (vectors[ids] * weight).sum(axis=0)
             z = out @ mean + offset
             p = np.exp(z - z.max())
@@ -198,14 +192,22 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """Learns from labels(doc_id, quality) outside the held-out fifth, at most s.sample of them.
 
-    Rows with a null id or label are no labels; of several labels for one id the largest counts.
-    The sample's ids are broadcast (s.sample rows at most) to the scan of the texts.
+    Rows with a null id or label are no labels; of several labels for one id the largest
+    counts, and of several texts for one id the first in their order. The sample's ids are
+    broadcast (s.sample rows at most) to the scan of the texts; their features are counted
+    where the texts are, and only those come to the driver.
     """
     known = labels.select("doc_id", "quality").dropna().filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("__quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
-    texts = docs.select("doc_id", "text").filter(F.coalesce(F.length("text"), F.lit(0)) <= s.sample_chars)
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    return train([r["text"] for r in rows], [int(r["__quality"] > 0) for r in rows], s)
+
+    def each(texts: pd.Series) -> pd.DataFrame:
+        made = [weighted(t, s) for t in texts]
+        return pd.DataFrame({"ids": [i.tobytes() for i, _ in made], "shares": [w.tobytes() for _, w in made]})
+
+    one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "__quality").agg(F.min("text").alias("text"))
+    counted = one.select("doc_id", "__quality", F.pandas_udf(each, "ids binary, shares binary")("text").alias("x"), F.xxhash64("doc_id").alias("h"))
+    rows = sorted(counted.select("doc_id", "__quality", "x.ids", "x.shares", "h").collect(), key=lambda r: (r["h"], r["doc_id"]))
+    return train([(np.frombuffer(r["ids"], dtype=np.int32), np.frombuffer(r["shares"], dtype=np.float32)) for r in rows], [int(r["__quality"] > 0) for r in rows], s)
 
 
 def score(model: Model):
@@ -225,6 +227,11 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 from 0.3 up)."""
+    """doc_id, held_out, score, predicted (1 from 0.3 up): one row for each row of docs.
+
+    Null, empty and blank texts have the score of no features, which is the bias alone. Equal
+    texts have equal scores, so repeated rows do; a null id is held out or not as if it had no
+    digits. Other columns are not read; an empty table gives an empty result.
+    """
     out = docs.select("doc_id", score(fit(docs, labels, s))(F.col("text")).alias("score"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
