@@ -32,6 +32,16 @@ TILE = 2048
 CHUNK = 1 << 16
 
 
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit, highest bit first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def majority(count: np.ndarray, n: int) -> int:
+    """The fingerprint: a bit is 1 if over half of the n hashes have it."""
+    return int.from_bytes(np.packbits(count * 2 > n).tobytes(), "big")
+
+
 def fingerprint(text: str | None, width: int = 4) -> int:
     """64-bit SimHash over XXH64 of the text's word shingles, A-Z lower-cased; 0 for a text without words."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -44,9 +54,8 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, CHUNK):
         part = found[at : min(n, at + CHUNK) + width - 1]
-        hashes = np.fromiter((digest(s, SEED) for s in map(b" ".join, zip(*(part[i:] for i in range(width)), strict=False))), dtype=">u8")
-        count += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(count * 2 > n).tobytes(), "big")
+        count += ones(np.fromiter((digest(s, SEED) for s in map(b" ".join, zip(*(part[i:] for i in range(width)), strict=False))), dtype=np.uint64))
+    return majority(count, n)
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:

@@ -6,27 +6,12 @@ so that a lost executor costs a reread and not a recomputation.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: as set for the session, else that of the context, else (local runs only) a temporary one."""
-    named = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {KEY} to a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return shared_dir(spark)
+from corvella.operators.cut import shared_dir
 
 
 class Cuts:
@@ -52,5 +37,14 @@ class Cuts:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of keys that may be sent to every task: 16 MB or so for one long.
+FEW_ROWS = 1_000_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """A written table of narrow keys as the small side of a join: sent to the large side if it has at most FEW_ROWS rows, so that texts need not move, and else built into hash tables beside them."""
+    return F.broadcast(keys) if keys.count() <= FEW_ROWS else keys.hint("shuffle_hash")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvella.llm import near_copies
+from corvella.llm import near_copies, simhash, store
 from tests.llm.cases import SCHEMA, documents, empty
 
 
@@ -70,18 +70,51 @@ def test_stage_drops_copies_of_few_edits(spark):
     assert {r.doc_id for r in out.select("doc_id").collect()} == set(classes(texts).values())
 
 
-def test_awkward_documents(spark):
+def test_awkward_documents(spark, monkeypatch):
+    """Also with the ids to drop in a shuffled join, as where they are many."""
     docs = documents(spark, extra=True)
-    out = near_copies.keep_first(docs)
-    assert out.columns == docs.columns
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    want = set(classes([x for x in rows if x[0] is not None]).values())
-    kept = [r.doc_id for r in out.select("doc_id").collect()]
-    assert set(kept) - {None} == want
-    assert kept.count(None) == sum(i is None for i, _ in rows)
+    # A row without id can link two others, so each is a node; the least id of a class is that of its rows with one.
+    of = classes(list(enumerate(t for _, t in rows)))
+    least = {}
+    for at, (i, _) in enumerate(rows):
+        if i is not None:
+            least[of[at]] = min(i, least.get(of[at], i))
+    for most in (store.FEW_ROWS, -1):
+        monkeypatch.setattr(store, "FEW_ROWS", most)
+        out = near_copies.keep_first(docs)
+        assert out.columns == docs.columns
+        kept = [r.doc_id for r in out.select("doc_id").collect()]
+        assert set(kept) - {None} == set(least.values())
+        assert kept.count(None) == sum(i is None for i, _ in rows)
     assert near_copies.keep_first(empty(spark)).count() == 0
 
 
+def test_links_through_rows_without_id(spark):
+    """A chain whose middle has no id is one class."""
+    base = [f"w{i}" for i in range(100)]
+    chain = [" ".join([*base[k:], *(f"x{j}" for j in range(k))]) for k in (0, 8, 16)]
+    docs = spark.createDataFrame([(7, chain[0]), (None, chain[1]), (3, chain[2]), (None, "alone")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in near_copies.near_copies(docs).collect()}
+    assert got == {(7, 3), (None, 3), (3, 3), (None, None)}
+
+
+def test_fingerprints_do_not_lose_similar_pairs():
+    """Pairs at the threshold of similarity stay far within the radius, and parities never differ in more places than the sets."""
+    rng = random.Random(1)
+    most = 0
+    for n in (9, 18, 45, 180, 900):
+        for _ in range(200):
+            a = np.array(sorted(rng.getrandbits(64) for _ in range(n)), dtype=np.uint64)
+            k = n // 9
+            b = np.array(sorted([*rng.sample(a.tolist(), n - k), *(rng.getrandbits(64) for _ in range(k))]), dtype=np.uint64)
+            x, y = (simhash.majority(simhash.ones(h), len(h)) for h in (a, b))
+            most = max(most, (x ^ y).bit_count())
+            p, q = (np.frombuffer(near_copies.parities(h), dtype=np.uint8) for h in (a, b))
+            assert np.bitwise_count(p ^ q).sum() <= 2 * k
+    assert most <= near_copies.RADIUS - 4
+
+
 def test_prefix_meets_every_similar_set():
     for n in range(1, 400):
         least = -(-n * 4 // 5)
