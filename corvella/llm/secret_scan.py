@@ -156,31 +156,69 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th"))
 
 
+def trigrams_of(rules: tuple[SecretRule, ...]) -> list[str]:
+    """The trigrams that the rules' queries ask for."""
+    return sorted({t for r in rules for c in trigram_query(r.regex) or () for t in c})
+
+
 def trigram_postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """The inverted index over the given trigrams of lower-cased texts: (trigram, doc_id, th), one row a document that has it.
 
-    th is the text's hash: rows are told apart by doc_id and text, so repeated and null ids are no special case.
+    th is the text's hash: rows are told apart by doc_id and text, so repeated and null ids are
+    no special case. Written as a table, it serves any rules that ask for no other trigrams.
     """
     low = _keyed(docs).withColumn("low", F.lower("text"))
-    has = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams]))
+    has = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams])) if trigrams else F.array().cast("array<string>")
     return low.select(F.explode(has).alias("trigram"), "doc_id", "th")
 
 
+#: Trigrams of one mask.
+BITS = 60
+
+
 def candidates(postings: DataFrame, queries: dict[str, set[Query]]) -> DataFrame:
     """Intersects postings: (doc_id, th, rules), the kinds whose Boolean query a document meets."""
     every = sorted({t for q in queries.values() for c in q for t in c})
-    at = {t: i for i, t in enumerate(every)}
-    if len(every) > 63:
-        raise ValueError("more than 63 trigrams: split the rules into several sets")
-    place = reduce(lambda col, t: col.when(F.col("trigram") == t, F.lit(1 << at[t]).cast("long")), every, F.when(F.lit(False), F.lit(0).cast("long")))
-    masks = postings.groupBy("doc_id", "th").agg(F.bit_or(place).alias("mask"))
+    at = {t: divmod(i, BITS) for i, t in enumerate(every)}
+    # Each trigram is a bit of one of as many masks as are needed.
+    places = F.create_map(*[F.lit(x) for i, t in enumerate(every) for x in (t, i)])
+    place = F.element_at(places, F.col("trigram"))
+    bit = F.expr(f"shiftleft(1L, __place % {BITS})")
+    masks = [F.coalesce(F.bit_or(F.when(F.expr(f"__place div {BITS} = {w}"), bit)), F.lit(0).cast("long")).alias(f"m{w}") for w in range(-(-len(every) // BITS))]
+    found = postings.filter(F.col("trigram").isin(every)).withColumn("__place", place).groupBy("doc_id", "th").agg(*masks)
 
     def met(query: set[Query]) -> Column:
-        each = [F.col("mask").bitwiseAND(F.lit(m).cast("long")) == m for m in (sum(1 << at[t] for t in c) for c in query)]
-        return reduce(lambda a, b: a | b, each)
+        def all_of(c: Query) -> Column:
+            need: dict[int, int] = {}
+            for t in c:
+                word, place = at[t]
+                need[word] = need.get(word, 0) | 1 << place
+            return reduce(lambda a, b: a & b, [F.col(f"m{w}").bitwiseAND(F.lit(m).cast("long")) == m for w, m in need.items()])
+
+        return reduce(lambda a, b: a | b, [all_of(c) for c in query])
 
     rules = F.array_compact(F.array(*[F.when(met(q), F.lit(k)) for k, q in queries.items()]))
-    return masks.select("doc_id", "th", rules.alias("rules")).filter(F.size("rules") > 0)
+    return found.select("doc_id", "th", rules.alias("rules")).filter(F.size("rules") > 0)
+
+
+#: Matches whose places are added up together; the sums of such runs are added up once more.
+RUN = 256
+
+
+def _running(sizes: Column) -> Column:
+    """Before each of an array's numbers, the sum of those before it: in runs, so that long arrays take time in proportion."""
+    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("out"))
+
+    def sums(numbers: Column) -> Column:
+        return F.aggregate(numbers, zero, lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out")))["out"]
+
+    def whole(x: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(x)), F.lit(RUN))
+        runs = F.transform(firsts, lambda i: F.slice(x, i, F.lit(RUN)))
+        totals = F.transform(runs, lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda a, b: a + b))
+        return let(runs, lambda r: let(sums(totals), lambda before: F.flatten(F.transform(r, lambda own, k: F.transform(sums(own), lambda s: s + F.get(before, k))))))
+
+    return let(sizes, whole)
 
 
 def _spans(text: Column, rule: SecretRule, order: int) -> Column:
@@ -188,48 +226,51 @@ def _spans(text: Column, rule: SecretRule, order: int) -> Column:
 
     The pieces between matches and the matches themselves give the offsets.
     """
-    found = F.struct(
-        F.split(text, rule.regex, -1).alias("gap"),
-        F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)).alias("hit"),
-        F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)).alias("val"),
-    )
-    kind = "struct<at:long,out:array<struct<start:long,ord:int,end:long,kind:string>>>"
+    hit = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group))
+    whole = F.struct(F.split(text, rule.regex, -1).alias("gap"), hit.alias("hit"), *([value.alias("val")] if rule.group else []))
 
     def walk(s: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(s["gap"], i))
-            end = start + F.length(F.get(s["hit"], i))
-            one = F.array(F.struct(start.cast("long").alias("start"), F.lit(order).alias("ord"), end.cast("long").alias("end"), F.lit(rule.kind).alias("kind")))
-            return F.struct(end.cast("long").alias("at"), F.when(F.length(F.get(s["val"], i)) >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out")).cast(kind)
+        n = F.size(s["hit"])
+        sizes = F.zip_with(F.slice(s["gap"], F.lit(1), n), s["hit"], lambda g, h: (F.length(g) + F.length(h)).cast("long"))
+
+        def placed(before: Column) -> Column:
+            def one(i: Column) -> Column:
+                start = F.get(before, i) + F.length(F.get(s["gap"], i))
+                return F.struct(start.alias("start"), F.lit(order).alias("ord"), (start + F.length(F.get(s["hit"], i))).alias("end"), F.lit(rule.kind).alias("kind"))
+
+            good = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.length(F.get(s["val" if rule.group else "hit"], i)) >= rule.least)
+            return F.transform(good, one)
+
+        return F.when(n > 0, let(_running(sizes), placed)).otherwise(F.array().cast(SPANS))
+
+    return let(whole, walk)
 
-        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().alias("out")).cast(kind)
-        places = F.when(F.size(s["hit"]) > 0, F.sequence(F.lit(0), F.size(s["hit"]) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, zero, step)["out"]
 
-    return let(found, walk)
+SPANS = "array<struct<start:long,ord:int,end:long,kind:string>>"
 
 
-def find_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
+def find_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = BASE_RULES + MORE_RULES, postings: DataFrame | None = None) -> DataFrame:
     """(doc_id, spans) for each row of docs: array<struct<start, ord, end, kind>> by start, then the rule's place in `rules`.
 
-    Null and empty texts have no spans; repeated rows each have their own; other columns are not read.
-    The postings are written as a table; the texts are shuffled once, to meet their candidates.
+    Null and empty texts have no spans; repeated rows each have their own; other columns are
+    not read; an empty table gives an empty result. postings is an index of these texts that
+    has the rules' trigrams (see trigram_postings); without it the trigrams are indexed here.
+    The texts are shuffled once, to meet their candidates.
     """
     cuts = Cuts(docs.sparkSession, "secrets")
-    queries = {r.kind: trigram_query(r.regex) for r in rules}
-    queries = {k: q for k, q in queries.items() if q}
-    none = F.array().cast("array<struct<start:long,ord:int,end:long,kind:string>>")
+    queries = {r.kind: q for r in rules if (q := trigram_query(r.regex))}
     rows = _keyed(docs)
     if queries:
-        postings = cuts.cut(trigram_postings(docs, sorted({t for q in queries.values() for c in q for t in c})), "postings")
-        able = candidates(postings, queries).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), "rules")
+        index = cuts.cut(trigram_postings(docs, trigrams_of(rules)), "postings") if postings is None else postings
+        able = candidates(index, queries).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), "rules")
         rows = rows.join(able.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("th") == F.col("__th")), "left")
     else:
         rows = rows.withColumn("rules", F.array().cast("array<string>"))
     each = []
     for i, r in enumerate(rules):
         wanted = F.array_contains("rules", r.kind) if r.kind in queries else F.rlike("text", F.lit(r.regex))
-        each.append(F.when(wanted, _spans(F.col("text"), r, i)).otherwise(none))
+        each.append(F.when(wanted, _spans(F.col("text"), r, i)).otherwise(F.array().cast(SPANS)))
     return rows.select("doc_id", F.array_sort(F.concat(*each)).alias("spans"))
 
 
@@ -238,7 +279,7 @@ def _listed(spans: Column) -> Column:
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans: one row for each row of docs; null and empty texts have no spans and the digest of no characters."""
     found = find_secrets(docs)
     base = F.filter("spans", lambda s: s["ord"] < len(BASE_RULES))
 

@@ -643,6 +643,29 @@ def test_secrets(spark, wide):
     assert got == bag(want)
 
 
+def test_secrets_of_many_matches_and_long_runs(spark):
+    """Texts of thousands of matches, and a million characters of one class, take time in proportion."""
+    texts = ["é token=abcdefgh1 " * 9000, "x" * 1_000_000, "0" * 1_000_000, "token" * 200_000, "AKIA" * 250_000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: r.base_sha256 for r in secret_scan.secret_digests(d).collect()}
+    assert time.time() - start < 60
+    assert got == {i: sha(",".join(f"{k}:{a}:{b}" for a, _, b, k in secrets_slow(t))) for i, t in enumerate(texts)}
+
+
+def test_one_index_serves_more_rules(spark):
+    """Postings written once, over more trigrams than one mask holds, are asked by different rules."""
+    more = tuple(secret_scan.SecretRule(f"r{i}", f"key{i:03d}_[a-z]+") for i in range(100))
+    d = spark.createDataFrame([(i, f"so key{i * 7 % 120:03d}_abc is key{i:03d}_{'z' * (i % 2)}") for i in range(120)] + [(None, "key005_q"), (7, None)], "doc_id long, text string")
+    index = secret_scan.trigram_postings(d, secret_scan.trigrams_of(more)).cache()
+    assert index.select("trigram").distinct().count() > 2 * secret_scan.BITS
+    for rules in (more, more[:3], secret_scan.BASE_RULES):
+        postings = index if rules is not secret_scan.BASE_RULES else None
+        got = bag((r.doc_id, tuple((s["start"], s["end"], s["kind"]) for s in r.spans)) for r in secret_scan.find_secrets(d, rules, postings).collect())
+        want = bag((r.doc_id, tuple(sorted((m.start(), m.end(), x.kind) for x in rules for m in re.finditer(x.regex, r.text or "") if len(m[x.group]) >= x.least))) for r in d.collect())
+        assert got == want
+
+
 def test_trigram_queries_are_necessary():
     assert secret_scan.trigram_query(r"[0-9a-f]{32,}") is None
     assert secret_scan.trigram_query(r"AKIA[A-Z0-9]+") == {frozenset({"aki", "kia"})}
