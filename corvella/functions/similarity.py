@@ -1,11 +1,10 @@
-"""String similarity that Spark lacks, as Arrow UDFs, and blocking keys as Columns."""
+"""String similarity that Spark lacks, of single texts and of one text with many, and blocking keys as Columns."""
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
 def jaro_winkler(a: str | None, b: str | None) -> float:
@@ -39,9 +38,72 @@ def jaro_winkler(a: str | None, b: str | None) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
-@F.pandas_udf(DoubleType())
-def jaro_winkler_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+class TextTable:
+    """Texts as a matrix of code points, shorter ones filled up, with how often each of 64 classes of characters occurs."""
+
+    def __init__(self, texts: list[str]):
+        self.length = np.array([len(t) for t in texts], dtype=np.int64)
+        self.code = np.zeros((len(texts), int(self.length.max(initial=0))), dtype=np.uint32)
+        for i, t in enumerate(texts):
+            self.code[i, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.bag = np.zeros((len(texts), 64), dtype=np.int32)
+        row, col = np.nonzero(np.arange(self.code.shape[1]) < self.length[:, None])
+        np.add.at(self.bag, (row, self.code[row, col] % 64), 1)
+
+
+def similar(a: TextTable, i: int, b: TextTable, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The places of b's texts whose Jaro-Winkler similarity to a's text i is at least `least`, and their similarities.
+
+    Lengths and character counts bound the matches from above; only texts that this leaves are compared, all at once.
+    """
+    n = int(a.length[i])
+    at = np.flatnonzero(b.length > 0)
+    if not n or not len(at):
+        return at[:0], np.zeros(0)
+    k = min(4, n, b.code.shape[1])
+    same = (b.code[at, :k] == a.code[i, :k]) & (np.arange(k) < b.length[at, None])
+    prefix = np.minimum.accumulate(same, axis=1).sum(axis=1)
+    most = np.minimum(a.bag[i], b.bag[at]).sum(axis=1)
+    bound = (most / n + most / b.length[at] + 1) / 3
+    able = bound + prefix * 0.1 * (1 - bound) >= least - 1e-9
+    at, prefix = at[able], prefix[able]
+    score = np.zeros(len(at))
+    # So many texts at once that their matrices stay small.
+    step = max(1, (1 << 20) // max(1, b.code.shape[1]))
+    for x in range(0, len(at), step):
+        score[x : x + step] = _jaro(a.code[i, :n], b.code[at[x : x + step]], b.length[at[x : x + step]])
+    score += prefix * 0.1 * (1 - score)
+    good = score >= least
+    return at[good], score[good]
+
+
+def _jaro(own: np.ndarray, code: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Jaro similarity of one text with each row of code; each character takes the first free equal one within reach."""
+    m, n = len(code), len(own)
+    code = code[:, : int(length.max(initial=0))]
+    column = np.arange(code.shape[1])
+    reach = np.maximum(0, np.maximum(n, length) // 2 - 1)[:, None]
+    free = column < length[:, None]
+    matched = np.zeros((m, n), dtype=bool)
+    row = np.arange(m)
+    for i in range(n):
+        hit = free & (code == own[i]) & (np.abs(column - i) <= reach)
+        j = hit.argmax(axis=1)
+        got = hit[row, j]
+        matched[:, i] = got
+        free[row[got], j[got]] = False
+    count = matched.sum(axis=1)
+    # The matched characters of both sides in their own orders.
+    taken = ~free & (column < length[:, None])
+    wide = int(count.max(initial=0))
+    left, right = np.zeros((m, wide), dtype=np.uint32), np.zeros((m, wide), dtype=np.uint32)
+    x, y = np.nonzero(matched)
+    left[x, (np.cumsum(matched, axis=1) - 1)[x, y]] = own[y]
+    x, y = np.nonzero(taken)
+    right[x, (np.cumsum(taken, axis=1) - 1)[x, y]] = code[x, y]
+    moved = (left != right).sum(axis=1)
+    safe = np.maximum(count, 1)
+    return np.where(count > 0, (count / n + count / length + (count - moved / 2) / safe) / 3, 0.0)
 
 
 def citation_year(text: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvella.functions.similarity import citation_year, jaro_winkler_similarity, prefix_key
+from corvella.functions.similarity import TextTable, citation_year, prefix_key, similar
 from corvella.operators.cut import cut
 
 
@@ -92,40 +96,91 @@ def canonical_keys(texts: DataFrame) -> DataFrame:
     return rows.withColumn("block", key).filter(F.col("block").isNotNull())
 
 
-def fuzzy_pairs(new: DataFrame, known: DataFrame, least: float = 0.9) -> DataFrame:
-    """id_new, id_known, score: pairs of one block that are similar enough.
+#: Texts of a block that are compared with as many others at once.
+TILE = 1024
+
+TILED = "array<struct<id:long,text:string,n:long>>"
+
+
+def _tiles(keyed: DataFrame, name: str) -> DataFrame:
+    """block, name: the rows (id, text, n) of each block in arrays of about TILE."""
+    size = keyed.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    dealt = keyed.join(size, "block").withColumn("t", F.pmod(F.xxhash64("text"), F.col("tiles")))
+    return dealt.groupBy("block", "t").agg(F.collect_list(F.struct("id", "text", "n")).cast(TILED).alias(name)).drop("t")
+
+
+def _compare(least: float, best: bool):
+    """(id_new, id_known, score) of the pairs of two tiles that are similar enough: of each new text the best one, or of each those that stand before it."""
 
-    Texts of equal blocks meet in an equi-join; pairs whose lengths rule out the score are
-    dropped before the texts reach Python.
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for new, known in zip(batch["new"], batch["known"], strict=True):
+                a, b = TextTable([x["text"] for x in new]), TextTable([x["text"] for x in known])
+                ids, n = (np.array([x[c] for x in known], dtype=np.int64) for c in ("id", "n"))
+                out = []
+                for i, x in enumerate(new):
+                    at, score = similar(a, i, b, least)
+                    fine = ids[at] != x["n"] if best else (n[at] > x["n"]) | ((n[at] == x["n"]) & (ids[at] < x["id"]))
+                    at, score = at[fine], score[fine]
+                    if best and len(at):
+                        first = np.lexsort((ids[at], -score))[:1]
+                        at, score = at[first], score[first]
+                    if len(at):
+                        out.append(pd.DataFrame({"id_new": x["id"], "id_known": ids[at], "score": score}))
+                if out:
+                    yield pd.concat(out)
+
+    return each
+
+
+def fuzzy_pairs(new: DataFrame, known: DataFrame, least: float = 0.9, best: bool = False) -> DataFrame:
+    """id_new, id_known, score of similar texts(id, text, n), lower-cased ones: those of one block that are similar enough.
+
+    Blocks meet tile by tile: a row holds two arrays of about TILE texts, which are compared
+    by numpy, so no row is made for a pair that is not similar. With `best` each tile pair
+    gives the best known text of each new one; else the known ones that stand before it, by
+    larger n, then smaller id; with `best` n is the id that a new text must not match.
     """
-    a = block_keys(new).select(F.col("id").alias("id_new"), F.lower("text").alias("a"), "block")
-    b = canonical_keys(known).select(F.col("id").alias("id_known"), F.lower("text").alias("b"), "block")
-    pairs = a.join(b, "block").filter(F.col("id_new") != F.col("id_known")).drop("block")
-    short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
-    # With m matches of at most the shorter length, Jaro is at most (2 + short / long) / 3, and the prefix adds four tenths of the rest.
-    most = (2 + short / long) / 3
-    able = pairs.filter(most + 0.4 * (1 - most) >= least)
-    return able.withColumn("score", jaro_winkler_similarity("a", "b")).filter(F.col("score") >= least).select("id_new", "id_known", "score")
+    tiles = _tiles(block_keys(new).select("block", "id", "text", "n"), "new").join(_tiles(canonical_keys(known).select("block", "id", "text", "n"), "known"), "block")
+    return tiles.mapInPandas(_compare(least, best), "id_new long, id_known long, score double")
 
 
 def best_matches(new: DataFrame, known: DataFrame, least: float = 0.9) -> DataFrame:
-    """id_new, id_known, score: the most similar known citation of each new one; ties go to the smaller id."""
-    return fuzzy_pairs(new, known, least).groupBy("id_new").agg(F.max_by("id_known", F.struct("score", -F.col("id_known"))).alias("id_known"), F.max("score").alias("score"))
+    """id_new, id_known, score: the most similar known citation of each new one, itself aside; ties go to the smaller id.
+
+    Texts are compared lower-cased. A citation whose text another one has matches the
+    smallest such; the texts of the others are compared once each. Empty texts match nothing.
+    """
+    plain = lambda d: d.select("id", F.lower("text").alias("text")).filter(F.length("text") > 0)
+    a, b = plain(new), plain(known)
+    one = b.groupBy("text").agg(F.min("id").alias("one"))
+    two = b.join(one, "text").filter(F.col("id") != F.col("one")).groupBy("text").agg(F.min("id").alias("two"))
+    held = cut(one.join(two, "text", "left"))
+    met = a.join(held, "text").select("id", F.when(F.col("one") != F.col("id"), F.col("one")).otherwise(F.col("two")).alias("id_known")).filter("id_known is not null")
+    own = cut(met.select(F.col("id").alias("id_new"), "id_known", F.lit(1.0).alias("score")))
+    rest = cut(a.join(own.select(F.col("id_new").alias("id")), "id", "left_anti"))
+    # n carries the id that is the text's own.
+    zero = F.lit(0).cast("long")
+    texts = rest.groupBy("text").agg(F.min("id").alias("id")).join(held, "text", "left").select("id", "text", F.coalesce("one", F.lit(-1).cast("long")).alias("n"))
+    found = fuzzy_pairs(texts, held.select(F.col("one").alias("id"), "text", zero.alias("n")), least, best=True)
+    best = found.groupBy("id_new").agg(F.max_by("id_known", F.struct("score", -F.col("id_known"))).alias("id_known"), F.max("score").alias("score"))
+    named = best.join(texts.select(F.col("id").alias("id_new"), "text"), "id_new").select("text", "id_known", "score")
+    return own.unionByName(rest.join(named, "text").select(F.col("id").alias("id_new"), "id_known", "score"))
 
 
 def cluster_first(texts: DataFrame, counts: DataFrame, least: float = 0.9, rounds: int = 50) -> DataFrame:
     """id, canonical: each text joins the first canonical before it that is similar enough, or is one itself.
 
-    The order is document count, then id. A text is canonical once all similar texts before it
-    are known not to be; it joins the first canonical among them. Each round settles those
-    that can be, so chains are as many rounds as they are long.
+    The order is document count, then id. Texts that are equal, lower-cased, go with the first
+    of them, which is as near to any canonical as they are. A text is canonical once all similar
+    texts before it are known not to be; it joins the first canonical among them. Each round
+    settles those that can be, so chains are as many rounds as they are long.
     """
-    order = texts.join(counts, texts["id"] == counts["citation_id"], "left").select("id", "text", F.coalesce("n", F.lit(0)).alias("n"))
-    pairs = fuzzy_pairs(order, order, least)
-    rank = order.select("id", F.struct(-F.col("n"), F.col("id")).alias("at"))
-    first = rank.withColumnsRenamed({"id": "id_new", "at": "at_new"})
-    second = rank.withColumnsRenamed({"id": "id_known", "at": "at_known"})
-    before = cut(pairs.join(first, "id_new").join(second, "id_known").filter(F.col("at_known") < F.col("at_new")).select(F.col("id_new").alias("id"), F.col("id_known").alias("earlier"), F.col("at_known").alias("at")).distinct())
+    counted = texts.join(counts, texts["id"] == counts["citation_id"], "left").select("id", F.lower("text").alias("text"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    first = counted.groupBy("text").agg(F.min(F.struct((-F.col("n")).alias("less"), F.col("id").alias("id"))).alias("at"))
+    order = cut(first.select(F.col("at.id").alias("id"), "text", (-F.col("at.less")).alias("n"), "at"))
+    pairs = fuzzy_pairs(order.filter(F.length("text") > 0), order.filter(F.length("text") > 0), least)
+    before = cut(pairs.join(order.select(F.col("id").alias("id_known"), "at"), "id_known").select(F.col("id_new").alias("id"), F.col("id_known").alias("earlier"), "at").distinct())
     known = cut(order.select("id").join(before.select("id").distinct(), "id", "left_anti").withColumn("canonical", F.col("id")))
     for _ in range(rounds):
         settled = known.select(F.col("id").alias("earlier"), (F.col("id") == F.col("canonical")).alias("is_canonical"))
@@ -134,6 +189,7 @@ def cluster_first(texts: DataFrame, counts: DataFrame, least: float = 0.9, round
         # The first canonical counts once no undecided text stands before it.
         done = cut(judged.filter(F.col("open").isNull() | (F.col("found") < F.col("open"))).select("id", F.coalesce(F.col("found.id"), F.col("id")).alias("canonical")))
         if done.isEmpty():
-            return known
+            heads = order.join(known, "id").select("text", "canonical")
+            return counted.select("id", "text").join(heads, "text").select("id", "canonical")
         known = cut(known.unionByName(done))
     raise RuntimeError("clusters did not settle")

@@ -1,19 +1,34 @@
-"""Cutting lineage between the rounds of an iterative plan."""
+"""The shared folder, and cutting lineage between the rounds of an iterative plan."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+KEY = "spark.checkpoint.dir"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: as named for the session, else that of the context.
+
+    Where none is named, local sessions have a temporary one and others are refused.
+    """
+    named = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
+    if named:
+        return named.rstrip("/")
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {KEY} to a folder that the driver and all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """rows written to the shared checkpoint folder and read from there; a temporary folder serves local sessions that name none."""
+    """rows written to the shared folder and read from there."""
     context = rows.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints"))
+        context.setCheckpointDir(shared_dir(rows.sparkSession))
     return rows.checkpoint()

@@ -31,10 +31,10 @@ def newest_runs(t: Tables) -> DataFrame:
     return U.newest(runs, "at", 25)
 
 
-@R.query("SELECT coalesce(b.key, a.key) AS key, coalesce(b.value, a.value) AS value FROM (SELECT n_nationkey::VARCHAR AS key, n_name AS value FROM nation) a FULL OUTER JOIN (SELECT user_id::VARCHAR AS key, max_by(event_type, event_id) AS value FROM events WHERE user_id < 40 GROUP BY 1) b ON a.key = b.key")
+@R.query("SELECT coalesce(b.key, a.key) AS key, coalesce(b.value, a.value) AS value FROM (SELECT n_nationkey::VARCHAR AS key, n_name AS value FROM nation) a FULL OUTER JOIN (SELECT user_id::VARCHAR AS key, max_by(event_type, event_id) AS value FROM events GROUP BY 1) b ON a.key = b.key")
 def settings_merged(t: Tables) -> DataFrame:
     stored = t.raw("nation").select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("value"))
-    changes = t.raw("events").filter("user_id < 40").select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("at"))
+    changes = t.raw("events").select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("at"))
     return U.settings(stored, changes)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvella.functions.citations import citation_hash
+from corvella.functions.similarity import citation_year, prefix_key
 from corvella.operators import citations as C
 from corvella.plans.registry import Registry
 from corvella.sources.views import Tables
@@ -115,30 +116,28 @@ def citation_hash_groups(t: Tables) -> DataFrame:
 
 
 def _texts(t: Tables) -> DataFrame:
-    return t.raw("documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 120).alias("text")).filter(F.length("text") >= 25)
+    """Whole citations with a year each."""
+    return t.citations().select("id", F.concat_ws(" ", "text", (F.lit(1950) + F.col("year").cast("int")).cast("string")).alias("text"))
 
 
 @R.query("""
-WITH x AS (SELECT doc_id AS id, substr(text, 1, 120) AS text FROM documents WHERE length(substr(text, 1, 120)) >= 25),
-k AS (SELECT id, lower(substr(trim(text), 1, 3)) AS prefix, try_cast(nullif(regexp_extract(text, '\\b(1[89]\\d{2}|20[0-2]\\d)\\b', 1), '') AS INTEGER) AS year FROM x)
-SELECT prefix, count(*) AS n, count(*) FILTER (WHERE year IS NULL) AS without_year FROM k GROUP BY prefix""")
+WITH k AS (SELECT lower(substr(trim(text), 1, 3)) AS prefix, try_cast(nullif(regexp_extract(text || ' ' || (1950 + year::INTEGER), '\\b(1[89]\\d{2}|20[0-2]\\d)\\b', 1), '') AS INTEGER) AS year FROM citations)
+SELECT prefix, count(*) AS n, count(DISTINCT year) AS years FROM k GROUP BY prefix""")
 def fuzzy_candidates_blocked(t: Tables) -> DataFrame:
-    """How many titles stand in each block of equal prefixes."""
-    from corvella.functions.similarity import citation_year, prefix_key
-
+    """How many citations stand in each block of equal prefixes, and of how many years they are."""
     keyed = _texts(t).select(prefix_key(F.col("text")).alias("prefix"), citation_year(F.col("text")).alias("year"))
-    return keyed.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("year").isNull()).alias("without_year"))
+    return keyed.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("year").alias("years"))
 
 
 @R.query()
 def fuzzy_matches_jw(t: Tables) -> DataFrame:
-    """The most similar other title of one block for each title, from 0.9 up."""
+    """The most similar other citation of one block for each citation, from 0.9 up."""
     rows = _texts(t)
     return C.best_matches(rows, rows).select("id_new", "id_known", F.round("score", 6).alias("score"))
 
 
 @R.query()
 def fuzzy_canonical_map(t: Tables) -> DataFrame:
-    """Titles with the first similar title before them."""
-    rows = _texts(t)
-    return C.cluster_first(rows, rows.select(F.col("id").alias("citation_id"), F.lit(1).cast("long").alias("n")))
+    """Citations with the first similar one before them, most cited ones first."""
+    counts = t.links().groupBy("citation_id").agg(F.count(F.lit(1)).alias("n"))
+    return C.cluster_first(_texts(t), counts)

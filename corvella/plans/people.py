@@ -69,15 +69,15 @@ def affiliation_merged(t: Tables) -> DataFrame:
     return P.merged_affiliations(rows)
 
 
-# Old rows are documents with an even number, new ones those whose number 3 divides; some new values are missing.
-OLD = "(SELECT doc_id, title, year, sync_key FROM docs WHERE doc_id % 2 = 0)"
-NEW = "(SELECT doc_id, upper(title) AS title, year + 1 AS year, CASE WHEN doc_id % 9 <> 0 THEN 'NEW' END AS sync_key FROM docs WHERE doc_id % 3 = 0)"
+# The stored rows are documents up to a year, the incoming ones those from the year before it on; some new values are missing.
+OLD = "(SELECT doc_id, title, year, sync_key FROM docs WHERE year <= 1995)"
+NEW = "(SELECT doc_id, upper(title) AS title, year + 1 AS year, CASE WHEN degree <> '1-URGENT' THEN 'NEW' END AS sync_key FROM docs WHERE year >= 1994)"
 
 
 def old_new(t: Tables) -> tuple[DataFrame, DataFrame]:
     d = t.docs()
-    new = d.filter("doc_id % 3 = 0").select("doc_id", F.upper("title").alias("title"), (F.col("year") + 1).alias("year"), F.when(F.col("doc_id") % 9 != 0, "NEW").alias("sync_key"))
-    return d.filter("doc_id % 2 = 0").select("doc_id", "title", "year", "sync_key"), new
+    new = d.filter("year >= 1994").select("doc_id", F.upper("title").alias("title"), (F.col("year") + 1).alias("year"), F.when(F.col("degree") != "1-URGENT", "NEW").alias("sync_key"))
+    return d.filter("year <= 1995").select("doc_id", "title", "year", "sync_key"), new
 
 
 @R.query(f"SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, CASE WHEN b.doc_id IS NOT NULL THEN b.title ELSE a.title END AS title, CASE WHEN b.doc_id IS NOT NULL THEN b.year ELSE a.year END AS year, coalesce(b.sync_key, a.sync_key) AS sync_key FROM {OLD} a FULL OUTER JOIN {NEW} b ON a.doc_id = b.doc_id")
@@ -85,12 +85,13 @@ def document_upsert_coalesce(t: Tables) -> DataFrame:
     return M.upsert(*old_new(t), "doc_id", ("sync_key",))
 
 
-for mode, where in (("import_all", "true"), ("sync_differences", "doc_id % 2 <> 0"), ("refresh_metadata", "doc_id % 2 = 0")):
+for mode, where in (("import_all", "true"), ("sync_differences", "year > 1995"), ("refresh_metadata", "year <= 1995")):
 
-    @R.query(f"SELECT doc_id, title FROM docs WHERE doc_id % 3 = 0 AND {where}", name=f"documents_by_sync_mode_{mode}")
+    @R.query(f"SELECT doc_id, title FROM docs WHERE {where}", name=f"documents_by_sync_mode_{mode}")
     def sync_mode(t: Tables, mode: str = mode) -> DataFrame:
+        """All documents come in; those up to a year are stored."""
         d = t.docs()
-        return M.sync_rows(d.filter("doc_id % 3 = 0"), d.filter("doc_id % 2 = 0"), "doc_id", mode).select("doc_id", "title")
+        return M.sync_rows(d, d.filter("year <= 1995"), "doc_id", mode).select("doc_id", "title")
 
 
 @R.query("SELECT d.doc_id, title FROM docs d LEFT JOIN metrics m USING (doc_id) WHERE m.doc_id IS NULL OR status <> 'cached'")
@@ -107,16 +108,16 @@ def cached_without_committee(t: Tables) -> DataFrame:
 
 
 @R.query("""
-WITH old AS (SELECT doc_id, name, role, affiliation, source FROM committee WHERE doc_id % 2 = 0),
-new AS (SELECT doc_id, name, role, 'NEW' AS affiliation, 'pdf' AS source FROM committee WHERE doc_id % 3 = 0),
-rows AS (SELECT *, 0 AS fresh FROM old UNION ALL SELECT *, 1 FROM new)
-SELECT doc_id, name, role, affiliation, source FROM (
- SELECT *, row_number() OVER (PARTITION BY doc_id, name, role ORDER BY (source = 'api')::INTEGER DESC, fresh DESC) AS n FROM rows WHERE role IS NOT NULL) WHERE n = 1
-UNION ALL SELECT doc_id, name, role, affiliation, source FROM rows WHERE role IS NULL""")
+WITH merged AS MATERIALIZED (SELECT doc_id, name, role, affiliation, source, 0 AS fresh FROM committee WHERE role IS DISTINCT FROM 'External Examiner'
+ UNION ALL SELECT doc_id, name, role, 'NEW', 'pdf', 1 FROM committee WHERE role IS DISTINCT FROM 'Supervisor')
+SELECT doc_id, name, role, affiliation, source FROM merged WHERE role IS NULL
+UNION ALL SELECT doc_id, name, role, x.affiliation, x.source FROM (
+ SELECT doc_id, name, role, arg_max({'affiliation': affiliation, 'source': source}, (CASE WHEN source = 'api' THEN 2 ELSE 0 END) + fresh) AS x FROM merged WHERE role IS NOT NULL GROUP BY 1, 2, 3)""")
 def committee_upsert_precedence(t: Tables) -> DataFrame:
+    """All but the external examiners are stored, all but the supervisors come in anew."""
     c = t.committee().select("doc_id", "name", "role", "affiliation", "source")
-    new = c.filter("doc_id % 3 = 0").withColumn("affiliation", F.lit("NEW")).withColumn("source", F.lit("pdf"))
-    return M.committee_upsert(c.filter("doc_id % 2 = 0"), new)
+    new = c.filter(~F.col("role").eqNullSafe("Supervisor")).withColumn("affiliation", F.lit("NEW")).withColumn("source", F.lit("pdf"))
+    return M.committee_upsert(c.filter(~F.col("role").eqNullSafe("External Examiner")), new)
 
 
 @R.query("SELECT doc_id, name, role FROM committee WHERE NOT coalesce(doc_id = 7 AND role IN ('Supervisor', 'Co-Supervisor') AND source = 'pdf', false)")
@@ -124,9 +125,11 @@ def committee_delete_roles(t: Tables) -> DataFrame:
     return M.without_roles(t.committee(), 7, ("Supervisor", "Co-Supervisor"), "pdf").select("doc_id", "name", "role")
 
 
-@R.query("SELECT id, text FROM citations WHERE id IN (SELECT citation_id FROM links WHERE doc_id % 10 <> 0)")
+@R.query("SELECT id, text FROM citations WHERE id IN (SELECT citation_id FROM links JOIN docs USING (doc_id) WHERE year = 1992)")
 def orphan_citation_cleanup(t: Tables) -> DataFrame:
-    return M.without_orphans(t.citations(), t.links().filter("doc_id % 10 <> 0")).select("id", "text")
+    """What is left of the citations once the documents after the first year are deleted with their links."""
+    left = t.links().join(t.docs().filter("year = 1992").select("doc_id"), "doc_id")
+    return M.without_orphans(t.citations(), left).select("id", "text")
 
 
 @R.query("SELECT DISTINCT doc_id, canonical AS citation_id FROM links JOIN (SELECT id, min(id) OVER (PARTITION BY text) AS canonical FROM citations) ON id = citation_id")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvella.operators.cut import shared_dir
 from corvella.plans.registry import Registry
 from corvella.sources.views import Tables
 from corvella.streaming import ingest as S
@@ -16,9 +16,8 @@ R = Registry()
 
 
 def scratch(t: Tables) -> str:
-    """A folder in the shared folder that the session names, else a temporary one."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{base}/corvella-stream-{uuid.uuid4().hex}"
+    """A new place in the shared folder."""
+    return f"{shared_dir(t.spark)}/corvella-stream-{uuid.uuid4().hex}"
 
 
 def events(t: Tables) -> DataFrame:
@@ -52,13 +51,13 @@ def windowed_counts(t: Tables) -> DataFrame:
 
 @R.query(f"SELECT event_type, epoch(start)::BIGINT AS start, n, total FROM ({WINDOWS}) {CLOSED}")
 def stream_windowed_counts_watermark(t: Tables) -> DataFrame:
-    out = S.drain(S.windowed_counts(S.read_events(t.spark, t.folder)), f"windows_{uuid.uuid4().hex}")
+    out = S.drain(S.windowed_counts(S.read_events(t.spark, t.folder)), scratch(t))
     return out.withColumn("start", F.unix_timestamp("start"))
 
 
 @R.query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2")
 def stream_deduplicated(t: Tables) -> DataFrame:
-    out = S.drain(S.deduplicated(S.read_events(t.spark, t.folder), ["user_id", "event_type"], "60 days"), f"distinct_{uuid.uuid4().hex}")
+    out = S.drain(S.deduplicated(S.read_events(t.spark, t.folder), ["user_id", "event_type"], "60 days"), scratch(t))
     return out.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -104,11 +104,12 @@ class Tables:
         return line.join(part, line["l_partkey"] == part["p_partkey"]).select(F.col("l_orderkey").alias("doc_id"), F.col("p_brand").alias("method")).distinct()
 
     def doc_topics(self) -> DataFrame:
-        """doc_id, topic_id (-1: outlier), probability, x, y: topics of embeddings dealt to documents."""
-        e = self.raw("embeddings").filter("vec_id < 500")
+        """doc_id, topic_id (-1: outlier), probability, x, y: topics of all embeddings, dealt to documents in turn."""
+        e = self.raw("embeddings")
         orders = self.raw("orders").select(F.col("o_orderkey").alias("doc_id"))
         topic = F.when(F.col("label") == 9, -1).otherwise(F.col("label"))
-        return orders.join(e, orders["doc_id"] % 500 == e["vec_id"]).select("doc_id", topic.alias("topic_id"), ((F.col("vec_id") % 100) / 100.0).alias("probability"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+        numbers = (e.agg(F.max("vec_id")).first()[0] or 0) + 1
+        return orders.join(e, orders["doc_id"] % numbers == e["vec_id"]).select("doc_id", topic.alias("topic_id"), ((F.col("vec_id") % 100) / 100.0).alias("probability"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
 
     def topics(self) -> DataFrame:
         """topic_id, label, doc_count."""
@@ -138,7 +139,7 @@ VIEWS = {
     "terms": "SELECT DISTINCT l_orderkey AS doc_id, p_name AS term FROM lineitem JOIN part ON l_partkey = p_partkey",
     "methods": "SELECT DISTINCT l_orderkey AS doc_id, p_brand AS method FROM lineitem JOIN part ON l_partkey = p_partkey",
     "doc_topics": """SELECT o_orderkey AS doc_id, CASE WHEN label = 9 THEN -1 ELSE label END AS topic_id, (vec_id % 100) / 100.0::DOUBLE AS probability,
- embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM orders JOIN embeddings ON o_orderkey % 500 = vec_id WHERE vec_id < 500""",
+ embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM orders JOIN embeddings ON o_orderkey % (SELECT max(vec_id) + 1 FROM embeddings) = vec_id""",
     "topics": "SELECT topic_id, concat_ws('_', topic_id::VARCHAR, 'topic', (topic_id % 4)::VARCHAR) AS label, count(*) AS doc_count FROM doc_topics GROUP BY topic_id",
 }
 
@@ -157,6 +158,6 @@ def with_views(sql: str) -> str:
     need(sql)
     if not used:
         return sql
-    head = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in used)
+    head = ",\n".join(f"{name} AS MATERIALIZED ({VIEWS[name]})" for name in used)
     body = sql.strip()
     return f"WITH {head},\n{body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head}\n{body}"

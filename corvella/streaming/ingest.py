@@ -24,30 +24,46 @@ def merge_latest(state: DataFrame | None, batch: DataFrame, key: str, order: str
     return last_of(rows, [key], [F.desc(order), F.desc("event_id")])
 
 
-def run_upsert(stream: DataFrame, path: str, checkpoint: str, key: str, order: str) -> DataFrame:
-    """Drains the stream into versions of a keyed table under `path`, one a batch, and gives the last.
+def run_upsert(stream: DataFrame, path: str, checkpoint: str, key: str, order: str, buckets: int = 64) -> DataFrame:
+    """Drains the stream into a keyed table under `path`, cut into buckets by a hash of the key, and gives the table.
 
-    A batch's version is written under its own number from the version before it, so a batch
-    that is tried again writes the same rows to the same place.
+    A batch rewrites the buckets that it touches, under its own number, and then the list of
+    which number each bucket stands at. So a batch that is tried again writes the same rows to
+    the same places, and what it does not touch is neither read nor written.
     """
     spark = stream.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
     done: list[int] = []
 
+    def standing(epoch: int) -> dict[int, int]:
+        """bucket to version, at most `buckets` of them."""
+        return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{path}/standing/e={epoch}").collect()} if epoch >= 0 else {}
+
+    def stored(versions: dict[int, int]) -> DataFrame | None:
+        places = [f"{path}/rows/v={v}/__bucket={b}" for b, v in versions.items()]
+        return spark.read.schema(stream.schema).parquet(*places) if places else None
+
     def write(batch: DataFrame, epoch: int) -> None:
-        held = spark.read.parquet(f"{path}/v={epoch - 1}") if epoch > 0 else None
-        merge_latest(held, batch, key, order).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        held = standing(epoch - 1)
+        touched = [r["b"] for r in batch.select(bucket.alias("b")).distinct().collect()]
+        old = stored({b: held[b] for b in touched if b in held})
+        if touched:
+            merge_latest(old, batch, key, order).withColumn("__bucket", bucket).write.partitionBy("__bucket").mode("overwrite").parquet(f"{path}/rows/v={epoch}")
+        now = held | dict.fromkeys(touched, epoch)
+        spark.createDataFrame(list(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/standing/e={epoch}")
         done.append(epoch)
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{path}/v={max(done)}")
+    table = stored(standing(max(done))) if done else None
+    return spark.createDataFrame([], stream.schema) if table is None else table
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that a stream gives until its source is exhausted, as an in-memory table; for results of bounded size."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drain(stream: DataFrame, path: str) -> DataFrame:
+    """All rows that a stream appends until its source is exhausted, as a table under `path`."""
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:

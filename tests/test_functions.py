@@ -1,5 +1,8 @@
 """Examples for scalar functions."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,9 +34,18 @@ def test_jaro_winkler(a, b, low, high):
     assert low - 1e-12 <= similarity.jaro_winkler(a, b) <= high + 1e-12
 
 
-def test_jaro_winkler_column(spark):
-    rows = spark.createDataFrame([("abxxxxxx", "abyyyyyy"), (None, "x")], "a string, b string")
-    assert [round(r[0], 6) for r in rows.select(similarity.jaro_winkler_similarity("a", "b")).collect()] == [0.6, 0.0]
+def test_similar_texts_are_those_of_the_slow_version():
+    """One text with many at once, over all bounds, against one by one."""
+    rng = random.Random(5)
+    some = lambda k: "".join(rng.choices("abcd é\U0001f600", k=k))
+    base = [some(rng.randint(0, 40)) for _ in range(40)]
+    texts = base + ["".join(c for c in t if rng.random() > 0.1) for t in base] + [t[:5] + "".join(rng.sample(t[5:], len(t[5:]))) for t in base if len(t) > 5] + ["", "a"]
+    table = similarity.TextTable(texts)
+    for least in (0.0001, 0.7, 0.9, 1.0):
+        for i, t in enumerate(texts):
+            at, score = similarity.similar(table, i, table, least)
+            want = {j: s for j, x in enumerate(texts) if (s := similarity.jaro_winkler(t, x)) >= least - 1e-12}
+            assert dict(zip(at.tolist(), score.tolist())) == pytest.approx(want, abs=1e-12)
 
 
 @pytest.mark.parametrize(("word", "stem"), [("policies", "policy"), ("students", "student"), ("studies", "study"), ("class", "class"), ("leadership", "leadership")])
@@ -111,6 +123,51 @@ def test_fuzzy_resolution(spark):
     assert [(r.id_new, r.id_known) for r in C.best_matches(new, known).collect()] == [(2, 1)]
 
 
+def fuzzy_slow(rows):
+    """(best match of each, canonical of each) by comparing every pair of one block; rows are (id, text, n)."""
+    year = lambda t: next((int(m[0]) for m in re.finditer(r"\b(?:1[89]\d{2}|20[0-2]\d)\b", t)), None)
+    prefix = lambda t: t.strip().lower()[:3] if len(t.strip()) >= 3 else None
+
+    def meet(new, known):
+        y = year(known)
+        return abs(year(new) - y) <= 1 if y and year(new) else not y and prefix(known) is not None and prefix(new) == prefix(known)
+
+    score = lambda a, b: similarity.jaro_winkler(a.lower(), b.lower()) if a.lower() == b.lower() or meet(a, b) else 0
+    best, canonical = {}, {}
+    for i, t, _ in rows:
+        found = max(((round(score(t, x), 9), -j) for j, x, _ in rows if j != i), default=(0, 0))
+        if found[0] >= 0.9:
+            best[i] = -found[1]
+    heads = []
+    for i, t, _ in sorted(rows, key=lambda r: (-r[2], r[0])):
+        canonical[i] = next((j for j, x in heads if score(t, x) >= 0.9), i)
+        if canonical[i] == i:
+            heads.append((i, t))
+    return best, canonical
+
+
+@pytest.mark.parametrize("tile", [1024, 5])
+def test_fuzzy_matches_and_clusters_equal_brute_force(spark, monkeypatch, tile):
+    """Typing errors, equal texts in other letters, years beside each other and none, texts too short for a block."""
+    monkeypatch.setattr(C, "TILE", tile)
+    rng = random.Random(9)
+    words = "fern moss lichen stone river valley school garden letter winter".split()
+    texts = []
+    for _ in range(25):
+        base = f"{rng.choice(['Abel', 'Bern', 'Claus'])}, {rng.choice('XYZ')}. {' '.join(rng.sample(words, 4))}"
+        for _ in range(rng.randint(1, 5)):
+            at = rng.randrange(len(base))
+            texts.append(base[:at] + rng.choice(["", "q", "zz"]) + base[at + 1 :] + rng.choice(["", " 1990", " 1991", " 1993", ". 1990"]))
+    texts += [texts[3], texts[3].upper(), texts[7].lower(), "ab", "ab", "", " x 1990"]
+    rows = [(i * 3 + 1, t, rng.randint(0, 3)) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame([(i, t) for i, t, _ in rows], "id long, text string").repartition(3)
+    counts = spark.createDataFrame([(i, n) for i, _, n in rows if n], "citation_id long, n long")
+    best, canonical = fuzzy_slow(rows)
+    assert {r.id_new: r.id_known for r in C.best_matches(frame, frame).collect()} == best
+    assert {r.id: r.canonical for r in C.cluster_first(frame, counts).collect()} == canonical
+    assert len(best) > 20 and len(set(canonical.values())) < len(rows) - 20
+
+
 def test_clusters_follow_the_order(spark):
     texts = spark.createDataFrame([(1, "abcdefghij 1999 x"), (2, "abcdefghij 1999 y"), (3, "zzzz qqqq 1950 long other")], "id long, text string")
     counts = spark.createDataFrame([(1, 1), (2, 5), (3, 1)], "citation_id long, n long")
