@@ -59,3 +59,24 @@ def merged_affiliations(rows: DataFrame) -> DataFrame:
     covers = lambda x, y: (F.size(F.array_except(x["w"], y["w"])) == 0) & (F.size(x["w"]) < F.size(y["w"]))
     kept = F.filter("all", lambda x: ~F.exists("all", lambda y: covers(x, y)))
     return lists.select("key", F.explode(F.transform(kept, lambda x: x["affiliation"])).alias("affiliation"))
+
+
+def profile(people: DataFrame, docs: DataFrame, terms: DataFrame, methods: DataFrame, name: str, k: int = 12) -> DataFrame:
+    """One row of a supervisor: name, doc_count, years, terms and methods (each joined with counts, most frequent first)."""
+    own = people.filter(F.col("name") == name).select("doc_id").distinct()
+    none = F.lit(None)
+
+    def counted(rows: DataFrame, value: str, kind: str, limit: int | None) -> DataFrame:
+        counts = rows.join(own, "doc_id", "left_semi").groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+        best = counts if limit is None else counts.orderBy(F.desc("n"), value).limit(limit)
+        return best.select(F.lit(kind).alias("kind"), F.col(value).alias("v"), "n", none.cast("int").alias("year"))
+
+    dated = docs.join(own, "doc_id", "left_semi").select(F.lit("doc").alias("kind"), none.cast("string").alias("v"), none.cast("long").alias("n"), F.col("year").cast("int").alias("year"))
+    every = dated.unionByName(counted(terms, "term", "term", k)).unionByName(counted(methods, "method", "method", None))
+
+    def listed(kind: str):
+        pairs = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct((-F.col("n")).alias("less"), F.col("v").alias("v")))))
+        return F.array_join(F.transform(pairs, lambda x: F.concat_ws(":", x["v"], (-x["less"]).cast("string"))), "; ")
+
+    years = F.coalesce(year_range(F.min("year"), F.max("year")), F.lit("-"))
+    return every.agg(F.count_if(F.col("kind") == "doc").alias("doc_count"), years.alias("years"), listed("term").alias("terms"), listed("method").alias("methods")).select(F.lit(name).alias("name"), "doc_count", "years", "terms", "methods")

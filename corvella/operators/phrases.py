@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvella.functions import vocabulary as V
-from corvella.functions.text import let, literals, ngrams, phrase_similarity, plain_stem, tenth, tokens
+from corvella.functions.text import let, literals, low_signal_term, ngrams, phrase_similarity, plain_stem, tenth, tokens
 from corvella.operators.cut import cut
 
 
@@ -137,19 +137,34 @@ def keep_phrase() -> Column:
     )
 
 
+def _meeting_keys(stems: Column) -> Column:
+    """What two phrases have in common if they are similar.
+
+    Their stems' Jaccard index is 0.6 at least, so that of two or three stems they share two (or
+    their only one), or else the phrases are alike up to the last stem and five letters of it.
+    """
+
+    def of(s: Column) -> Column:
+        pairs = F.flatten(F.transform(s, lambda x, i: F.transform(F.slice(s, i + 2, F.size(s)), lambda y: F.concat_ws(" ", x, y))))
+        return F.when(F.size(s) < 2, s).otherwise(pairs)
+
+    last = F.concat_ws("|", F.size(stems).cast("string"), F.array_join(F.slice(stems, F.lit(1), F.size(stems) - 1), " "), F.substring(F.element_at(stems, -1), 1, 5))
+    return F.array_distinct(F.concat(let(F.array_sort(F.array_distinct(stems)), of), F.when(F.size(stems) > 1, F.array(last)).otherwise(F.array().cast("array<string>"))))
+
+
 def similar_phrases(phrases: DataFrame, least: float = 0.95) -> DataFrame:
     """base, phrase, similarity: similar phrases, the base of the higher document frequency, then the smaller.
 
-    Phrases meet over a stem that both have, which any similar pair shares; the rarest stem of
-    each phrase would do for equal sets only, so all are used and frequent stems are salted by AQE.
+    Phrases of two or three words meet over two stems, or over all but the end of the last one.
+    No pair meets for one stem alone, however many phrases have it.
     """
-    stems = F.array_distinct(F.transform(F.split("phrase", " "), plain_stem))
-    keyed = phrases.select("phrase", "doc_freq", F.explode(stems).alias("stem"))
+    stems = F.transform(F.split("phrase", " "), plain_stem)
+    keyed = phrases.select("phrase", "doc_freq", F.explode(let(stems, _meeting_keys)).alias("key"))
     a, b = keyed.alias("a"), keyed.alias("b")
     before = (F.col("a.doc_freq") > F.col("b.doc_freq")) | ((F.col("a.doc_freq") == F.col("b.doc_freq")) & (F.col("a.phrase") < F.col("b.phrase")))
-    pairs = a.join(b, F.col("a.stem") == F.col("b.stem")).filter(before).select(F.col("a.phrase").alias("base"), F.col("b.phrase").alias("phrase"), F.col("a.doc_freq").alias("base_freq")).distinct()
+    pairs = a.join(b, F.col("a.key") == F.col("b.key")).filter(before).select(F.col("a.phrase").alias("base"), F.col("b.phrase").alias("phrase"), F.col("a.doc_freq").alias("base_freq")).distinct()
     sim = phrase_similarity(F.split("base", " "), F.split("phrase", " "))
-    prefix = F.startswith("phrase", F.concat("base", F.lit(" "))) | F.startswith("base", F.concat("phrase", F.lit(" ")))
+    prefix = F.startswith("phrase", F.col("base")) | F.startswith("base", F.col("phrase"))
     close = pairs.withColumn("similarity", sim)
     return close.filter((F.col("similarity") >= least) | (prefix & (F.col("similarity") >= 0.8) & (F.col("base_freq") >= 3))).select("base", "phrase", F.round("similarity", 6).alias("similarity"))
 
@@ -174,8 +189,8 @@ def phrase_clusters(phrases: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("clusters did not settle")
 
 
-def concept_dictionary(phrases: DataFrame, clusters: DataFrame, n_docs: int) -> DataFrame:
-    """canonical, variants, doc_freq, idf: one concept a cluster; single phrases need three documents.
+def concepts_of(phrases: DataFrame, clusters: DataFrame) -> DataFrame:
+    """canonical, variants, doc_freq: one concept a cluster; single phrases need three documents.
 
     The canonical form has the highest frequency, then a preferred head, then two words, then is shorter.
     """
@@ -185,20 +200,76 @@ def concept_dictionary(phrases: DataFrame, clusters: DataFrame, n_docs: int) ->
     worth = F.col("doc_freq") * 100 + F.when(F.element_at(w, -1).isin(*preferred), 20).otherwise(0) + F.when(F.size(w) == 2, 1).otherwise(0)
     best = F.struct(worth.alias("worth"), (-F.length("phrase")).alias("short"), F.col("phrase"), F.col("doc_freq"))
     out = rows.groupBy("base").agg(F.max(best).alias("m"), F.array_sort(F.collect_set("phrase")).alias("all"), F.max("doc_freq").alias("df"))
-    out = out.filter((F.size("all") > 1) | (F.col("df") >= 3))
-    idf = F.log((n_docs + 1) / (F.col("m.doc_freq") + 1))
-    return out.select(F.col("m.phrase").alias("canonical"), F.array_remove("all", F.col("m.phrase")).alias("variants"), F.col("m.doc_freq").alias("doc_freq"), F.round(idf, 6).alias("idf"))
+    out = out.filter((F.size("all") > 1) | (F.col("m.doc_freq") >= 3))
+    return out.select(F.col("m.phrase").alias("canonical"), F.array_remove("all", F.col("m.phrase")).alias("variants"), F.col("m.doc_freq").alias("doc_freq"))
+
+
+def consolidated(concepts: DataFrame) -> DataFrame:
+    """concepts(canonical, variants, doc_freq) of two and three words, the short ones folded into long ones that hold them.
+
+    A two-word concept becomes a variant of the three-word concept that contains it in a row,
+    has at least three documents and half of its own, and of these the most documents, then
+    the smaller name. Long ones keep their frequency. As nothing contains a three-word
+    concept, no order of merging matters: the long ones give their two parts, which meet the
+    short ones in an equi-join.
+    """
+    w = F.split("canonical", " ")
+    parts = F.array_distinct(F.array(F.array_join(F.slice(w, 1, 2), " "), F.array_join(F.slice(w, 2, 2), " ")))
+    long = concepts.filter(F.size(w) == 3).select(F.col("canonical").alias("target"), F.col("doc_freq").alias("support"), F.explode(parts).alias("canonical"))
+    enough = F.col("support") >= F.greatest(F.lit(3), F.floor(F.col("doc_freq") * 0.5))
+    into = concepts.join(long, "canonical").filter(enough).groupBy("canonical").agg(F.min(F.struct((-F.col("support")).alias("less"), F.col("target").alias("name"))).alias("best")).select("canonical", F.col("best.name").alias("target"))
+    placed = concepts.join(into, "canonical", "left")
+    moved = placed.filter("target is not null").select("target", F.explode(F.concat(F.array("canonical"), "variants")).alias("variant"))
+    more = moved.groupBy("target").agg(F.collect_set("variant").alias("more")).withColumnRenamed("target", "canonical")
+    kept = placed.filter("target is null").join(more, "canonical", "left")
+    every = F.array_remove(F.array_distinct(F.concat("variants", F.coalesce("more", F.array().cast("array<string>")))), F.col("canonical"))
+    return kept.select("canonical", F.array_sort(every).alias("variants"), "doc_freq")
+
+
+def single_concepts(doc_phrases: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """canonical, variants, doc_freq: phrases(doc_id, phrase) of one document only, without weak words, that dictionary(canonical, variants) has not.
+
+    A pair of words that lies in a longer phrase of its document does not count.
+    """
+    w = F.split("phrase", " ")
+    weak = F.element_at(w, -1).isin(*V.WEAK_HEADS) | F.arrays_overlap(w, literals(V.WEAK_ANYWHERE)) | F.arrays_overlap(w, literals(V.DISALLOWED))
+    once = doc_phrases.filter(~weak).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1").select("doc_id", "phrase")
+    parts = F.array(F.array_join(F.slice(w, 1, 2), " "), F.array_join(F.slice(w, 2, 2), " "))
+    inner = doc_phrases.filter(F.size(w) == 3).select("doc_id", F.explode(parts).alias("phrase")).distinct()
+    known = dictionary.select(F.explode(F.concat(F.array("canonical"), "variants")).alias("phrase")).distinct()
+    left = once.join(inner, ["doc_id", "phrase"], "left_anti").join(known, "phrase", "left_anti")
+    return left.select(F.col("phrase").alias("canonical"), F.array().cast("array<string>").alias("variants"), F.lit(1).cast("long").alias("doc_freq"))
+
+
+def concept_dictionary(phrases: DataFrame, clusters: DataFrame, doc_phrases: DataFrame, n_docs: int) -> DataFrame:
+    """canonical, variants, doc_freq, idf: the clusters' concepts, consolidated, then those of one document."""
+    several = cut(consolidated(concepts_of(phrases, clusters)))
+    both = several.unionByName(single_concepts(doc_phrases, several))
+    return both.withColumn("idf", F.round(F.log((n_docs + 1) / (F.col("doc_freq") + 1)), 6))
 
 
-def document_concepts(texts: DataFrame, dictionary: DataFrame, k: int = 12, least: float = 1.2) -> DataFrame:
-    """doc_id, rank, concept, score: the dictionary's concepts that a document uses, by uses times idf.
+#: A title is denser than prose: its phrases count so many times.
+TITLE_WEIGHT = 3
 
-    Variants count for their canonical form; phrases of three words get 0.35 more.
+
+def document_concepts(texts: DataFrame, dictionary: DataFrame, n_docs: int, k: int = 12, least: float = 1.2) -> DataFrame:
+    """doc_id, rank, concept, score: the dictionary's concepts that texts(doc_id, title, text) use, by weighted uses times idf.
+
+    No phrase goes over a colon, semicolon or comma of the title, or over a slash or comma of
+    the text. Variants count for their canonical form; low-signal concepts do not count;
+    concepts of three words get 0.35 more. A concept without idf, or with 0, has
+    ln((documents + 1) / (frequency + 1)) + 1.
     """
-    names = dictionary.select("canonical", "idf", F.explode(F.concat(F.array("canonical"), "variants")).alias("phrase"))
-    grams = let(split_words(F.col("text")), lambda w: F.concat(ngrams(w, 2), ngrams(w, 3)))
-    uses = texts.select("doc_id", F.inline(in_row_counts(grams))).withColumnRenamed("term", "phrase")
-    found = uses.join(names, "phrase").groupBy("doc_id", "canonical", "idf").agg(F.sum("tf").alias("tf"))
-    score = F.round(F.col("tf") * F.col("idf") + F.when(F.size(F.split("canonical", " ")) >= 3, 0.35).otherwise(0.0), 6)
+    names = dictionary.select("canonical", "idf", "doc_freq", F.explode(F.concat(F.array("canonical"), "variants")).alias("phrase")).filter(~low_signal_term(F.col("canonical")))
+
+    def phrases(text: Column, cuts: str) -> Column:
+        parts = F.split(F.coalesce(text, F.lit("")), cuts)
+        return F.flatten(F.transform(parts, lambda p: let(split_words(p), lambda w: F.concat(ngrams(w, 2), ngrams(w, 3)))))
+
+    weighed = lambda text, cuts, weight: F.transform(in_row_counts(phrases(F.col(text), cuts)), lambda x: F.struct(x["term"].alias("phrase"), (x["tf"] * weight).alias("tf")))
+    uses = texts.select("doc_id", F.inline(F.concat(weighed("title", "[:;,]", TITLE_WEIGHT), weighed("text", "[/,]", 1))))
+    found = uses.join(names, "phrase").groupBy("doc_id", "canonical", "idf", "doc_freq").agg(F.sum("tf").alias("tf"))
+    idf = F.coalesce(F.nullif(F.col("idf"), F.lit(0.0)), F.log((n_docs + 1) / (F.coalesce("doc_freq", F.lit(0)) + 1)) + 1)
+    score = F.round(F.col("tf") * idf + F.when(F.size(F.split("canonical", " ")) >= 3, 0.35).otherwise(0.0), 6)
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("tf"), "canonical"))
     return found.withColumn("score", score).filter(F.col("score") >= least).withColumn("rank", rank).filter(F.col("rank") <= k).select("doc_id", "rank", F.col("canonical").alias("concept"), "score")

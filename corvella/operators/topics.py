@@ -140,3 +140,76 @@ def plane(vectors: DataFrame) -> DataFrame:
     rows = vectors.select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
     out = PCA(k=2, inputCol="features", outputCol="p").fit(rows).transform(rows).select("vec_id", vector_to_array("p").alias("p"))
     return out.select("vec_id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+
+def class_weights(uses: DataFrame) -> DataFrame:
+    """topic_id, term, weight of uses(topic_id, term, n): class-wise TF-IDF.
+
+    A topic's share of uses that a term has, times ln(1 + mean uses of a topic / uses of the
+    term in all topics).
+    """
+    sizes = uses.groupBy("topic_id").agg(F.sum("n").alias("size"))
+    terms = uses.groupBy("term").agg(F.sum("n").alias("all"))
+    # One row.
+    mean = sizes.agg(F.avg("size")).first()[0] or 0.0
+    both = uses.join(terms, "term").join(sizes, "topic_id")
+    return both.select("topic_id", "term", (F.col("n") / F.col("size") * F.log(1 + F.lit(float(mean)) / F.col("all"))).alias("weight"))
+
+
+def topic_terms(weights: DataFrame, k: int = 10) -> DataFrame:
+    """topic_id, rank, term, weight: the k terms of most weight of each topic; ties by term."""
+    rounded = weights.withColumn("weight", F.round("weight", 9))
+    rank = F.row_number().over(W.partitionBy("topic_id").orderBy(F.desc("weight"), "term"))
+    return rounded.withColumn("rank", rank).filter(F.col("rank") <= k).select("topic_id", "rank", "term", "weight")
+
+
+def reassigned(uses: DataFrame, assigned: DataFrame, least: float = 0.15) -> DataFrame:
+    """doc_id, topic_id: assigned(doc_id, topic_id) with outliers (-1) moved to the topic whose terms they share.
+
+    uses(doc_id, term, n) are the documents' terms. An outlier's terms are weighed as a topic's
+    are; it goes to the topic of the greatest cosine, ties to the smaller topic, if that is
+    `least` or more. Only outliers' terms meet the topics', in an equi-join on the term.
+    """
+    placed = uses.join(assigned, "doc_id")
+    by_topic = placed.groupBy("topic_id", "term").agg(F.sum("n").alias("n"))
+    weights = class_weights(by_topic).filter("topic_id <> -1")
+    norms = weights.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    mean = by_topic.groupBy("topic_id").agg(F.sum("n").alias("size")).agg(F.avg("size")).first()[0] or 0.0
+    terms = by_topic.groupBy("term").agg(F.sum("n").alias("all"))
+    loose = placed.filter("topic_id = -1").select("doc_id", "term", "n")
+    size = loose.groupBy("doc_id").agg(F.sum("n").alias("size"))
+    own = loose.join(size, "doc_id").join(terms, "term").select("doc_id", "term", (F.col("n") / F.col("size") * F.log(1 + F.lit(float(mean)) / F.col("all"))).alias("own"))
+    length = own.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("own") * F.col("own"))).alias("length"))
+    dots = own.join(weights, "term").groupBy("doc_id", "topic_id").agg(F.sum(F.col("own") * F.col("weight")).alias("dot"))
+    near = dots.join(norms, "topic_id").join(length, "doc_id").withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("length")), 9)).filter(F.col("cosine") >= least)
+    best = near.groupBy("doc_id").agg(F.max_by("topic_id", F.struct("cosine", -F.col("topic_id"))).alias("to"))
+    return assigned.join(best, "doc_id", "left").select("doc_id", F.coalesce("to", "topic_id").alias("topic_id"))
+
+
+def published(candidates: DataFrame, overridden: DataFrame, least: int = 80) -> DataFrame:
+    """candidates(id, topic_id, label, score, created, status, warned) after publishing: the best passing one of each topic is auto_selected, its others rejected.
+
+    Topics of overridden(topic_id) and those without a passing candidate stay as they are.
+    Candidates that were rejected are not considered.
+    """
+    able = candidates.filter(F.col("status").isin("pending", "selected", "auto_selected") & (F.col("score") >= least) & ~F.col("warned"))
+    best = able.join(overridden, "topic_id", "left_anti").groupBy("topic_id").agg(F.max(F.struct("score", "created", "id")).alias("b")).select("topic_id", F.col("b.id").alias("chosen"))
+    both = candidates.join(best, "topic_id", "left")
+    status = F.when(F.col("chosen").isNull(), F.col("status")).when(F.col("id") == F.col("chosen"), "auto_selected").otherwise("rejected")
+    return both.withColumn("status", status).drop("chosen")
+
+
+def selected(candidates: DataFrame, topic_id: int, chosen: int) -> DataFrame:
+    """candidates after one is selected by hand: it is selected, the others of its topic are rejected. One of another topic changes nothing."""
+    known = candidates.filter((F.col("id") == chosen) & (F.col("topic_id") == topic_id)).select("topic_id")
+    both = candidates.join(F.broadcast(known.withColumn("__hit", F.lit(True))), "topic_id", "left")
+    status = F.when(F.col("__hit"), F.when(F.col("id") == chosen, "selected").otherwise("rejected")).otherwise(F.col("status"))
+    return both.withColumn("status", status).drop("__hit")
+
+
+def summary(doc_topics: DataFrame, topics: DataFrame) -> DataFrame:
+    """topic_id, label, n of a set of documents: outliers are uncategorised, unknown topics named by their number."""
+    counts = doc_topics.filter("topic_id is not null").groupBy("topic_id").agg(F.count(F.lit(1)).alias("n"))
+    named = counts.join(topics.select("topic_id", "label"), "topic_id", "left")
+    label = F.when(F.col("topic_id") == -1, "Uncategorized").otherwise(display_label(F.coalesce("label", F.concat(F.lit("Topic "), F.col("topic_id").cast("string")))))
+    return named.select("topic_id", label.alias("label"), "n")

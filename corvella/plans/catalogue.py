@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvella.plans import admin, corpus, graph, parsing, people, storage, streams, subjects, texts
+from corvella.plans import admin, corpus, details, graph, parsing, people, storage, streams, subjects, texts
 
-PARTS = (graph, corpus, subjects, texts, people, streams, parsing, admin, storage)
+PARTS = (graph, corpus, subjects, texts, people, streams, parsing, admin, storage, details)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -123,16 +123,23 @@ def phrase_clusters(t: Tables) -> DataFrame:
     return P.phrase_clusters(kept(t))
 
 
+def dictionary(t: Tables) -> DataFrame:
+    rows = kept(t)
+    return P.concept_dictionary(rows, P.phrase_clusters(rows), cut(P.doc_phrases(t.raw("documents"))), t.raw("documents").count())
+
+
 @R.query()
 def concept_dictionary(t: Tables) -> DataFrame:
-    rows = kept(t)
-    return P.concept_dictionary(rows, P.phrase_clusters(rows), t.raw("documents").count())
+    return dictionary(t)
 
 
 @R.query()
 def document_concept_terms(t: Tables) -> DataFrame:
-    rows, n = kept(t), t.raw("documents").count()
-    return P.document_concepts(t.raw("documents"), P.concept_dictionary(rows, P.phrase_clusters(rows), n), 12)
+    """The first sentence of a text is taken for its title."""
+    docs = t.raw("documents")
+    end = F.length(F.substring_index("text", ".", 1))
+    parts = docs.select("doc_id", F.substring("text", F.lit(1), end).alias("title"), F.substring("text", end + 1, F.length("text")).alias("text"))
+    return P.document_concepts(parts, dictionary(t), docs.count(), 12)
 
 
 #: Labels that the synthetic prose has; the production patterns find nothing in it.
