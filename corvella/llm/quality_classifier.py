@@ -147,7 +147,7 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], s: Setti
 class Scorer:
     """Scores texts; words' pulls are kept, up to a bound, since words recur."""
 
-    MOST_WORDS = 400_000
+    MOST_WORDS = 200_000
     LONGEST_KEPT = 64
 
     def __init__(self, model: Model):
