@@ -87,7 +87,7 @@ def concept_phrases(t: Tables) -> DataFrame:
 
 
 QUALITY = f"""
-WITH f AS {FREQ}, c AS (SELECT p AS phrase, count(*) AS containers, avg(doc_freq) AS mean FROM (
+WITH f AS MATERIALIZED {FREQ}, c AS MATERIALIZED (SELECT p AS phrase, count(*) AS containers, avg(doc_freq) AS mean FROM (
  SELECT doc_freq, unnest(CASE len(string_split(phrase, ' ')) WHEN 2 THEN string_split(phrase, ' ')
  ELSE list_concat(string_split(phrase, ' '), [array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) END) AS p FROM f) GROUP BY p),
 q AS (SELECT f.phrase, doc_freq, coalesce(containers, 0) AS containers, string_split(f.phrase, ' ') AS w, string_split(f.phrase, ' ')[-1] AS head,
