@@ -85,6 +85,12 @@ def dedup_lines(docs: DataFrame, *more: str, min_chars: int = 20, min_docs: int
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 of each document."""
+    """doc_id, n_lines, n_dropped, kept_sha256: one row for each row of docs.
+
+    A null or empty text is one empty line. A line repeated within a document is found in one
+    document; of documents that hold a key the largest id keeps all its lines, null ids count
+    as one document smaller than all others. Other columns are not read; an empty table gives
+    an empty result.
+    """
     own = docs.select("doc_id", "text")
     return dedup_lines(own, "n_lines", "n_dropped").select("doc_id", "n_lines", "n_dropped", hex_sha256(F.col("text")).alias("kept_sha256"))

@@ -90,6 +90,19 @@ def shard_by_curve(rows: DataFrame, dims: list[Column], ties: list[str], n_shard
     return out.select(*keep, "curve", F.col("shard").cast("int").alias("shard"), (F.col("__rank") - first).alias("slot"))
 
 
+def _dims(rows: DataFrame, bits: int) -> list[Column]:
+    """Cells of source, language, size (rows have it) and doc_id; the last is its place between the least and the greatest id."""
+    # As doubles, ids that lie far apart have a span.
+    span = rows.agg(F.min(F.col("doc_id").cast("double")).alias("lo"), F.max(F.col("doc_id").cast("double")).alias("hi")).first()
+    lo, width = span["lo"] or 0.0, max(1.0, (span["hi"] or 0.0) - (span["lo"] or 0.0) + 1.0)
+    cell = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(lo)) / F.lit(width) * (1 << bits)), F.lit(0))
+    return [quantise_hash(F.col("source"), bits), quantise_hash(F.col("lang"), bits), quantise_log2(F.col("size"), bits), F.least(cell, F.lit((1 << bits) - 1))]
+
+
+def _size() -> Column:
+    return (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 1).cast("long")
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 8, bits: int = 8) -> DataFrame:
     """Shards of documents(doc_id, text, lang, source) by the curve over doc_id, language, source and size.
 
@@ -97,19 +110,21 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, bits: int = 8) -> DataFr
     separator) and the checksum of no bytes; null doc_id, lang and source fall into cells
     of their own; repeated rows each get a slot. Other columns of docs are not read.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    small = docs.select("doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    span = small.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    lo, width = span["lo"] or 0, max(1, (span["hi"] or 0) - (span["lo"] or 0) + 1)
-    cell = F.coalesce(F.floor((F.col("doc_id") - lo) / F.lit(float(width)) * (1 << bits)), F.lit(0))
-    dims = [quantise_hash(F.col("source"), bits), quantise_hash(F.col("lang"), bits), quantise_log2(F.col("size"), bits), F.least(cell, F.lit((1 << bits) - 1))]
-    out = shard_by_curve(small, dims, ["doc_id", "text_crc32"], n_shards, bits, ["doc_id", "size", "text_crc32"])
+    small = docs.select("doc_id", "lang", "source", _size().alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
+    out = shard_by_curve(small, _dims(small, bits), ["doc_id", "text_crc32"], n_shards, bits, ["doc_id", "size", "text_crc32"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 8, rows_per_file: int = 1_000_000) -> None:
-    """Writes whole documents under path/shard=N, each file a run of the curve. docs need a unique doc_id here."""
-    placed = shard_documents(docs, n_shards).select("doc_id", "shard", "slot")
-    files = F.expr(f"slot div {rows_per_file}")
-    whole = docs.join(placed, "doc_id")
-    whole.repartition("shard", files).sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").option("maxRecordsPerFile", rows_per_file).parquet(path)
+def write_shards(docs: DataFrame, path: str, n_shards: int = 8, rows_per_file: int = 1_000_000, bits: int = 8) -> None:
+    """Writes whole documents, all columns, under path/shard=N, each file a run of the curve of about rows_per_file rows.
+
+    One range exchange; every row is written once, repeated ones too. Files are near equal,
+    not exactly: exact shards are those of shard_documents.
+    """
+    names = docs.columns
+    sized = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("__row"), "doc_id", "lang", "source", _size().alias("size"))
+    files = max(n_shards, -(-docs.count() // rows_per_file))
+    placed = sized.withColumn("__curve", hilbert_index(_dims(docs.select("doc_id"), bits), bits))
+    ranged = placed.repartitionByRange(files, "__curve", "doc_id").sortWithinPartitions("__curve", "doc_id")
+    shard = F.expr(f"cast(spark_partition_id() * {n_shards} div {files} as int)")
+    ranged.select(*[F.col("__row").getField(c).alias(c) for c in names], shard.alias("shard")).write.partitionBy("shard").option("maxRecordsPerFile", 2 * rows_per_file).parquet(path)

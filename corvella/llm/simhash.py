@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from corvella.llm.columns import carried, restored
 from corvella.llm.components import components
-from corvella.llm.store import Cuts, shuffle_width
+from corvella.llm.store import Cuts, few, shuffle_width
 
 SEED = 42
 
@@ -217,13 +217,19 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
 def keep_first(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """docs, all columns, without the rows whose class holds a smaller doc_id. Of rows that repeat a doc_id all or none stay.
 
-    Rows with a null id stay. The ids to drop are narrow and are built into hash tables; the texts stream by.
+    Rows with a null id stay. The ids to drop are narrow: they go to the texts, unless they are many.
     """
-    gone = near_duplicates(docs, width, radius).filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    cuts = Cuts(docs.sparkSession, "keep-first")
+    gone = cuts.cut(near_duplicates(docs, width, radius).filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     rows = carried(docs, __id=F.col("doc_id"))
-    return restored(rows.join(gone.hint("shuffle_hash"), F.col("__id") == F.col("__gone"), "left_anti"), docs.columns)
+    return restored(rows.join(few(gone), F.col("__id") == F.col("__gone"), "left_anti"), docs.columns)
 
 
 def simhash_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id."""
+    """doc_id, fingerprint (16 hex digits), component_id: one row for each row of docs.
+
+    Null, empty and blank texts have fingerprint 0 and link like any other. Repeated rows and
+    ids each have their row; a class's smallest id is its component, null where only null ids
+    are in it. Other columns are not read; an empty table gives an empty result.
+    """
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -124,6 +124,7 @@ def test_classifier(spark, wide):
     model = quality_classifier.fit(d, labels)
     kept = quality_classifier.keep_good(wide, model)
     assert kept.schema == wide.schema
+    assert {(r.doc_id, r.score) for r in quality_classifier.quality_scores(wide, labels).collect()} == {(r.doc_id, r.score) for r in quality_classifier.quality_scores(wide.select("doc_id", "text"), labels).collect()}
     blank = [r.score for r in wide.filter("text is null or text = ''").select(quality_classifier.score(model)(F.col("text")).alias("score")).collect()]
     assert len(set(blank)) == 1
 
@@ -245,6 +246,32 @@ def test_packing(docs, wide):
             assert max(Counter(source[r.doc_id] for r in own).values(), default=0) <= slots
 
 
+def test_packing_equals_slow_best_fit(spark, wide):
+    """The whole query, as one group, against trying all bins for each piece."""
+    cap, slots = 60, 1
+    rows = wide.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("cluster"), F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("hash")).collect()
+    pieces = []
+    for (i, source, text, cluster, h), n in Counter(map(tuple, rows)).items():
+        words = len(WORD.findall(text))
+        pieces += [(-(words % cap), "~" if i is None else str(i), cluster, h, k, words // cap) for k in range(n) if words % cap]
+    bins: list[list] = []
+    for size, i, cluster, h, _, piece in sorted(pieces):
+        able = [b for b in bins if cap + sum(x[0] for x in b) >= -size and cluster not in [x[2] for x in b] and [x[3] for x in b].count(h) < slots]
+        best = min(able, key=lambda b: cap + sum(x[0] for x in b), default=None)
+        if best is None:
+            bins.append(best := [])
+        best.append((size, i, cluster, h, piece))
+    got = {}
+    for r in packing.pack(wide, cap, slots, group=10**9).collect():
+        if r.bin_id is not None and r.bin_id >= 0:
+            got.setdefault(r.bin_id, []).append((-r.n_words, "~" if r.doc_id is None else str(r.doc_id), r.piece))
+    key = lambda b: tuple(sorted((x[0], x[1], x[-1]) for x in b))
+    fill = lambda found: Counter(sum(x[0] for x in b) for b in found)
+    # Of equally tight bins any may be taken, so what must agree is how full they are.
+    assert fill(got.values()) == fill(bins)
+    assert Counter(x for b in got.values() for x in key(b)) == Counter(x for b in bins for x in key(b))
+
+
 def test_packing_does_not_depend_on_the_layout(spark, docs):
     """Also where rows come from so many partitions that a row's place no longer fits few bits."""
     rows = docs.unionByName(docs.filter("doc_id in (9, 60)"))
@@ -728,6 +755,22 @@ def test_shards(docs, wide):
         assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
 
 
+def test_written_shards_are_pruned(spark, tmp_path):
+    """Every row is written once, and a range of ids, a size, a language or a source each rule out files by their statistics."""
+    rng = random.Random(2)
+    rows = [(i, "x" * (1 << rng.randint(0, 12)), rng.choice(["en", "de", "fr", None]), f"src{rng.randint(0, 3)}", i % 7) for i in range(4000)] + [(5, "again", "en", "src0", 1)] * 2 + [(None, None, None, None, None), ((1 << 62), "far", "en", "src1", 0), (-(1 << 62), "away", "en", "src1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, shard_of int").repartition(4)
+    near = docs.filter("doc_id between 0 and 4000")
+    for d, name in ((docs, "all"), (near, "near")):
+        sharding.write_shards(d, f"{tmp_path}/{name}", rows_per_file=60)
+        assert bag(spark.read.parquet(f"{tmp_path}/{name}").select(*d.columns).collect()) == bag(d.collect())
+    files = spark.read.parquet(f"{tmp_path}/near").withColumn("file", F.input_file_name()).withColumn("size", F.length("text")).groupBy("file").agg(*[f(c).alias(f"{n}_{c}") for c in ("doc_id", "size", "source") for n, f in (("lo", F.min), ("hi", F.max))]).collect()
+    assert len(files) > 50
+    for column, low, high in (("doc_id", 100, 400), ("size", 2000, 5000), ("source", "src2", "src2")):
+        read = [f for f in files if f[f"lo_{column}"] <= high and f[f"hi_{column}"] >= low]
+        assert len(read) < 0.6 * len(files), column
+
+
 # 10
 
 
@@ -782,3 +825,6 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     for f in (quality_rules.rule_verdicts, lambda d: quality_classifier.quality_scores(d, labels), packing.pack, pii.personal_digests, lambda d: piece_tokens.token_digests(d, MODEL), simhash.simhash_digests, line_dedup.line_digests, secret_scan.secret_digests, sharding.shard_documents):
         assert f(none).collect() == []
+    model = quality_classifier.train([], [])
+    for f in (lambda d: quality_classifier.keep_good(d, model), line_dedup.dedup_lines, simhash.keep_first, pii.mask):
+        assert f(none).collect() == [] and f(none).schema == none.schema
