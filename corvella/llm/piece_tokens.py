@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvella.llm.store import text_batches
+
 SPACE = "▁"
 
 #: No rank: greater than all.
@@ -492,7 +494,7 @@ def token_digests(docs: DataFrame, model_path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).astype({"n_tokens": np.int64})
 
     digests = F.pandas_udf(each, "n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return docs.select("doc_id", digests(F.col("text")).alias("t")).select("doc_id", "t.n_tokens", "t.ids_sha256", "t.decoded_sha256")
+    return text_batches(docs).select("doc_id", digests(F.col("text")).alias("t")).select("doc_id", "t.n_tokens", "t.ids_sha256", "t.decoded_sha256")
 
 
 def token_ids(docs: DataFrame, model_path: str) -> DataFrame:
@@ -505,4 +507,4 @@ def token_ids(docs: DataFrame, model_path: str) -> DataFrame:
         for texts in batches:
             yield pd.Series([[int(x) for x in s.split(b",")] if s else [] for part in _portions(texts.tolist()) for _, s, _ in encoder.encode(part)], dtype=object)
 
-    return docs.select("doc_id", F.pandas_udf(each, "array<int>")(F.col("text")).alias("ids"))
+    return text_batches(docs).select("doc_id", F.pandas_udf(each, "array<int>")(F.col("text")).alias("ids"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvella.llm.columns import carried, restored
-from corvella.llm.store import Cuts
+from corvella.llm.store import Cuts, text_batches
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -203,7 +203,7 @@ def scan(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "th", "n_email", "n_ip", "n_card", "n_phone", "spans", "near"])
 
     # As text, an id passes pandas whole, also beside nulls.
-    found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), _key().alias("th"), "text").mapInPandas(each, SCAN)
+    found = text_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), _key().alias("th"), "text").mapInPandas(each, SCAN)
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

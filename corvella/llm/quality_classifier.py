@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvella.llm.store import text_batches
+
 #: The pseudo word that stands for a word equal to the one before it. No word holds a blank.
 DOUBLED = b" ="
 
@@ -62,7 +64,7 @@ def features(words: list[bytes], s: Settings) -> list[tuple[np.ndarray, np.ndarr
 
 
 #: Texts whose words are looked up together.
-TEXTS, CHARS = 512, 4_000_000
+TEXTS, CHARS = 512, 1_000_000
 
 
 def portions(texts: list[str | None]) -> Iterator[list[str | None]]:
@@ -204,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
         made = [weighted(t, s) for t in texts]
         return pd.DataFrame({"ids": [i.tobytes() for i, _ in made], "shares": [w.tobytes() for _, w in made]})
 
-    one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "__quality").agg(F.min("text").alias("text"))
+    one = text_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "__quality").agg(F.min("text").alias("text"))
     counted = one.select("doc_id", "__quality", F.pandas_udf(each, "ids binary, shares binary")("text").alias("x"), F.xxhash64("doc_id").alias("h"))
     rows = sorted(counted.select("doc_id", "__quality", "x.ids", "x.shares", "h").collect(), key=lambda r: (r["h"], r["doc_id"]))
     return train([(np.frombuffer(r["ids"], dtype=np.int32), np.frombuffer(r["shares"], dtype=np.float32)) for r in rows], [int(r["__quality"] > 0) for r in rows], s)
@@ -223,7 +225,7 @@ def score(model: Model):
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of docs that score at least `threshold`, with all their columns."""
-    return docs.filter(score(model)(F.col("text")) >= threshold)
+    return text_batches(docs).filter(score(model)(F.col("text")) >= threshold)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -233,5 +235,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, s: Settings = Settings())
     texts have equal scores, so repeated rows do; a null id is held out or not as if it had no
     digits. Other columns are not read; an empty table gives an empty result.
     """
-    out = docs.select("doc_id", score(fit(docs, labels, s))(F.col("text")).alias("score"))
+    out = text_batches(docs).select("doc_id", score(fit(docs, labels, s))(F.col("text")).alias("score"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from corvella.llm.columns import carried, restored
 from corvella.llm.components import components
-from corvella.llm.store import Cuts, few, shuffle_width
+from corvella.llm.store import Cuts, few, shuffle_width, text_batches
 
 SEED = 42
 
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     def each(texts: pd.Series) -> pd.Series:
         return pd.Series(np.fromiter((fingerprint(t, width) for t in texts), dtype=np.uint64, count=len(texts)).view(np.int64))
 
-    return docs.select("doc_id", F.pandas_udf(each, "long")(F.col("text")).alias("fp"))
+    return text_batches(docs).select("doc_id", F.pandas_udf(each, "long")(F.col("text")).alias("fp"))
 
 
 def _runs(bits: list[int], n: int) -> list[int]:

@@ -46,5 +46,17 @@ def few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= FEW_ROWS else keys.hint("shuffle_hash")
 
 
+#: Spark bounds Arrow batches by rows alone, and its usual bound, in texts of some size, fills a worker's memory.
+BATCH_KEY, USUAL, TEXTS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
+def text_batches(docs: DataFrame) -> DataFrame:
+    """docs, whose texts go to Python: batches hold 1000 rows in a session that has not set another number."""
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH_KEY) == USUAL:
+        conf.set(BATCH_KEY, TEXTS)
+    return docs
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
