@@ -22,9 +22,9 @@ def in_order(rows: DataFrame, cuts: Cuts, key: list[str], order: list[str | Colu
     placed = cuts.cut(rows.withColumn("__at", F.monotonically_increasing_id()), "placed")
     by = [*key, *order, "__at"]
     ranged = placed.repartitionByRange(shuffle_width(rows.sparkSession), *by).sortWithinPartitions(*by).drop("__at")
-    written = cuts.cut(ranged.withColumn("__row", F.monotonically_increasing_id()), "ranged")
+    written = cuts.cut(ranged.withColumn("__serial", F.monotonically_increasing_id()), "ranged")
     cuts.drop(placed)
-    ranged = written.withColumn("__part", F.shiftright("__row", 33)).withColumn("__local", F.col("__row").bitwiseAND(_LOCAL))
+    ranged = written.withColumn("__part", F.shiftright("__serial", 33)).withColumn("__local", F.col("__serial").bitwiseAND(_LOCAL))
     sums = [F.sum(amount).alias("__sum")] if amount else []
     runs = ranged.groupBy("__part", *key).agg(F.min("__local").alias("__first"), F.count(F.lit(1)).alias("__n"), *sums)
     whole = W.partitionBy(*key)
@@ -36,7 +36,7 @@ def in_order(rows: DataFrame, cuts: Cuts, key: list[str], order: list[str | Colu
     # One row for each run: partitions and keys together.
     runs = cuts.cut(runs.select(F.col("__part").alias("__p"), *[F.col(k).alias(v) for k, v in names.items()], *known), "runs")
     if amount:
-        own = W.partitionBy("__part", *key).orderBy("__row")
+        own = W.partitionBy("__part", *key).orderBy("__serial")
         ranged = ranged.withColumn("__own", F.sum(amount).over(own) - F.col(amount))
     same = F.col("__part") == F.col("__p")
     for k, v in names.items():
