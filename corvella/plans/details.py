@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvella.functions import citations as C
-from corvella.functions.parsers import junk_citation, tei_citations
+from corvella.functions import parsers as X
+from corvella.functions.parsers import junk_citation
 from corvella.functions.text import canonicalise
 from corvella.operators import people as P
 from corvella.operators import phrases as H
@@ -25,10 +26,10 @@ R = Registry()
 # Sinks and merges.
 
 
-@R.query("SELECT doc_id, pos, name FROM (SELECT doc_id, pos, CASE WHEN affiliation = 'CANADA' THEN 'Examining Committee' ELSE name END AS name FROM committee) WHERE lower(name) <> 'examining committee'")
+@R.query("SELECT doc_id, pos, name FROM (SELECT doc_id, pos, CASE WHEN affiliation = 'NATION_3' THEN 'Examining Committee' ELSE name END AS name FROM committee) WHERE lower(name) <> 'examining committee'")
 def committee_purged(t: Tables) -> DataFrame:
     """The committee without headings; here, those of one country stand for headings that were read as names."""
-    name = F.when(F.col("affiliation") == "CANADA", "Examining Committee").otherwise(F.col("name"))
+    name = F.when(F.col("affiliation") == "NATION_3", "Examining Committee").otherwise(F.col("name"))
     return D.without_artefacts(t.committee().withColumn("name", name)).select("doc_id", "pos", "name")
 
 
@@ -89,12 +90,12 @@ def source_field_lists(t: Tables) -> DataFrame:
     return t.raw("part").select(F.col("p_partkey").alias("id"), D.source_fields(asked).alias("fields"))
 
 
-@R.query("SELECT doc_id, CASE WHEN source = 'web' THEN source ELSE '(Unspecified)' END AS subjects, 0 AS themes, CASE WHEN lang = 'en' THEN n_chars ELSE length(coalesce(text, '')) END::BIGINT AS char_count FROM documents")
+@R.query("SELECT doc_id, CASE WHEN source = 'src3' THEN source ELSE '(Unspecified)' END AS subjects, 0 AS themes, CASE WHEN lang = 'en' THEN n_chars ELSE length(coalesce(text, '')) END::BIGINT AS char_count FROM documents")
 def records_repaired(t: Tables) -> DataFrame:
     rows = t.raw("documents").select(
         "doc_id",
         F.col("text").alias("abstract"),
-        F.when(F.col("source") == "web", F.array("source")).alias("subjects"),
+        F.when(F.col("source") == "src3", F.array("source")).alias("subjects"),
         F.lit(None).cast("array<string>").alias("themes"),
         F.when(F.col("lang") == "en", F.col("n_chars")).cast("long").alias("char_count"),
     )
@@ -133,12 +134,12 @@ def documents_with_committee(t: Tables) -> DataFrame:
 
 @R.query("""
 SELECT requested, coalesce(CASE WHEN regexp_matches(requested, '^[0-9]+$') THEN requested END, r_regionkey::VARCHAR, requested) AS index FROM (
- SELECT CASE WHEN n_name < 'G' THEN n_nationkey::VARCHAR WHEN n_name < 'M' THEN (SELECT lower(r_name) FROM region WHERE r_regionkey = n_regionkey) ELSE n_name END AS requested FROM nation) LEFT JOIN region ON lower(r_name) = lower(requested)""")
+ SELECT CASE WHEN n_nationkey < 8 THEN n_nationkey::VARCHAR WHEN n_nationkey < 16 THEN (SELECT lower(r_name) FROM region WHERE r_regionkey = n_regionkey) ELSE n_name END AS requested FROM nation) LEFT JOIN region ON lower(r_name) = lower(requested)""")
 def index_names(t: Tables) -> DataFrame:
     """Collections asked for by number, by name, and by a name that none has."""
     nation, region = t.raw("nation"), t.raw("region")
     both = nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
-    asked = F.when(F.col("n_name") < "G", F.col("n_nationkey").cast("string")).when(F.col("n_name") < "M", F.lower("r_name")).otherwise(F.col("n_name"))
+    asked = F.when(F.col("n_nationkey") < 8, F.col("n_nationkey").cast("string")).when(F.col("n_nationkey") < 16, F.lower("r_name")).otherwise(F.col("n_name"))
     return D.resolved_index(both.select(asked.alias("requested")), region.select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("index")))
 
 
@@ -166,10 +167,10 @@ PERSONS = """(SELECT lower(replace(name, '#', ' ')) AS key, replace(name, '#', '
  FROM committee c JOIN docs d USING (doc_id) GROUP BY name)"""
 
 
-@R.query(f"SELECT key, name, doc_count, CASE WHEN first_year = last_year THEN first_year::VARCHAR ELSE concat(first_year, '–', last_year) END AS years FROM {PERSONS} WHERE list_contains(string_split(roles, '; '), 'Supervisor') AND contains(lower(concat_ws(' ', name, roles, affiliations)), 'an') ORDER BY doc_count DESC, lower(name), name")
+@R.query(f"SELECT key, name, doc_count, CASE WHEN first_year = last_year THEN first_year::VARCHAR ELSE concat(first_year, '–', last_year) END AS years FROM {PERSONS} WHERE list_contains(string_split(roles, '; '), 'Supervisor') AND contains(lower(concat_ws(' ', name, roles, affiliations)), 'nation_1') ORDER BY doc_count DESC, lower(name), name")
 def people_found(t: Tables) -> DataFrame:
     """People of a role with a text in their name, roles or affiliations, those with most documents first."""
-    found = D.people_sorted(D.people_filter(P.person_list(dotted(t), t.docs()), "Supervisor", "an"), "documents")
+    found = D.people_sorted(D.people_filter(P.person_list(dotted(t), t.docs()), "Supervisor", "nation_1"), "documents")
     return found.select("key", "name", "doc_count", P.year_range(F.col("first_year"), F.col("last_year")).alias("years"))
 
 
@@ -205,10 +206,10 @@ def supervisor_profile(t: Tables) -> DataFrame:
 
 @R.query("""
 SELECT x.topic_id, CASE WHEN x.topic_id = -1 THEN 'Uncategorized' ELSE regexp_replace(replace(label, '_', ' '), '^-?[0-9]+ ', '') END AS label, n FROM (
- SELECT topic_id, count(*) AS n FROM doc_topics JOIN docs USING (doc_id) WHERE affiliation = 'CANADA' GROUP BY 1) x JOIN topics t ON t.topic_id = x.topic_id""")
+ SELECT topic_id, count(*) AS n FROM doc_topics JOIN docs USING (doc_id) WHERE affiliation = 'NATION_3' GROUP BY 1) x JOIN topics t ON t.topic_id = x.topic_id""")
 def topic_summary(t: Tables) -> DataFrame:
     """Topics of one country's documents."""
-    own = t.doc_topics().join(t.docs().filter("affiliation = 'CANADA'").select("doc_id"), "doc_id", "left_semi")
+    own = t.doc_topics().join(t.docs().filter("affiliation = 'NATION_3'").select("doc_id"), "doc_id", "left_semi")
     return O.summary(own, t.topics())
 
 
@@ -230,9 +231,12 @@ def dated(t: Tables) -> DataFrame:
     return t.citations().select("id", F.concat_ws(" ", "text", (F.lit(1950) + F.col("year").cast("int")).cast("string")).alias("text"))
 
 
-@R.query("SELECT id, CASE WHEN length(text) < 25 THEN true ELSE false END AS junk FROM citations")
+@R.query("SELECT id, year::INTEGER > 40 OR year::INTEGER < 5 OR length(text) < 25 AS junk FROM citations")
 def junk_citations(t: Tables) -> DataFrame:
-    return t.citations().select("id", junk_citation(F.col("text")).alias("junk"))
+    """Some are notes on where they were found and some only a publisher; of the others those that are short are junk."""
+    size = F.col("year").cast("int")
+    text = F.when(size > 45, F.concat(F.lit("Retrieved from "), "text")).when(size > 40, F.concat(F.lit(" HTTP://x.org/"), "text")).when(size < 5, "Philadelphia, PA: Lippincott").otherwise(F.col("text"))
+    return t.citations().select("id", junk_citation(text).alias("junk"))
 
 
 @R.query(f"SELECT id, concat(trim(regexp_extract(text, '^([^,.(]+)', 1)), ', ', regexp_extract(text, '\\b((?:19|20)\\d{{2}})\\b', 1)) AS label FROM {DATED}")
@@ -260,12 +264,21 @@ def csl_citations(t: Tables) -> DataFrame:
     return t.raw("part").select(F.col("p_partkey").alias("id"), C.csl_text(csl).alias("text"))
 
 
-@R.query("SELECT p_partkey AS id, p_brand || ', ' || p_type AS author, p_name || ' & more' AS title, NULL::VARCHAR AS source, (1900 + p_size)::VARCHAR AS year FROM part UNION ALL SELECT p_partkey, '', 'Monograph', 'Journal', NULL FROM part")
+@R.query("""
+SELECT p_partkey AS id, p_brand || ', ' || p_type || '; Second, A. (' || (1900 + p_size) || '). ' || p_name || ' & more. Journal of ' || p_type || '. ' || p_size || CASE WHEN p_size > 25 THEN '(2)' ELSE '' END || '. 1-' || p_size AS text,
+ p_brand || ', ' || p_type || '; Second, A' AS author, p_name || ' & more' AS title, (1900 + p_size)::VARCHAR AS year, 'Journal of ' || p_type AS source FROM part
+UNION ALL SELECT p_partkey, '(' || (1900 + p_size) || '). Handbook of ' || p_type || '. ' || p_brand || ' Press', NULL, 'Handbook of ' || p_type, (1900 + p_size)::VARCHAR, NULL FROM part
+UNION ALL SELECT p_partkey, 'As printed: ' || p_name || ' by ' || p_brand, NULL, NULL, NULL, NULL FROM part""")
 def tei_references(t: Tables) -> DataFrame:
-    """Two references a document, with and without author and year."""
-    one = F.concat(F.lit('<TEI><biblStruct><analytic><title level="a">'), "p_name", F.lit(' &amp; more</title><author><persName><forename type="first">'), "p_type", F.lit("</forename><surname>"), "p_brand", F.lit('</surname></persName></author></analytic><date type="x" when="'), (F.lit(1900) + F.col("p_size")).cast("string"), F.lit('-05"/></biblStruct>'))
-    two = F.lit('<biblStruct><monogr><title level="m">Monograph</title><title level="j">Journal</title></monogr></biblStruct></TEI>')
-    return t.raw("part").select(F.col("p_partkey").alias("id"), F.inline(tei_citations(F.concat(one, two))))
+    """An article by two, a book, one as printed only, one that is too short and one that is junk, for each part."""
+    p = t.raw("part").select("p_partkey", "p_name", "p_type", "p_brand", F.col("p_size").cast("string").alias("n"), (F.lit(1900) + F.col("p_size")).cast("string").alias("y"), (F.col("p_size") > 25).alias("late"))
+    person = lambda given, family: F.concat(F.lit("<author><persName><forename type='first'>"), given, F.lit("</forename><forename type='middle'>M</forename><surname>"), family, F.lit("</surname></persName></author>"))
+    issue = F.when(F.col("late"), "<biblScope unit='issue'>2</biblScope>").otherwise("")
+    article = F.concat(F.lit("<TEI xmlns='http://www.tei-c.org/ns/1.0'><listBibl><biblStruct xml:id='b0'><analytic><title level='a' type='main'>"), "p_name", F.lit(" &amp; more</title>"), person(F.col("p_type"), F.col("p_brand")), person(F.lit("A"), F.lit("Second")), F.lit("</analytic><monogr><title level='j'>Journal of "), "p_type", F.lit("</title><imprint><biblScope unit='volume'>"), "n", F.lit("</biblScope>"), issue, F.lit("<biblScope unit='page' from='1' to='"), "n", F.lit("'/><date type='published' when='"), "y", F.lit("-05'/></imprint></monogr></biblStruct>"))
+    book = F.concat(F.lit("<biblStruct><monogr><title level='m'>Handbook of "), "p_type", F.lit("</title><imprint><publisher>"), "p_brand", F.lit(" Press</publisher><date>in "), "y", F.lit("</date></imprint></monogr></biblStruct>"))
+    printed = F.concat(F.lit("<biblStruct><note type='raw_reference'>As printed: "), "p_name", F.lit(" by "), "p_brand", F.lit("</note></biblStruct>"))
+    rest = F.lit("<biblStruct><monogr><title level='m'>Short</title></monogr></biblStruct><biblStruct><monogr><title level='m'>Retrieved from a place that is gone</title></monogr></biblStruct></listBibl></TEI>")
+    return X.tei_references(p.select(F.col("p_partkey").alias("id"), F.concat(article, book, printed, rest).alias("xml")), "xml")
 
 
 @R.query("SELECT p_partkey AS id, lower(regexp_replace(p_name || ' ' || p_type, '[^A-Za-z0-9]+', ' ', 'g')) AS text FROM part")
@@ -273,24 +286,48 @@ def canonical_texts(t: Tables) -> DataFrame:
     return t.raw("part").select(F.col("p_partkey").alias("id"), canonicalise(F.concat_ws("-_ ", "p_name", "p_type")).alias("text"))
 
 
-@R.query("""
-SELECT c_custkey::VARCHAR AS doc_id, c_name AS title, c_mktsegment AS author, 1990 + c_nationkey AS year, n_name AS affiliation, c_nationkey + 1 AS page_count, 'metadata_extent' AS page_source
+HIT = "CASE c_custkey % 4 WHEN 3 THEN c_name || ':' || c_mktsegment ELSE '1.' || c_custkey END"
+
+
+@R.query(f"""
+SELECT {HIT} AS doc_id, c_name AS title, [c_mktsegment, 'Other, A.'] AS authors, c_mktsegment AS author, ['Ann Lee'] AS supervisors, 'api' AS supervisors_source, [n_name] AS affiliation,
+ 'c' || (1990 + c_nationkey) AS date, 1990 + c_nationkey AS year, 'Master; Doctor' AS degree, n_name AS program, 'Thesis' AS type, '' AS rights, CASE c_custkey % 4 WHEN 2 THEN 'https://x.org/pdf/7/1.' || c_custkey || '?a=1' ELSE '' END AS doi,
+ 'North' AS campus, 'Graduate' AS scholarly_level, CASE WHEN c_nationkey > 12 THEN 'no number; ' || (c_nationkey + 1) || ' leaves' ELSE 'no number' END AS extent, CASE WHEN c_nationkey > 12 THEN c_nationkey + 1 ELSE 2 END AS page_count,
+ CASE WHEN c_nationkey > 12 THEN 'metadata_extent' ELSE 'estimated_from_metadata_words' END AS page_source, 'A survey of ' || lower(c_mktsegment) AS abstract, CASE WHEN c_nationkey > 5 THEN [n_name, 'two'] ELSE ['(Unspecified)'] END AS subjects,
+ 600::BIGINT AS word_count, 'metadata_text' AS word_source, 2999::BIGINT AS char_count, []::VARCHAR[] AS themes, ['Survey'] AS methodologies, []::VARCHAR[] AS concept_terms,
+ CASE c_custkey % 4 WHEN 1 THEN 'https://x.org/items/1.' || c_custkey || '#top' WHEN 0 THEN '1.' || c_custkey ELSE 'x7' END AS uri, '' AS original_record_url,
+ CASE c_custkey % 4 WHEN 1 THEN ['https://x.org/items/1.' || c_custkey || '#top'] WHEN 2 THEN ['https://x.org/pdf/7/1.' || c_custkey || '?a=1'] ELSE [] END AS download_candidates,
+ NULL::VARCHAR AS download_url, 'not_attempted' AS download_status, NULL::VARCHAR AS download_error, NULL::BIGINT AS file_bytes, NULL::BIGINT AS body_word_count
 FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def hit_records(t: Tables) -> DataFrame:
-    """Records of search hits, each page of hits one JSON payload."""
+    """All fields of search hits, each page of hits one JSON payload; ids stand in the record, its address, a file's address or nowhere."""
     rows = t.raw("customer").join(t.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    kind, late = F.col("c_custkey") % 4, F.col("c_nationkey")
+    named = F.concat(F.lit("1."), F.col("c_custkey").cast("string"))
     source = F.struct(
-        F.col("c_custkey").cast("string").alias("id"),
+        F.when(kind == 0, named).otherwise("x7").alias("identifier"),
         F.array(F.concat(F.lit(" "), "c_name", F.lit(" "))).alias("title"),
-        F.col("c_mktsegment").alias("creator"),
-        F.concat(F.lit("c"), (F.lit(1990) + F.col("c_nationkey")).cast("string")).alias("dateIssued"),
+        F.array(F.array("c_mktsegment", F.lit("")), F.array(F.lit("Other, A. "))).alias("creator"),
+        F.lit("").alias("supervisor"),
+        F.array(F.lit("Dr. Ann Lee"), F.lit("Lee, Ann")).alias("Supervisor"),
+        F.concat(F.lit("c"), (F.lit(1990) + late).cast("string")).alias("dateIssued"),
         F.array("n_name", F.lit("")).alias("Affiliation"),
-        F.array(F.lit("no number"), F.concat((F.col("c_nationkey") + 1).cast("string"), F.lit(" leaves"))).alias("extent"),
+        F.array(F.lit("Master"), F.lit("Doctor")).alias("degree_theses"),
+        F.col("n_name").alias("Program"),
+        F.lit("Thesis").alias("genre"),
+        F.lit("North").alias("campus"),
+        F.lit("Graduate").alias("ScholarlyLevel"),
+        F.concat(F.lit("A survey of "), F.lower("c_mktsegment")).alias("description"),
+        F.repeat(F.lit("word \n"), F.lit(600)).alias("transcript"),
+        F.when(late > 5, F.array("n_name", F.lit("two"))).alias("keywords"),
+        F.when(late > 12, F.array(F.lit("no number"), F.concat((late + 1).cast("string"), F.lit(" leaves")))).otherwise(F.array(F.lit("no number"))).alias("extent"),
+        F.when(kind == 1, F.concat(F.lit("https://x.org/items/"), named, F.lit("#top"))).otherwise("").alias("uri"),
+        F.when(kind == 2, F.concat(F.lit("https://x.org/pdf/7/"), named, F.lit("?a=1"))).alias("doi"),
+        F.lit(0).alias("rights"),
     )
-    paged = rows.groupBy((F.col("c_custkey") / 100).cast("long").alias("page")).agg(F.collect_list(F.struct(F.col("c_custkey").cast("string").alias("_id"), source.alias("_source"))).alias("hits"))
+    paged = rows.groupBy((F.col("c_custkey") / 100).cast("long").alias("page")).agg(F.collect_list(F.struct(F.lit("h").alias("_id"), source.alias("_source"))).alias("hits"))
     payload = F.to_json(F.struct(F.struct(F.struct("hits").alias("hits")).alias("data")))
-    found = S.records(S.hits(paged.select(payload.alias("payload"))))
-    return found.select("doc_id", "title", "author", F.col("year").cast("long").alias("year"), F.array_join("affiliation", "; ").alias("affiliation"), "page_count", "page_source")
+    return S.records(S.hits(paged.select(payload.alias("payload"))))
 
 
 # Topics.

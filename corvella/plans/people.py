@@ -125,10 +125,10 @@ def committee_delete_roles(t: Tables) -> DataFrame:
     return M.without_roles(t.committee(), 7, ("Supervisor", "Co-Supervisor"), "pdf").select("doc_id", "name", "role")
 
 
-@R.query("SELECT id, text FROM citations WHERE id IN (SELECT citation_id FROM links JOIN docs USING (doc_id) WHERE year = 1992)")
+@R.query("SELECT id, text FROM citations WHERE id IN (SELECT citation_id FROM links JOIN docs USING (doc_id) WHERE year = 1996)")
 def orphan_citation_cleanup(t: Tables) -> DataFrame:
-    """What is left of the citations once the documents after the first year are deleted with their links."""
-    left = t.links().join(t.docs().filter("year = 1992").select("doc_id"), "doc_id")
+    """What is left of the citations once the documents of all years but one are deleted with their links."""
+    left = t.links().join(t.docs().filter("year = 1996").select("doc_id"), "doc_id")
     return M.without_orphans(t.citations(), left).select("id", "text")
 
 

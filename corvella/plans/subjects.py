@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvella.operators import terms as T
+from corvella.operators.bundle import TOPS, bundle, facts
 from corvella.plans.corpus import ACTIVE, BOTH, WORDS_OK, both
 from corvella.plans.registry import Registry
 from corvella.sources.views import SUPERVISING, Tables
@@ -105,6 +106,43 @@ def network_degree(t: Tables) -> DataFrame:
     return T.degrees(T.people_network(people(t))[1])
 
 
+def _slices(kind: str, rows: str, k: int) -> str:
+    top = f"(SELECT value, count(*) AS n FROM {rows} GROUP BY value ORDER BY n DESC, value LIMIT {k})"
+    own = f"(SELECT r.value, d.year, d.words FROM {rows} r JOIN d USING (doc_id) WHERE r.value IN (SELECT value FROM {top}))"
+    return f"SELECT '{kind}' AS slice, value, NULL::INTEGER AS year, count(*) AS n, sum(words)::BIGINT AS words FROM {own} GROUP BY value UNION ALL SELECT '{kind}_by_year', value, year, count(*), sum(words)::BIGINT FROM {own} WHERE year IS NOT NULL GROUP BY value, year"
+
+
+def bundle_sql(words: str) -> str:
+    kinds = {
+        "term": "(SELECT doc_id, term AS value FROM terms)",
+        "method": "(SELECT doc_id, method AS value FROM methods)",
+        "topic": "(SELECT doc_id, topic_id::VARCHAR AS value FROM doc_topics WHERE topic_id <> -1)",
+        "person": "(SELECT DISTINCT l_orderkey AS doc_id, l_suppkey::VARCHAR AS value FROM lineitem WHERE l_linenumber <= 3)",
+        "word": words,
+    }
+    parts = " UNION ALL ".join(_slices(k, rows, TOPS[k]) for k, rows in kinds.items())
+    return f"WITH d AS (SELECT doc_id, year, words FROM (SELECT doc_id, year FROM docs) LEFT JOIN (SELECT doc_id, coalesce(body_word_count, word_count) AS words FROM metrics) USING (doc_id)) SELECT 'overall' AS slice, NULL::VARCHAR AS value, NULL::INTEGER AS year, count(*) AS n, sum(words)::BIGINT AS words FROM d UNION ALL SELECT 'by_year', NULL, year, count(*), sum(words)::BIGINT FROM d WHERE year IS NOT NULL GROUP BY year UNION ALL {parts}"
+
+
+@R.query(bundle_sql("(SELECT DISTINCT o_orderkey AS doc_id, unnest(string_split(lower(replace(o_orderpriority, '-', ' ')), ' ')) AS value FROM orders)"))
+def workbench_bundle(t: Tables) -> DataFrame:
+    """The counts of all slices of a workbench; each table is scanned once, as a document's lines give its terms, methods and people."""
+    line, part, orders, e = t.raw("lineitem"), t.raw("part"), t.raw("orders"), t.raw("embeddings")
+    lines = line.join(part, line["l_partkey"] == part["p_partkey"]).groupBy(F.col("l_orderkey").alias("doc_id")).agg(
+        F.collect_set("p_name").alias("term"),
+        F.collect_set("p_brand").alias("method"),
+        F.collect_set(F.when(F.col("l_linenumber") <= 3, F.col("l_suppkey").cast("string"))).alias("person"),
+        F.floor(F.sum("l_extendedprice")).cast("long").alias("all"),
+        F.floor(F.sum(F.when(F.col("l_linenumber") <= 2, F.col("l_extendedprice")))).cast("long").alias("body"),
+    )
+    turn = e.agg(F.coalesce(F.max("vec_id"), F.lit(0)) + 1).scalar()
+    rows = orders.select(F.col("o_orderkey").alias("doc_id"), F.year("o_orderdate").alias("year"), F.split(F.lower(F.replace("o_orderpriority", F.lit("-"), F.lit(" "))), " ").alias("word"), (F.col("o_orderkey") % turn).alias("vec_id"))
+    topic = F.when(F.col("label") != 9, F.array(F.col("label").cast("string"))).alias("topic")
+    rows = rows.join(e.select("vec_id", topic), "vec_id", "left").join(lines, "doc_id", "left").withColumn("words", F.coalesce("body", "all"))
+    kinds = {k: F.col(k) for k in ("term", "method", "topic", "person", "word")}
+    return bundle(facts(rows, kinds))
+
+
 @R.query("SELECT doc_id, overlap, year FROM (SELECT doc_id, count(*) AS overlap FROM terms WHERE doc_id <> 7 AND term IN (SELECT term FROM terms WHERE doc_id = 7) GROUP BY doc_id) JOIN docs USING (doc_id) ORDER BY overlap DESC, year DESC NULLS LAST, doc_id LIMIT 6")
 def related_documents_overlap(t: Tables) -> DataFrame:
     return T.related(t.terms(), t.docs(), 7)

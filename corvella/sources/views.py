@@ -75,7 +75,7 @@ class Tables:
         k = F.col("s_suppkey")
         return (
             self.raw("supplier")
-            .filter(k % 5 != 0)
+            .filter("s_acctbal < 8000")
             .select(
                 k.alias("citation_id"),
                 F.when(k % 7 == 0, None).when(k % 3 == 0, 0).otherwise(k % 10).cast("long").alias("hits"),
@@ -108,8 +108,9 @@ class Tables:
         e = self.raw("embeddings")
         orders = self.raw("orders").select(F.col("o_orderkey").alias("doc_id"))
         topic = F.when(F.col("label") == 9, -1).otherwise(F.col("label"))
-        numbers = (e.agg(F.max("vec_id")).first()[0] or 0) + 1
-        return orders.join(e, orders["doc_id"] % numbers == e["vec_id"]).select("doc_id", topic.alias("topic_id"), ((F.col("vec_id") % 100) / 100.0).alias("probability"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+        # The greatest number is part of the plan.
+        turn = orders.withColumn("vec_id", F.col("doc_id") % e.agg(F.coalesce(F.max("vec_id"), F.lit(0)) + 1).scalar())
+        return turn.join(e, "vec_id").select("doc_id", topic.alias("topic_id"), ((F.col("vec_id") % 100) / 100.0).alias("probability"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
 
     def topics(self) -> DataFrame:
         """topic_id, label, doc_count."""
@@ -131,7 +132,7 @@ VIEWS = {
     "dense_citations": "SELECT s_suppkey AS id, s_name AS text FROM supplier",
     "lookups": """SELECT s_suppkey AS citation_id, CASE WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_suppkey % 3 = 0 THEN 0 ELSE s_suppkey % 10 END::BIGINT AS hits,
  CASE WHEN s_suppkey % 14 = 0 THEN NULL ELSE s_name END AS query_title, CASE WHEN s_suppkey % 2 = 0 THEN 'b' || s_suppkey::VARCHAR END AS bib_id
- FROM supplier WHERE s_suppkey % 5 <> 0""",
+ FROM supplier WHERE s_acctbal < 8000""",
     "committee": """SELECT l_orderkey AS doc_id, s_name AS name, CASE l_linenumber WHEN 1 THEN 'Supervisor' WHEN 2 THEN 'Co-Supervisor' WHEN 3 THEN 'Committee Member'
  WHEN 4 THEN 'University Examiner' WHEN 5 THEN 'External Examiner' END AS role, max(n_name) AS affiliation,
  min(CASE WHEN l_linenumber % 2 = 0 THEN 'api' ELSE 'pdf' END) AS source, min(l_linenumber) AS pos

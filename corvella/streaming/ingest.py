@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvella.operators.merge import last_of
+from corvella.sources.commits import Storage
 
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,39 +25,90 @@ def merge_latest(state: DataFrame | None, batch: DataFrame, key: str, order: str
     return last_of(rows, [key], [F.desc(order), F.desc("event_id")])
 
 
-def run_upsert(stream: DataFrame, path: str, checkpoint: str, key: str, order: str, buckets: int = 64) -> DataFrame:
-    """Drains the stream into a keyed table under `path`, cut into buckets by a hash of the key, and gives the table.
+#: Rows that a bucket of a keyed table holds at most, about.
+BUCKET_ROWS = 1_000_000
 
-    A batch rewrites the buckets that it touches, under its own number, and then the list of
-    which number each bucket stands at. So a batch that is tried again writes the same rows to
-    the same places, and what it does not touch is neither read nor written.
+
+class KeyedTable:
+    """A table of one row a key as Parquet, in buckets of keys, with one state a batch of the stream that writes it.
+
+    A batch rewrites the buckets that it touches, in a folder of its number, and then writes
+    what each bucket stands at: which number, how many rows, and how many buckets there are.
+    Spark writes _SUCCESS last, so a batch that was stopped in between is not seen, and trying
+    it again writes the same rows to the same places. Buckets double when they get large;
+    rewriting them is the next batch's work. Of former states one is kept for readers.
     """
-    spark = stream.sparkSession
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    done: list[int] = []
-
-    def standing(epoch: int) -> dict[int, int]:
-        """bucket to version, at most `buckets` of them."""
-        return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{path}/standing/e={epoch}").collect()} if epoch >= 0 else {}
-
-    def stored(versions: dict[int, int]) -> DataFrame | None:
-        places = [f"{path}/rows/v={v}/__bucket={b}" for b, v in versions.items()]
-        return spark.read.schema(stream.schema).parquet(*places) if places else None
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        held = standing(epoch - 1)
-        touched = [r["b"] for r in batch.select(bucket.alias("b")).distinct().collect()]
-        old = stored({b: held[b] for b in touched if b in held})
-        if touched:
-            merge_latest(old, batch, key, order).withColumn("__bucket", bucket).write.partitionBy("__bucket").mode("overwrite").parquet(f"{path}/rows/v={epoch}")
-        now = held | dict.fromkeys(touched, epoch)
-        spark.createDataFrame(list(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/standing/e={epoch}")
-        done.append(epoch)
-
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def __init__(self, spark: SparkSession, path: str, key: str, order: str, schema, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.key, self.order, self.schema, self.bucket_rows = spark, key, order, schema, bucket_rows
+        self.storage = Storage(spark, path)
+        self.path = self.storage.base
+
+    def epochs(self) -> list[int]:
+        """Batches that were written completely."""
+        return sorted(int(n[2:]) for n in self.storage.names("standing") if self.storage.exists(f"standing/{n}/_SUCCESS"))
+
+    def standing(self, before: int | None = None) -> tuple[int, dict[int, tuple[int, int]]]:
+        """(number of buckets, bucket to (batch, rows)) of the last complete state, before a batch if one is named. One row a bucket."""
+        found = [e for e in self.epochs() if before is None or e < before]
+        if not found:
+            return 1, {}
+        rows = self.spark.read.schema("bucket int, version long, n long, buckets int").parquet(f"{self.path}/standing/e={found[-1]}").collect()
+        return rows[0]["buckets"], {r["bucket"]: (r["version"], r["n"]) for r in rows if r["bucket"] >= 0}
+
+    def _stored(self, held: dict[int, tuple[int, int]]) -> DataFrame | None:
+        places = [f"{self.path}/rows/v={v}/__bucket={b}" for b, (v, _) in held.items()]
+        return self.spark.read.schema(self.schema).parquet(*places) if places else None
+
+    def read(self) -> DataFrame:
+        table = self._stored(self.standing()[1])
+        return self.spark.createDataFrame([], self.schema) if table is None else table
+
+    def merge(self, batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
+        buckets, held = self.standing(epoch)
+        known = sum(n for _, n in held.values()) + batch.count()
+        wanted = buckets
+        while known > wanted * self.bucket_rows:
+            wanted *= 2
+        of = lambda n: F.pmod(F.xxhash64(self.key), F.lit(n)).cast("int")
+        if wanted == buckets:
+            touched = [r["b"] for r in batch.select(of(buckets).alias("b")).distinct().collect()]
+        else:
+            touched = list(held)  # all rows go to new buckets
+        old = self._stored({b: held[b] for b in touched if b in held})
+        now = {} if wanted != buckets else {b: x for b, x in held.items() if b not in touched}
+        merge_latest(old, batch, self.key, self.order).withColumn("__bucket", of(wanted)).write.partitionBy("__bucket").mode("overwrite").parquet(f"{self.path}/rows/v={epoch}")
+        fresh = self.spark.read.schema(f"{self.key} {self.schema[self.key].dataType.simpleString()}, __bucket int").parquet(f"{self.path}/rows/v={epoch}").groupBy("__bucket").count().collect() if self.storage.names(f"rows/v={epoch}/__bucket=*") else []
+        now |= {r["__bucket"]: (epoch, r["count"]) for r in fresh}
+        batch.unpersist()
+        self._written(epoch, wanted, now)
+        self._forget(epoch)
+
+    def _written(self, epoch: int, buckets: int, now: dict[int, tuple[int, int]]) -> None:
+        """Makes a batch's rows visible."""
+        rows = [(b, v, n, buckets) for b, (v, n) in now.items()] or [(-1, epoch, 0, buckets)]
+        self.spark.createDataFrame(rows, "bucket int, version long, n long, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/standing/e={epoch}")
+
+    def _forget(self, epoch: int, keep: int = 2) -> None:
+        """Removes states before the last `keep`, and the rows that no state has."""
+        kept = [e for e in self.epochs() if e <= epoch][-keep:]
+        used = {(v, b) for e in kept for b, (v, _) in self.standing(e + 1)[1].items()}
+        for name in self.storage.names("standing"):
+            if int(name[2:]) < kept[0]:
+                self.storage.delete(f"standing/{name}")
+        for name in self.storage.names("rows"):
+            v = int(name[2:])
+            if v < kept[0] and not any(x == v for x, _ in used):
+                self.storage.delete(f"rows/{name}")
+
+
+def run_upsert(stream: DataFrame, path: str, checkpoint: str, key: str, order: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Drains the stream into a keyed table under `path` and gives the table as it then stands, also where nothing new has come."""
+    table = KeyedTable(stream.sparkSession, path, key, order, stream.schema, bucket_rows)
+    query = stream.writeStream.foreachBatch(table.merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    table = stored(standing(max(done))) if done else None
-    return spark.createDataFrame([], stream.schema) if table is None else table
+    return table.read()
 
 
 def drain(stream: DataFrame, path: str) -> DataFrame:

@@ -118,23 +118,106 @@ def test_search_terms(text, found):
 
 
 def test_tei(spark):
-    xml = '<TEI><biblStruct><analytic><title level="a">On &amp; Off</title><author><persName><forename type="first">Jo</forename><surname>Poe</surname></persName></author></analytic><date when="1999-01"/></biblStruct></TEI>'
-    got = spark.createDataFrame([(xml,)], "x string").select(F.inline(P.tei_citations(F.col("x")))).collect()
-    assert [tuple(r) for r in got] == [("Poe, Jo", "On & Off", None, "1999")]
+    person = "<author><persName><forename type='first'>{}</forename><surname>{}</surname></persName></author>"
+    whole = (
+        "<TEI xmlns='http://www.tei-c.org/ns/1.0'><biblStruct><analytic><title level='a'>On &amp; Off</title>" + person.format("Jo", "Poe") + person.format("Al", "O&apos;Hara") + "<author><persName><forename>No</forename></persName></author></analytic>"
+        "<monogr><title level='j'>Journal</title><imprint><biblScope unit='volume'>4</biblScope><biblScope unit='issue'>2</biblScope><biblScope unit='page' from='7' to='9'/><date when='1999-01'/><publisher>Press</publisher></imprint></monogr></biblStruct>"
+        "<biblStruct><monogr><title level='m'>A Book of Things</title><author><persName><surname>Lone</surname></persName></author><imprint><date>in 1987</date></imprint></monogr></biblStruct>"
+        "<biblStruct><note type='raw_reference'>Only what was printed, 1950.</note></biblStruct>"
+        "<biblStruct><monogr><title level='m'>Short</title></monogr></biblStruct>"
+        "<biblStruct><monogr><title level='m'>Accessed on a day that is past</title></monogr></biblStruct>"
+        "<biblStruct><title level='a'>never closed</biblStruct></TEI>"
+    )
+    df = spark.createDataFrame([(1, whole, "a"), (2, None, "b"), (3, "", "c"), (4, "<biblStruct", "d")], "id int, xml string, title string").withColumnRenamed("title", "kept")
+    got = P.tei_references(df, "xml").collect()
+    assert [tuple(r) for r in got] == [
+        (1, "a", "Poe, Jo; O'Hara, Al. (1999). On & Off. Journal. 4(2). 7-9. Press", "Poe, Jo; O'Hara, Al", "On & Off", "1999", "Journal"),
+        (1, "a", "Lone. (1987). A Book of Things", "Lone", "A Book of Things", "1987", None),
+        (1, "a", "Only what was printed, 1950.", None, None, None, None),
+    ]
 
 
-def fetch(start, size, columns):
-    return {"data": {"hits": {"hits": [{"_id": str(i), "_source": {"id": f"d{i}", "title": [f" T{i} "], "creator": "A, B", "dateIssued": "c1999", "extent": ["x", "210 leaves"]}} for i in range(start, start + size)]}}}
+def fetch(start, size, columns, path=None, told="no"):
+    """Hits from `start` on, of as many as the file at path says or else 7."""
+    n = int(open(path).read()) if path else 7
+    hits = [{"_id": str(i), "_source": {"id": f"1.{i}", "title": [f" T{i} "], "creator": "A, B", "dateIssued": "c1999", "extent": ["x", "210 leaves"]}} for i in range(start, min(start + size, n))]
+    return {"data": {"hits": {"hits": hits} | ({"total": {"value": n if told == "right" else 100}} if told != "no" else {})}}
 
 
-def test_paged_hits(spark):
+@pytest.mark.parametrize("options", [{"total": "7"}, {}, {"arg.told": "right"}, {"arg.told": "wrong"}, {"page_size": "100"}, {"total": "50", "page_size": "1"}])
+def test_paged_hits(spark, options):
+    """However the total is known, or if it is not: each hit once, in pages of the size asked for."""
     spark.dataSource.register(H.PagedHits)
-    pages = spark.read.format("paged_hits").options(fetch="tests.test_parsers:fetch", total="7", page_size="3").load()
+    pages = spark.read.format("paged_hits").options(**{"fetch": "tests.test_parsers:fetch", "page_size": "3"} | options).load()
+    assert pages.rdd.getNumPartitions() == {"1": 7, "100": 1}.get(options.get("page_size"), 3)
     got = H.records(H.hits(pages)).orderBy("doc_id").collect()
-    assert [r.doc_id for r in got] == [f"d{i}" for i in range(7)]
+    assert [r.doc_id for r in got] == [f"1.{i}" for i in range(7)]
     assert (got[0].title, got[0].author, got[0].year, got[0].page_count, got[0].page_source, got[0].affiliation) == ("T0", "A, B", 1999, 210, "metadata_extent", [])
 
 
+@pytest.mark.parametrize(("options", "n"), [({"limit": "5"}, 5), ({"limit": "50"}, 7), ({"limit": "0"}, 0), ({"total": "0"}, 0)])
+def test_limits(spark, options, n):
+    spark.dataSource.register(H.PagedHits)
+    pages = spark.read.format("paged_hits").options(**{"fetch": "tests.test_parsers:fetch", "page_size": "3"} | options).load()
+    assert H.hits(pages).count() == n
+
+
+def test_hits_as_a_stream(spark, tmp_path):
+    """Hits that are added come in later batches; a run that starts in the middle goes on where the last ended, and a batch that failed comes again."""
+    spark.dataSource.register(H.PagedHits)
+    size = tmp_path / "n"
+
+    def run(n, fail=False):
+        size.write_text(str(n))
+        stream = spark.readStream.format("paged_hits").options(**{"fetch": "tests.test_parsers:fetch", "page_size": "4", "arg.path": str(size)}).load()
+
+        def write(batch, epoch):
+            H.hits(batch).write.mode("overwrite").parquet(f"{tmp_path}/out/e={epoch}")
+            if fail:
+                raise RuntimeError("stopped")
+
+        query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/state").start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        return sorted(int(r.hit_id) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    assert run(6) == list(range(6))
+    with pytest.raises(Exception, match="stopped"):
+        run(11, fail=True)
+    assert run(13) == list(range(13))
+    assert run(13) == list(range(13))
+
+
+def test_record_fields(spark):
+    rows = [
+        '{"identifier": "x", "Title": " A  b ", "name": "no", "creator": [], "author": "Z", "supervisor": ["Dr. Ann Lee", ["Lee, Ann"]], "issued": 1987, "body": "one two", "keywords": [["k1"], "k2", ""], "uri": "https://a.org/items/2.17?x", "rights": 0, "degree": ["M", "D"]}',
+        '{"_id": "1.5", "date": ["2001", "x"]}',
+        '{"title": "T", "creator": {"a": 1}, "doi": "see https://b.org/pdf/9/3.25 there", "extent": "12 p."}',
+        "no json",
+    ]
+    got = H.records(spark.createDataFrame([(r, None) for r in rows], "record string, hit_id string"), items="https://c.org/items/").collect()
+    a, b, c, d = got
+    assert len(H.records(spark.createDataFrame([(rows[0], None)], "record string, hit_id string")).columns) == 35
+    assert (a.doc_id, a.title, a.authors, a.author, a.supervisors, a.supervisors_source, a.year, a.date) == ("2.17", "A b", [], "Unknown", ["Ann Lee"], "api", 1987, "1987")
+    assert (a.subjects, a.word_count, a.char_count, a.rights, a.degree, a.page_count) == (["k1", "k2"], 2, 7, "", "M; D", 1)
+    assert a.download_candidates == ["https://a.org/items/2.17?x", "https://c.org/items/x"] and a.download_status == "not_attempted"
+    assert (b.doc_id, b.year, b.subjects, b.supervisors_source) == ("1.5", 2001, ["(Unspecified)"], None) and b.download_candidates == ["https://c.org/items/1.5"]
+    assert (c.doc_id, c.authors, c.page_count, c.page_source) == ("3.25", ['{"a":1}'], 12, "metadata_extent")
+    assert (d.doc_id, d.title, d.authors, d.word_count) == (":", "", [], 0)
+    made = spark.range(3).selectExpr("""concat('{"id": ', id, '}') AS record""", "NULL AS hit_id")
+    plan = H.records(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") + plan.count("parse_json") == 1
+
+
+def test_concepts_of_records(spark):
+    known = spark.createDataFrame([("online learning", ["e learning"], 2, 1.5)], "canonical string, variants array<string>, doc_freq long, idf double")
+    rows = spark.createDataFrame([('{"_id": "1.1", "title": "Online learning at school", "abstract": "e learning"}', None), ('{"_id": "1.2", "title": "None"}', None)], "record string, hit_id string")
+    got = {r.doc_id: r.concept_terms for r in H.records(rows, dictionary=known, n_docs=9).collect()}
+    assert got == {"1.1": ["online learning"], "1.2": []}
+
+
 def test_hits_elsewhere(spark):
     rows = spark.createDataFrame([('{"results": [{"doc": {"id": "x"}}, {"id": "y"}]}',), ("not json",), (None,)], "payload string")
-    assert sorted(r.doc_id for r in H.records(H.hits(rows)).collect()) == ["x", "y"]
+    assert sorted(r.record for r in H.hits(rows).collect()) == ['{"id":"x"}', '{"id":"y"}']
