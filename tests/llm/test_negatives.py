@@ -30,7 +30,7 @@ def slow(rows, every=100, scale=256):
 
 
 def mined(spark, rows, **limits):
-    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5).selectExpr("*", "'x' AS rank", "1 AS key", "2 AS page", "3 AS norm", "4 AS need")
     return sorted(map(tuple, negatives.hard_negatives(df, **limits).collect()))
 
 
@@ -44,7 +44,7 @@ def vectors(n, dim, seed, lengths=(1.0,), labels=4, step=1):
     return out
 
 
-@pytest.mark.parametrize(("limits", "lengths"), [({}, (1.0,)), ({"page": 24, "tile": 2, "block": 5}, (1.0,)), ({"page": 16, "tile": 1, "block": 9}, (0.1, 1.0, 3.0, 9.0))])
+@pytest.mark.parametrize(("limits", "lengths"), [({}, (1.0,)), ({"page": 16, "tile": 1, "block": 9}, (0.1, 1.0, 3.0, 9.0))])
 def test_equals_all_products(spark, limits, lengths):
     """One page and wave, or several; norms that prune, or do not."""
     rows = vectors(250, 6, 3, lengths)
@@ -79,11 +79,6 @@ def test_empty(spark):
     assert mined(spark, []) == [] and mined(spark, [(1, None, 1)]) == []
 
 
-def test_extra_columns(spark):
-    df = spark.createDataFrame(vectors(120, 4, 5), SCHEMA).selectExpr("*", "'x' AS rank", "1 AS key", "2 AS page", "3 AS norm", "4 AS need")
-    assert sorted(map(tuple, negatives.hard_negatives(df).collect())) == slow(vectors(120, 4, 5))
-
-
 def test_short_norms_are_not_searched(spark):
     """Pages whose longest vector cannot reach the lower limit of any window are pruned before whole rows move."""
     rows = vectors(40, 4, 9, (8.0,)) + [(100 + i, v, label) for i, v, label in vectors(900, 4, 4, (0.01,)) if (100 + i) % 100]
