@@ -27,6 +27,9 @@ CURVE_A, CURVE_B = 1.5769434603113077, 0.8950608779109733
 #: The greatest pull or push of one edge, and pushes for each pull.
 CLIP, PUSHES = 4.0, 5
 
+#: What share of a round's summed forces a point follows. All edges of a round act at once, not one after the other, and the whole sum would overshoot.
+SHARE = 0.1
+
 #: Sums are of whole multiples of this.
 UNIT = 1e-9
 
@@ -99,7 +102,7 @@ def _start(edges: DataFrame, numbered: DataFrame, steps: int, seed: int) -> Data
 
 
 @tidied
-def plane(points: DataFrame, neighbours: int = 15, rounds: int = 40, start_steps: int = 12, seed: int = 42) -> DataFrame:
+def plane(points: DataFrame, neighbours: int = 15, rounds: int = 30, start_steps: int = 12, seed: int = 42) -> DataFrame:
     """(id, x, y) of points(id, vec array<double>): distinct ids, vectors of one length. An empty table gives an empty result, a lone point the origin."""
     # Numbers without gaps, for drawing points to push away.
     numbered = in_order(points.select("id", "vec", F.lit(0).alias("one")), ["one"], [F.xxhash64("id", F.lit(seed)), "id"]).select(F.col("rank").alias("n"), "id", "vec")
@@ -126,6 +129,6 @@ def plane(points: DataFrame, neighbours: int = 15, rounds: int = 40, start_steps
         push = 2 * CURVE_B / ((0.001 + d2) * (1 + CURVE_A * power))
         force = F.when(F.col("pull"), pull).otherwise(push)
         moved = pairs.select("a", _whole(clip(force * dx)).alias("gx"), _whole(clip(force * dy)).alias("gy")).groupBy(F.col("a").alias("n")).agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"))
-        step = lambda v, g: (F.col(v) + F.lit(rate) * clip(F.coalesce(g, F.lit(0)) * UNIT)).alias(v)
+        step = lambda v, g: (F.col(v) + F.lit(rate) * clip(F.coalesce(g, F.lit(0)) * (UNIT * SHARE))).alias(v)
         at = stored(at.join(moved, "n", "left").select("n", step("x", "gx"), step("y", "gy")))
     return at.join(numbered.select("n", "id"), "n").select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

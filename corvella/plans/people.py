@@ -10,6 +10,8 @@ from corvella.operators import documents as D
 from corvella.operators import merge as M
 from corvella.operators import people as P
 from corvella.operators import topics as O
+from corvella.operators import projection
+from corvella.operators.density import clusters
 from corvella.plans.registry import Registry
 from corvella.plans.subjects import SUPERVISORS, supervisors
 from corvella.sources.views import Tables
@@ -192,6 +194,23 @@ def topic_kmeans(t: Tables) -> DataFrame:
     return O.kmeans(t.raw("embeddings"))
 
 
+def points(t: Tables) -> DataFrame:
+    fine = t.raw("embeddings").filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    return fine.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+
+
+@R.query()
+def topic_density_clusters(t: Tables) -> DataFrame:
+    """Clusters of any shape and outliers, by density."""
+    return clusters(points(t)).withColumnRenamed("id", "vec_id")
+
+
+@R.query()
+def topic_plane(t: Tables) -> DataFrame:
+    """Where each vector stands in a plane in which neighbours stay near."""
+    return projection.plane(points(t)).withColumnRenamed("id", "vec_id")
+
+
 @R.query()
 def topic_pca_2d(t: Tables) -> DataFrame:
     return O.plane(t.raw("embeddings"))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from corvella.operators.cut import shared_dir
 from corvella.plans.registry import Registry
+from corvella.sources.commits import TableGroup, WorkQueue, refresh
 from corvella.sources.views import Tables
 from corvella.streaming import ingest as S
+from corvella.streaming import stateful as K
 
 R = Registry()
 
@@ -68,6 +70,61 @@ def rate_window_counts(t: Tables) -> DataFrame:
     return S.rate_windows(events(t))
 
 
+#: Rows that the watermark has passed when the stream ends, in whole milliseconds.
+MARK = "(SELECT epoch_us(max(ts)) // 1000 - 7200000 FROM events)"
+
+
+@R.query(f"""
+SELECT event_id, user_id, in_window, in_window <= 2 AS allowed FROM (
+ SELECT event_id, user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS in_window FROM events)
+WHERE (epoch_us(ts) + 999) // 1000 < {MARK}""")
+def stream_rate_limited(t: Tables) -> DataFrame:
+    """The rate limit as an operator with keyed state."""
+    with K.keyed_state(t.spark):
+        return S.drain(K.limited(S.read_events(t.spark, t.folder)), scratch(t))
+
+
+@R.query(f"""
+SELECT user_id, event_id, us AS last_us, us + 21600000000 AS lost_us FROM (
+ SELECT user_id, event_id, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following FROM events)
+WHERE (us + 999) // 1000 < {MARK} AND coalesce(following - us >= 21600000000, true) AND (us + 21600000000 + 999) // 1000 < {MARK}""")
+def stream_lost_heartbeats(t: Tables) -> DataFrame:
+    """Silences of six hours, by timers on event time."""
+    with K.keyed_state(t.spark):
+        return S.drain(K.lost(S.read_events(t.spark, t.folder), 6 * 3600), scratch(t))
+
+
+@R.query("SELECT id, upper(text) AS found FROM (SELECT s_suppkey AS id, s_name AS text FROM supplier WHERE s_acctbal >= 0)")
+def pending_drained(t: Tables) -> DataFrame:
+    """Two jobs drain a leased queue of lookups; those that fail stay pending, and the second job does not try them again."""
+    items = t.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("text"), "s_acctbal")
+    place = scratch(t)
+    queue = WorkQueue(t.spark, f"{place}/queue")
+
+    def lookup(page: DataFrame) -> DataFrame:
+        return page.filter("s_acctbal >= 0").select("id", F.upper("text").alias("found"))
+
+    def save(found: DataFrame) -> None:
+        found.write.mode("append").parquet(f"{place}/found")
+
+    n = items.count()
+    first = queue.drain(items, lookup, save, "first", page=n // 3 + 1, cap=n // 2)
+    queue.drain(items, lookup, save, "second", page=n // 3 + 1, run=first["run"])
+    return t.spark.read.schema("id long, found string").parquet(f"{place}/found")
+
+
+@R.query("SELECT 'topics' AS name, count(*) AS n FROM topics UNION ALL SELECT 'doc_topics', count(*) FROM doc_topics UNION ALL SELECT 'coordinates', count(*) FROM doc_topics WHERE x > 0")
+def topic_tables_refreshed(t: Tables) -> DataFrame:
+    """Three tables replaced in one commit, twice; the second time with other rows."""
+    group = TableGroup(t.spark, f"{scratch(t)}/tables")
+    tables = {"topics": t.topics(), "doc_topics": t.doc_topics(), "coordinates": t.doc_topics().filter("x > 0").select("doc_id", "x", "y")}
+    refresh(group, {k: v.limit(1) for k, v in tables.items()})
+    refresh(group, tables)
+    group.vacuum(keep=1)
+    counts = [group.read(k).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("name"), "n") for k in tables]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 @R.query("""
 SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM (
  SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (

