@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import groupby, pairwise
 
 Member = tuple[str, str, str | None]
 
@@ -19,7 +20,16 @@ ROLES = (
 CERTIFY = "the following individuals certify"
 PAGE_STOPS = "abstract|table of contents|acknowledgment|dedication|preface"
 PAGE_NOISE = "the following individuals certify|examining committee|entitled"
-INSTITUTIONS = "University|Columbia|UBC|SFU|Research"
+WRAPPED_STARTS = "University Columbia UBC SFU".split()
+#: What no name begins with: as the start of a word, as a whole word, as a word that others follow.
+NO_NAME_PREFIXES = "University UBC SFU Columbia Research".split()
+NO_NAME_WORDS = "Professor Examiner Academic Abstract".split()
+NO_NAME_LEADS = "additional examining of & ii iii iv v vi".split()
+#: What ends a name: a dash before a title, words that run into it from the next line.
+TITLES_AFTER_DASH = "Professor Assistant Associate Instructor".split()
+STRAY_ENDS = "Thank You".split()
+STRAY_PAIRS = (("Sessional", "Lec"), ("Sessional", "Let"), ("Senior", "Inst"))
+NAME_LIMIT = 120
 NOT_NAMES = "He She They We I It His Her Their This That The A An My In For At To With You Also".split()
 PARTICLES = "de du da di van von le la el al den der dos das ter ten".split()
 SECTION_CHARS, PAGE_LINES, NEAR_CHARS, FAR_CHARS, NAME_WORDS, NAME_CHARS = 3000, 60, 400, 150, 4, 60
@@ -45,15 +55,13 @@ class Line:
 
 
 _STOP, _NOISE = re.compile(PAGE_STOPS, re.I), re.compile(PAGE_NOISE, re.I)
-_TAIL = re.compile(rf"(?:{INSTITUTIONS.removesuffix('|Research')}|of\s)", re.I)
 _NEW = re.compile(r"(?:Dr|Prof)\.|[A-Z][a-z]+ [A-Z].*,")
 _PERSON = re.compile(r"[A-Z][a-z]+\s+[A-Z][a-z]")
-_SUFFIXES = (
-    (re.compile(r"\s*[–—-]\s*(?:Professor|Assistant|Associate|Instructor).*$", re.I), ""),
-    (re.compile(r"\s+(?:Thank|You|Sessional\s+Le[ct].*|Senior\s+Inst.*)$", re.I), ""),
-    (re.compile(r"-$"), ""),
-)
-_LABEL = re.compile(rf"(?:additional|examining)\s|(?:{INSTITUTIONS}|of\s|&\s)|(?:Professor|Examiner|Academic|Abstract)\b|(?:ii|iii|iv|v|vi)\s|.*committee\s+member", re.I)
+
+
+def _starts(text: str, starts: Iterable[str]) -> bool:
+    """Whether the text begins so, in either case."""
+    return text.lower().startswith(tuple(x.lower() for x in starts))
 
 
 def _page_lines(text: str) -> list[Line]:
@@ -68,7 +76,7 @@ def _page_lines(text: str) -> list[Line]:
             out.append(Line("role", raw, role))
             continue
         fragment = len(raw) <= 40 and "," not in raw and not _PERSON.match(raw)
-        if out and out[-1].kind != "role" and not _NEW.match(raw) and (fragment or _TAIL.match(raw)):
+        if out and out[-1].kind != "role" and not _NEW.match(raw) and (fragment or _starts(raw, WRAPPED_STARTS) or raw.split()[0].lower() == "of" != raw.lower()):
             out[-1].text += " " + raw
         else:
             out.append(Line("text", raw))
@@ -78,11 +86,37 @@ def _page_lines(text: str) -> list[Line]:
     return out[:PAGE_LINES]
 
 
+def _without_strays(text: str) -> str:
+    """A name up to a title behind a dash, and without words that belong to the next line."""
+    for at, mark in enumerate(text):
+        if mark in "–—-" and _starts(text[at + 1 :].lstrip(), TITLES_AFTER_DASH):
+            text = text[:at].rstrip()
+            break
+    words = text.split(" ")
+    low = [w.lower() for w in words]
+    pairs = {(a.lower(), b.lower()) for a, b in STRAY_PAIRS}
+    end = next((i for i in range(1, len(low) - 1) if any(low[i] == a and low[i + 1].startswith(b) for a, b in pairs)), len(low))
+    if end == len(low) > 1 and low[-1] in {x.lower() for x in STRAY_ENDS}:
+        end -= 1
+    return " ".join(words[:end]).strip().removesuffix("-").strip()
+
+
+def _names_someone(text: str) -> bool:
+    """Whether a name is neither a label nor an institution nor a page number, by its words."""
+    words = text.split()
+    if not words or not 1 < len(text) < NAME_LIMIT:
+        return False
+    low = [w.lower() for w in words]
+    label = any(a.endswith("committee") and b.startswith("member") for a, b in pairwise(low))
+    lead = len(words) > 1 and low[0] in NO_NAME_LEADS
+    whole = re.split(r"\W", low[0])[0] in {x.lower() for x in NO_NAME_WORDS}
+    return not (label or lead or whole or _starts(text, NO_NAME_PREFIXES) or "Examiner" in re.split(r"\W+", text))
+
+
 def _as_person(text: str) -> str:
-    """A name without what ran into it; empty for labels, institutions and page numbers."""
-    for pattern, put in _SUFFIXES:
-        text = pattern.sub(put, text).strip()
-    return "" if _LABEL.match(text) or "Examiner" in text.split() or not 1 < len(text) < 120 else text
+    """A name without what ran into it; empty where it is none."""
+    name = _without_strays(" ".join(text.split()))
+    return name if _names_someone(name) else ""
 
 
 def committee_page(text: str | None) -> list[Member]:

@@ -107,6 +107,25 @@ def evidence_warnings(labels: DataFrame, documents: DataFrame) -> DataFrame:
     return counted.select("topic_id", "label", "docs", "support", found.alias("warnings"))
 
 
+#: Points that a label loses if its topic's documents speak against it, whatever they say.
+COVERAGE_COST = 25
+
+
+def reviewed(candidates: DataFrame, documents: DataFrame, sizes: DataFrame) -> DataFrame:
+    """candidates(topic_id, label, origin, warnings, score) that are labels, with what their documents(topic_id, title, abstract) say counted in; sizes(topic_id, doc_count).
+
+    Warnings are joined without repeats, and any from the documents cost 25 points once. Of
+    candidates of a topic that read alike the one of the smallest origin stays.
+    """
+    rows = candidates.filter("label IS NOT NULL")
+    said = evidence_warnings(rows.select("topic_id", "label").distinct().join(sizes, "topic_id", "left"), documents)
+    said = said.select("topic_id", "label", F.col("warnings").alias("said"))
+    both = rows.join(said, ["topic_id", "label"], "left").withColumn("said", F.coalesce("said", F.array().cast("array<string>")))
+    score = F.when(F.size("said") > 0, F.greatest(F.lit(0), F.col("score") - COVERAGE_COST)).otherwise(F.col("score"))
+    one = both.select("topic_id", label_key(F.col("label")).alias("k"), F.struct("origin", "label", F.array_distinct(F.concat("warnings", "said")).alias("warnings"), score.alias("score")).alias("x"))
+    return one.groupBy("topic_id", "k").agg(F.min_by("x", F.struct("x.origin", "x.label")).alias("x")).select("topic_id", "x.label", "x.origin", "x.warnings", "x.score")
+
+
 def choose(topics: DataFrame, overrides: DataFrame, candidates: DataFrame, previous: DataFrame) -> DataFrame:
     """topic_id, label, origin: an override, else the best candidate that passes, else the previous label, else the default of topics(topic_id, label)."""
     passing = candidates.filter((F.col("score") >= 80) & (F.size("warnings") == 0)).groupBy("topic_id").agg(F.max_by("label", F.struct("score", "created")).alias("candidate"))

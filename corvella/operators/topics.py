@@ -207,6 +207,27 @@ def selected(candidates: DataFrame, topic_id: int, chosen: int) -> DataFrame:
     return both.withColumn("status", status).drop("__hit")
 
 
+def overridden(overrides: DataFrame, topics: DataFrame, given: DataFrame, now: str) -> DataFrame:
+    """overrides(topic_id, label, source, candidate_id, created_at, updated_at) with labels set by hand merged in.
+
+    given(topic_id, label, candidate_id): a candidate's label where candidate_id is known, else
+    a text of one's own. Blank texts and topics that topics(topic_id) has not change nothing; a
+    topic's first override keeps its time of creation. Of several labels for a topic the
+    greatest counts.
+    """
+    fresh = given.withColumn("label", F.trim("label")).filter("label <> ''").join(topics.select("topic_id").distinct(), "topic_id", "left_semi")
+    fresh = fresh.groupBy("topic_id").agg(F.max(F.struct("label", "candidate_id")).alias("g")).select("topic_id", F.col("g.label").alias("l"), F.col("g.candidate_id").alias("c"), F.lit(True).alias("new"))
+    both = overrides.join(fresh, "topic_id", "full_outer")
+    put = lambda new, c: F.when(F.col("new"), new).otherwise(F.col(c)).alias(c)
+    source = F.when(F.col("c").isNull(), "manual").otherwise("selected")
+    return both.select("topic_id", put(F.col("l"), "label"), put(source, "source"), put(F.col("c"), "candidate_id"), F.coalesce("created_at", F.lit(now)).alias("created_at"), put(F.lit(now), "updated_at"))
+
+
+def unlocked(overrides: DataFrame, topic_ids: DataFrame) -> DataFrame:
+    """overrides without those of topic_ids(topic_id), whose labels are published again like any other."""
+    return overrides.join(topic_ids.select("topic_id").distinct(), "topic_id", "left_anti")
+
+
 def summary(doc_topics: DataFrame, topics: DataFrame) -> DataFrame:
     """topic_id, label, n of a set of documents: outliers are uncategorised, unknown topics named by their number."""
     counts = doc_topics.filter("topic_id is not null").groupBy("topic_id").agg(F.count(F.lit(1)).alias("n"))

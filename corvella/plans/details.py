@@ -9,6 +9,7 @@ from corvella.functions import citations as C
 from corvella.functions import parsers as X
 from corvella.functions.parsers import junk_citation
 from corvella.functions.text import canonicalise
+from corvella.operators import files as K
 from corvella.operators import people as P
 from corvella.operators import phrases as H
 from corvella.operators import records as D
@@ -160,6 +161,45 @@ def file_statuses(t: Tables) -> DataFrame:
     return t.metrics().select("doc_id", status.alias("status"))
 
 
+FILES = """(SELECT l_orderkey AS doc_id, l_linenumber AS pos, l_partkey AS id, CASE WHEN l_quantity > 30 THEN 'Scan.PDF' WHEN l_quantity > 20 THEN 'scan.Pdf.txt' ELSE 'scan.jpg' END AS name,
+ CASE l_returnflag WHEN 'A' THEN 'application/PDF' WHEN 'N' THEN CASE WHEN l_quantity > 40 THEN 'Text/plain; charset=utf-8' ELSE 'image/png' END END AS mime,
+ CASE WHEN l_linestatus = 'F' THEN 'original' WHEN l_quantity < 5 THEN 'text' ELSE 'other' END AS bundle FROM lineitem)"""
+
+
+@R.query(f"""
+SELECT doc_id, first(id ORDER BY pos, id, name) FILTER (is_text) AS text_id, first(name ORDER BY pos, id, name) FILTER (is_text) AS text_name, first(id ORDER BY pos, id, name) FILTER (is_pdf) AS pdf_id, first(name ORDER BY pos, id, name) FILTER (is_pdf) AS pdf_name FROM (
+ SELECT *, coalesce(mime LIKE 'Text/plain%', false) OR bundle = 'text' OR name = 'scan.Pdf.txt' AS is_text, coalesce(mime LIKE '%PDF%', false) AND (bundle = 'original' OR name = 'Scan.PDF') AS is_pdf FROM {FILES}) GROUP BY doc_id""")
+def files_chosen(t: Tables) -> DataFrame:
+    """The text and the PDF to take of each document's files; quantities and flags stand for names, types and bundles."""
+    q = F.col("l_quantity")
+    name = F.when(q > 30, "Scan.PDF").when(q > 20, "scan.Pdf.txt").otherwise("scan.jpg")
+    mime = F.when(F.col("l_returnflag") == "A", "application/PDF").when(F.col("l_returnflag") == "N", F.when(q > 40, "Text/plain; charset=utf-8").otherwise("image/png"))
+    bundle = F.when(F.col("l_linestatus") == "F", "original").when(q < 5, "text").otherwise("other")
+    rows = t.raw("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("id"), name.alias("name"), mime.alias("mime"), bundle.alias("bundle"))
+    return K.chosen_files(rows)
+
+
+@R.query("""
+SELECT doc_id, sha1(doc_id::VARCHAR) || '.txt' AS path, strlen(CASE WHEN hit THEN text ELSE text || text END)::BIGINT AS bytes, CASE WHEN hit THEN NULL ELSE 'http://x/' || doc_id END AS source_url, hit AS cache_hit FROM (
+ SELECT doc_id, text, source, coalesce(lang = 'en' AND length(text) > 1000, false) AS hit FROM documents) WHERE hit OR (source <> 'src0' AND length(text) * 2 > 1000)""")
+def full_text_sources(t: Tables) -> DataFrame:
+    """Texts of one language are cached; those of all sources but one can be fetched, twice as long."""
+    docs = t.raw("documents")
+    cached = docs.filter("lang = 'en'").select("doc_id", "text", F.lit(None).cast("string").alias("source_url"))
+    fetched = docs.filter("source <> 'src0'").select("doc_id", F.concat("text", "text").alias("text"), F.concat(F.lit("http://x/"), F.col("doc_id").cast("string")).alias("source_url"))
+    return K.full_texts(cached, fetched).drop("full_text")
+
+
+@R.query("""
+SELECT page_id AS doc_id, sha1(coalesce(nullif(CASE WHEN page_id > 20 THEN url ELSE '' END, ''), page_id::VARCHAR)) || '.pdf' AS path, strlen(html)::BIGINT AS bytes FROM pages
+WHERE strlen(html) BETWEEN 1 AND 3000 AND (contains(url, '/fr/') OR page_id < 50)""")
+def pdfs_kept(t: Tables) -> DataFrame:
+    """Fetched files that are of the type, not empty and not over the limit; addresses stand for types."""
+    kind = F.when(F.contains("url", F.lit("/fr/")), "application/PDF;x").otherwise("text/html")
+    rows = t.raw("pages").select(F.col("page_id").alias("doc_id"), F.when(F.col("page_id") > 20, F.col("url")).otherwise("").alias("url"), F.encode("html", "UTF-8").alias("content"), kind.alias("content_type"), F.when(F.col("page_id") < 50, "a.PDF").alias("name"))
+    return K.kept_pdfs(rows, 3000).select("doc_id", "path", "bytes")
+
+
 # What is shown.
 
 PERSONS = """(SELECT lower(replace(name, '#', ' ')) AS key, replace(name, '#', ' ') AS name, string_agg(DISTINCT coalesce(role, 'Committee Member'), '; ' ORDER BY coalesce(role, 'Committee Member')) AS roles,
@@ -382,3 +422,22 @@ def labels_published(t: Tables) -> DataFrame:
 @R.query(f"SELECT id, topic_id, CASE WHEN topic_id = 4 AND (SELECT count(*) FROM {LABELLED} WHERE id = 42 AND topic_id = 4) > 0 THEN CASE WHEN id = 42 THEN 'selected' ELSE 'rejected' END ELSE status END AS status FROM {LABELLED}")
 def label_selected(t: Tables) -> DataFrame:
     return O.selected(labelled(t), 4, 42).select("id", "topic_id", "status")
+
+
+@R.query(f"""
+WITH c AS {LABELLED}, given AS (SELECT topic_id, max(created) AS id FROM c WHERE topic_id >= 2 GROUP BY topic_id)
+SELECT topic_id, CASE WHEN topic_id < 2 THEN 'old' WHEN topic_id % 2 = 0 THEN 'label ' || id ELSE 'own ' || topic_id END AS label, CASE WHEN topic_id < 2 THEN 'selected' WHEN topic_id % 2 = 0 THEN 'selected' ELSE 'manual' END AS source,
+ CASE WHEN topic_id < 2 THEN 7 WHEN topic_id % 2 = 0 THEN id END AS candidate_id, CASE WHEN topic_id < 5 THEN '2023' ELSE '2024' END AS created_at, CASE WHEN topic_id < 2 THEN '2023' ELSE '2024' END AS updated_at
+FROM (SELECT DISTINCT topic_id FROM c) LEFT JOIN given USING (topic_id) WHERE topic_id <> 6""")
+def labels_overridden(t: Tables) -> DataFrame:
+    """Labels set by hand: texts of one's own and candidates; a blank one and one for no topic change nothing; one is unlocked again."""
+    rows = labelled(t)
+    topics = rows.select("topic_id").distinct()
+    n = F.col("topic_id")
+    old = topics.filter("topic_id < 5").select(n, F.lit("old").alias("label"), F.lit("selected").alias("source"), F.lit(7).cast("long").alias("candidate_id"), F.lit("2023").alias("created_at"), F.lit("2023").alias("updated_at"))
+    last = rows.groupBy("topic_id").agg(F.max("created").alias("id"))
+    even = n % 2 == 0
+    text = F.when(n < 2, "  ").when(even, F.concat(F.lit("label "), F.col("id").cast("string"))).otherwise(F.concat(F.lit(" own "), n.cast("string"), F.lit(" ")))
+    given = last.select(n, text.alias("label"), F.when(even, F.col("id")).alias("candidate_id"))
+    given = given.unionByName(given.select((-1 - n).alias("topic_id"), "label", "candidate_id"))
+    return O.unlocked(O.overridden(old, topics, given, "2024"), topics.filter("topic_id = 6"))

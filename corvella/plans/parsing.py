@@ -32,10 +32,7 @@ def _full_texts(t: Tables) -> DataFrame:
 
 @R.query("SELECT doc_id, 'Smith, J. (' || year::VARCHAR || '). Learning in ' || affiliation || ' and elsewhere: a study. Journal of Education, 12(3), 45-67.' AS entry FROM docs WHERE doc_id IN (SELECT doc_id FROM committee)")
 def bibliography_entries(t: Tables) -> DataFrame:
-    """Entries by the table function, joined laterally."""
-    t.spark.udtf.register("parse_bibliography", P.ParseBibliography)
-    _full_texts(t).createOrReplaceTempView("corvella_full_texts")
-    return t.spark.sql("SELECT doc_id, entry FROM corvella_full_texts, LATERAL parse_bibliography(text)")
+    return _full_texts(t).select("doc_id", F.explode(P.bibliography_entries("text")).alias("entry"))
 
 
 @R.query("SELECT DISTINCT doc_id, regexp_replace(name, '[#0-9]+', ' Name') AS name, role FROM committee WHERE role IN ('Supervisor', 'Co-Supervisor', 'University Examiner', 'External Examiner')")

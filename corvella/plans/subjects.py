@@ -128,12 +128,13 @@ def bundle_sql(words: str) -> str:
 def workbench_bundle(t: Tables) -> DataFrame:
     """The counts of all slices of a workbench; each table is scanned once, as a document's lines give its terms, methods and people."""
     line, part, orders, e = t.raw("lineitem"), t.raw("part"), t.raw("orders"), t.raw("embeddings")
+    price = F.col("l_extendedprice").cast("decimal(15,2)")
     lines = line.join(part, line["l_partkey"] == part["p_partkey"]).groupBy(F.col("l_orderkey").alias("doc_id")).agg(
         F.collect_set("p_name").alias("term"),
         F.collect_set("p_brand").alias("method"),
         F.collect_set(F.when(F.col("l_linenumber") <= 3, F.col("l_suppkey").cast("string"))).alias("person"),
-        F.floor(F.sum("l_extendedprice")).cast("long").alias("all"),
-        F.floor(F.sum(F.when(F.col("l_linenumber") <= 2, F.col("l_extendedprice")))).cast("long").alias("body"),
+        F.floor(F.sum(price)).cast("long").alias("all"),
+        F.floor(F.sum(F.when(F.col("l_linenumber") <= 2, price))).cast("long").alias("body"),
     )
     turn = e.agg(F.coalesce(F.max("vec_id"), F.lit(0)) + 1).scalar()
     rows = orders.select(F.col("o_orderkey").alias("doc_id"), F.year("o_orderdate").alias("year"), F.split(F.lower(F.replace("o_orderpriority", F.lit("-"), F.lit(" "))), " ").alias("word"), (F.col("o_orderkey") % turn).alias("vec_id"))

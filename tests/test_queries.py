@@ -9,6 +9,10 @@ FOLDER = "/root/testdata/sf0.001"
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
 
 
+#: Queries that may be empty on the smallest tables: what they look for needs more documents.
+MAY_BE_EMPTY = {"ngram_cloud_no_subphrase", "fuzzy_canonical_map"}
+
+
 @pytest.fixture(scope="module")
 def con():
     return connect(FOLDER)
@@ -18,6 +22,7 @@ def con():
 def test_equals_sql(spark, con, name):
     df = QUERIES[name](spark, FOLDER)
     assert_equal(df, con, SQL[name])
+    assert name in MAY_BE_EMPTY or not df.isEmpty()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
@@ -33,7 +38,7 @@ def test_scans_are_narrow(spark):
 def test_runs(spark, name):
     df = QUERIES[name](spark, FOLDER)
     assert len(set(df.columns)) == len(df.columns)
-    df.collect()
+    assert df.collect() or name in MAY_BE_EMPTY
 
 
 def test_sql_has_a_query():
