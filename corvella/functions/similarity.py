@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,16 +20,17 @@ def jaro_winkler(a: str | None, b: str | None) -> float:
     if a == b:
         return 1.0
     reach = max(len(a), len(b)) // 2 - 1
-    free: dict[str, list[int]] = {}
+    free: dict[str, deque[int]] = {}
     for j, c in enumerate(b):
-        free.setdefault(c, []).append(j)
+        free.setdefault(c, deque()).append(j)
     partner = {}
     for i, c in enumerate(a):
-        spots = free.get(c, [])
-        j = next((j for j in spots if i - reach <= j <= i + reach), None)
-        if j is not None:
-            spots.remove(j)
-            partner[i] = j
+        spots = free.get(c)
+        # What lies too far back for this place does so for all later ones.
+        while spots and spots[0] < i - reach:
+            spots.popleft()
+        if spots and spots[0] <= i + reach:
+            partner[i] = spots.popleft()
     m = len(partner)
     if not m:
         return 0.0
@@ -38,72 +42,168 @@ def jaro_winkler(a: str | None, b: str | None) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
+#: Classes that characters are counted in, and the longest texts that are compared as sets of bits.
+CLASSES, WIDEST = 64, 512
+
+#: Bytes that the matrices of pairs compared at once may take, about.
+BYTES = 1 << 20
+
+
 class TextTable:
-    """Texts as a matrix of code points, shorter ones filled up, with how often each of 64 classes of characters occurs."""
+    """Texts with their lengths, first four characters, and how often each class of characters occurs."""
 
     def __init__(self, texts: list[str]):
+        self.texts = texts
         self.length = np.array([len(t) for t in texts], dtype=np.int64)
-        self.code = np.zeros((len(texts), int(self.length.max(initial=0))), dtype=np.uint32)
+        self.start = np.zeros((len(texts), 4), dtype=np.uint32)
+        self.bag = np.zeros((len(texts), CLASSES), dtype=np.int32)
         for i, t in enumerate(texts):
-            self.code[i, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        self.bag = np.zeros((len(texts), 64), dtype=np.int32)
-        row, col = np.nonzero(np.arange(self.code.shape[1]) < self.length[:, None])
-        np.add.at(self.bag, (row, self.code[row, col] % 64), 1)
+            code = points(t)
+            self.start[i, : min(4, len(t))] = code[:4]
+            self.bag[i] = np.bincount(code % CLASSES, minlength=CLASSES)
+
+
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def able_pairs(a: TextTable, b: TextTable, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places i of a and j of b, and common prefixes up to four, of the pairs that lengths, prefixes and character counts allow a Jaro-Winkler similarity of `least`."""
+    filled = np.flatnonzero(b.length > 0)
+    step = max(1, BYTES // (16 * max(1, len(filled))))
+    for lo in range(0, len(a.texts), step):
+        own = np.arange(lo, min(lo + step, len(a.texts)))
+        own = own[a.length[own] > 0]
+        n, m = a.length[own][:, None], b.length[filled][None, :]
+        prefix, alike = np.zeros((len(own), len(filled)), dtype=np.int8), np.minimum(n, m) > 0
+        for k in range(4):
+            alike &= (a.start[own, k][:, None] == b.start[filled, k][None, :]) & (np.minimum(n, m) > k)
+            prefix += alike
+        # A class at a time, so that no array of three dimensions is made.
+        most = np.zeros(prefix.shape, dtype=np.int32)
+        for c in np.flatnonzero(a.bag[own].any(axis=0) & b.bag[filled].any(axis=0)):
+            most += np.minimum(a.bag[own, c][:, None], b.bag[filled, c][None, :])
+        x, y = np.nonzero(_reaches(most, n, m, prefix, least))
+        yield own[x], filled[y], prefix[x, y]
+
+
+def _reaches(count: np.ndarray, n: np.ndarray, m: np.ndarray, prefix: np.ndarray, least: float) -> np.ndarray:
+    """Whether so many matches, all of them in order, are similar enough."""
+    bound = (count / n + count / m + 1) / 3
+    return (count > 0) & (bound + prefix * 0.1 * (1 - bound) >= least - 1e-9)
+
+
+def similar_pairs(a: TextTable, b: TextTable, least: float, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places i of a and j of b of the pairs whose Jaro-Winkler similarity is at least `least`, and their similarities; wanted(i, j) says which pairs are asked for.
+
+    What the bounds leave is compared many pairs at once, each text's places of a character
+    as sets of bits. Texts of over WIDEST characters are compared one pair at a time, in
+    time that grows with their length and without matrices.
+    """
+    bits = None
+    for i, j, prefix in able_pairs(a, b, least):
+        ask = wanted(i, j)
+        i, j, prefix = i[ask], j[ask], prefix[ask]
+        long = np.maximum(a.length[i], b.length[j]) > WIDEST
+        if long.any():
+            score = np.array([jaro_winkler(a.texts[x], b.texts[y]) for x, y in zip(i[long].tolist(), j[long].tolist(), strict=True)])
+            good = score >= least
+            yield i[long][good], j[long][good], score[good]
+            i, j, prefix = i[~long], j[~long], prefix[~long]
+        if not len(i):
+            continue
+        bits = bits or BitTables(a, b)
+        # Pairs of long texts apart, so that short ones have one word each.
+        wide = -(-np.maximum(a.length[i], b.length[j]) // 64)
+        for w in np.unique(wide).tolist():
+            at = np.flatnonzero(wide == w)
+            step = max(1, BYTES // (64 * w))
+            for lo in range(0, len(at), step):
+                one = at[lo : lo + step]
+                x, y, score = bits.similar(i[one], j[one], prefix[one], w, least)
+                yield x, y, score
 
 
 def similar(a: TextTable, i: int, b: TextTable, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The places of b's texts whose Jaro-Winkler similarity to a's text i is at least `least`, and their similarities.
-
-    Lengths and character counts bound the matches from above; only texts that this leaves are compared, all at once.
-    """
-    n = int(a.length[i])
-    at = np.flatnonzero(b.length > 0)
-    if not n or not len(at):
-        return at[:0], np.zeros(0)
-    k = min(4, n, b.code.shape[1])
-    same = (b.code[at, :k] == a.code[i, :k]) & (np.arange(k) < b.length[at, None])
-    prefix = np.minimum.accumulate(same, axis=1).sum(axis=1)
-    most = np.minimum(a.bag[i], b.bag[at]).sum(axis=1)
-    bound = (most / n + most / b.length[at] + 1) / 3
-    able = bound + prefix * 0.1 * (1 - bound) >= least - 1e-9
-    at, prefix = at[able], prefix[able]
-    score = np.zeros(len(at))
-    # So many texts at once that their matrices stay small.
-    step = max(1, (1 << 20) // max(1, b.code.shape[1]))
-    for x in range(0, len(at), step):
-        score[x : x + step] = _jaro(a.code[i, :n], b.code[at[x : x + step]], b.length[at[x : x + step]])
-    score += prefix * 0.1 * (1 - score)
-    good = score >= least
-    return at[good], score[good]
-
-
-def _jaro(own: np.ndarray, code: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Jaro similarity of one text with each row of code; each character takes the first free equal one within reach."""
-    m, n = len(code), len(own)
-    code = code[:, : int(length.max(initial=0))]
-    column = np.arange(code.shape[1])
-    reach = np.maximum(0, np.maximum(n, length) // 2 - 1)[:, None]
-    free = column < length[:, None]
-    matched = np.zeros((m, n), dtype=bool)
-    row = np.arange(m)
-    for i in range(n):
-        hit = free & (code == own[i]) & (np.abs(column - i) <= reach)
-        j = hit.argmax(axis=1)
-        got = hit[row, j]
-        matched[:, i] = got
-        free[row[got], j[got]] = False
-    count = matched.sum(axis=1)
-    # The matched characters of both sides in their own orders.
-    taken = ~free & (column < length[:, None])
-    wide = int(count.max(initial=0))
-    left, right = np.zeros((m, wide), dtype=np.uint32), np.zeros((m, wide), dtype=np.uint32)
-    x, y = np.nonzero(matched)
-    left[x, (np.cumsum(matched, axis=1) - 1)[x, y]] = own[y]
-    x, y = np.nonzero(taken)
-    right[x, (np.cumsum(taken, axis=1) - 1)[x, y]] = code[x, y]
-    moved = (left != right).sum(axis=1)
-    safe = np.maximum(count, 1)
-    return np.where(count > 0, (count / n + count / length + (count - moved / 2) / safe) / 3, 0.0)
+    """The places of b's texts that are similar to a's text i, ascending, and their similarities."""
+    found = [(j, score) for _, j, score in similar_pairs(TextTable([a.texts[i]]), b, least, lambda x, y: y >= 0)]
+    at, score = (np.concatenate([np.zeros(0, t), *x]) for x, t in zip(zip(*found) if found else ((), ()), (np.int64, np.float64), strict=True))
+    order = np.argsort(at)
+    return at[order], score[order]
+
+
+class BitTables:
+    """The characters of a's and b's texts as numbers of one alphabet, and where each stands in each text of b as bits."""
+
+    def __init__(self, a: TextTable, b: TextTable):
+        short = lambda t: t if len(t) <= WIDEST else ""
+        flat = [points("".join(map(short, x.texts))) for x in (a, b)]
+        alphabet = np.unique(np.concatenate(flat))
+        self.a, self.b = (self._coded(x, f, alphabet) for x, f in zip((a, b), flat, strict=True))
+        self.n, self.m = a.length, b.length
+        row, at = np.nonzero(self.b >= 0)
+        letter = self.b[row, at]
+        key, place = np.unique(row * len(alphabet) + letter, return_inverse=True)
+        #: The set of each text and character; the first one is empty.
+        self.where = np.zeros((len(b.texts), len(alphabet)), dtype=np.int32)
+        self.where.reshape(-1)[key] = np.arange(1, len(key) + 1)
+        self.bits = np.zeros((-(-self.b.shape[1] // 64), len(key) + 1), dtype=np.uint64)
+        np.bitwise_or.at(self.bits, (at // 64, place + 1), np.uint64(1) << (at % 64).astype(np.uint64))
+
+    @staticmethod
+    def _coded(table: TextTable, flat: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+        length = np.where(table.length <= WIDEST, table.length, 0)
+        out = np.full((len(length), max(1, int(length.max(initial=0)))), -1, dtype=np.int32)
+        out[np.arange(out.shape[1]) < length[:, None]] = np.searchsorted(alphabet, flat)
+        return out
+
+    def similar(self, i: np.ndarray, j: np.ndarray, prefix: np.ndarray, words: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those of the pairs that are similar enough, of texts of at most 64 * words characters; each character takes the first free equal one within reach."""
+        order = np.argsort(-self.n[i], kind="stable")
+        i, j, prefix = i[order], j[order], prefix[order]
+        n, m = self.n[i], self.m[j]
+        reach = np.maximum(0, np.maximum(n, m) // 2 - 1)
+        # The places within reach of a first text's place k, which move on by one with it; a word of bits is an array of its own.
+        places = np.arange(64 * words)
+        window = list(np.packbits(places < np.arange(64 * words + 1)[:, None], axis=1, bitorder="little").view(np.uint64)[np.minimum(reach + 1, 64 * words)].T.copy())
+        free = [np.full(len(i), ~np.uint64(0)) for _ in range(words)]
+        taken = np.zeros((words, len(i)), dtype=np.uint64)
+        letters, row = self.a[i].T.copy(), j * self.where.shape[1]
+        # Pairs come by the length of their first text, so those that have a place k stand first.
+        for k, live in enumerate(np.searchsorted(-n, -np.arange(int(n.max(initial=0))), side="left").tolist()):
+            carry = (k <= reach[:live]).astype(np.uint64)
+            found = self.where.take(row[:live] + letters[k, :live])
+            got = np.zeros(live, dtype=bool)
+            for v in range(words):
+                near = window[v][:live]
+                if k:
+                    over = near >> np.uint64(63)
+                    near <<= np.uint64(1)
+                    near |= carry
+                    carry = over
+                if v < len(self.bits):
+                    spots = self.bits[v].take(found)
+                    spots &= free[v][:live]
+                    spots &= near
+                    spots &= np.negative(spots)
+                    if v:
+                        spots[got] = 0
+                    free[v][:live] ^= spots
+                    got |= spots != 0
+            taken[k // 64, :live] |= got.astype(np.uint64) << np.uint64(k % 64)
+        taken, free = np.ascontiguousarray(taken.T), np.stack(free, axis=1)
+        count = np.bitwise_count(taken).sum(axis=1, dtype=np.int64)
+        able = np.flatnonzero(_reaches(count, n, m, prefix, least))
+        i, j, prefix, n, m, count = i[able], j[able], prefix[able], n[able], m[able], count[able]
+        # Matched characters of both sides, each in its own order: as many of one as of the other in every pair.
+        side = lambda sets: np.nonzero(np.unpackbits(sets.view(np.uint8), axis=1, bitorder="little").view(bool))
+        x, y = side(taken[able])
+        _, z = side(~free[able])
+        moved = np.bincount(x, weights=self.a[i[x], y] != self.b[j[x], z], minlength=len(i))
+        score = (count / n + count / m + (count - moved / 2) / count) / 3
+        score += prefix * 0.1 * (1 - score)
+        good = score >= least
+        return i[good], j[good], score[good]
 
 
 def citation_year(text: Column) -> Column:

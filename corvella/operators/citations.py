@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvella.functions.similarity import TextTable, citation_year, prefix_key, similar
+from corvella.functions.similarity import TextTable, citation_year, prefix_key, similar_pairs
 from corvella.operators.cut import cut
 
 
@@ -96,17 +96,32 @@ def canonical_keys(texts: DataFrame) -> DataFrame:
     return rows.withColumn("block", key).filter(F.col("block").isNotNull())
 
 
-#: Texts of a block that are compared with as many others at once.
-TILE = 1024
+#: Texts of a block that are compared with as many others at once, and the characters that these may have, about.
+TILE, CHARACTERS = 1024, 1 << 22
 
 TILED = "array<struct<id:long,text:string,n:long>>"
 
 
-def _tiles(keyed: DataFrame, name: str) -> DataFrame:
-    """block, name: the rows (id, text, n) of each block in arrays of about TILE."""
-    size = keyed.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    dealt = keyed.join(size, "block").withColumn("t", F.pmod(F.xxhash64("text"), F.col("tiles")))
-    return dealt.groupBy("block", "t").agg(F.collect_list(F.struct("id", "text", "n")).cast(TILED).alias(name)).drop("t")
+def _dealt(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with the tile (t) of their block in which each stands, and how many tiles each block has."""
+    tiles = F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum(F.length("text")) / CHARACTERS)).cast("int")
+    size = cut(keyed.groupBy("block").agg(tiles.alias("tiles")))
+    return keyed.join(size, "block").withColumn("t", F.pmod(F.xxhash64("text"), F.col("tiles")).cast("int")).drop("tiles"), size
+
+
+def _tile_pairs(new: DataFrame, known: DataFrame) -> DataFrame:
+    """new, known: each two tiles of a block in arrays. Pairs of tiles are groups of their own, so a hot block is spread over all tasks."""
+    (a, of_a), (b, of_b) = _dealt(new), _dealt(known)
+    width = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row = F.collect_list(F.struct("id", "text", "n")).cast(TILED)
+
+    def side(rows: DataFrame, others: DataFrame, mine: str, theirs: str, name: str) -> DataFrame:
+        mates = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias(theirs)
+        met = rows.withColumnRenamed("t", mine).join(others, "block").select("block", mine, mates, "id", "text", "n")
+        # A stated number of partitions is kept, however few bytes there are: the work is in the comparisons.
+        return met.repartition(width, "block", "t", "u").groupBy("block", "t", "u").agg(row.alias(name))
+
+    return side(a, of_b, "t", "u", "new").join(side(b, of_a, "u", "t", "known"), ["block", "t", "u"])
 
 
 def _compare(least: float, best: bool):
@@ -117,18 +132,15 @@ def _compare(least: float, best: bool):
             for new, known in zip(batch["new"], batch["known"], strict=True):
                 a, b = TextTable([x["text"] for x in new]), TextTable([x["text"] for x in known])
                 ids, n = (np.array([x[c] for x in known], dtype=np.int64) for c in ("id", "n"))
-                out = []
-                for i, x in enumerate(new):
-                    at, score = similar(a, i, b, least)
-                    fine = ids[at] != x["n"] if best else (n[at] > x["n"]) | ((n[at] == x["n"]) & (ids[at] < x["id"]))
-                    at, score = at[fine], score[fine]
-                    if best and len(at):
-                        first = np.lexsort((ids[at], -score))[:1]
-                        at, score = at[first], score[first]
-                    if len(at):
-                        out.append(pd.DataFrame({"id_new": x["id"], "id_known": ids[at], "score": score}))
-                if out:
-                    yield pd.concat(out)
+                own, own_n = (np.array([x[c] for x in new], dtype=np.int64) for c in ("id", "n"))
+                before = lambda i, j: (n[j] > own_n[i]) | ((n[j] == own_n[i]) & (ids[j] < own[i]))  # noqa: B023, E731
+                other = lambda i, j: ids[j] != own_n[i]  # noqa: B023, E731
+                for i, j, score in similar_pairs(a, b, least, other if best else before):
+                    found = pd.DataFrame({"id_new": own[i], "id_known": ids[j], "score": score})
+                    if best:
+                        found = found.sort_values(["id_new", "score", "id_known"], ascending=[True, False, True]).drop_duplicates("id_new")
+                    if len(found):
+                        yield found
 
     return each
 
@@ -141,8 +153,8 @@ def fuzzy_pairs(new: DataFrame, known: DataFrame, least: float = 0.9, best: bool
     gives the best known text of each new one; else the known ones that stand before it, by
     larger n, then smaller id; with `best` n is the id that a new text must not match.
     """
-    tiles = _tiles(block_keys(new).select("block", "id", "text", "n"), "new").join(_tiles(canonical_keys(known).select("block", "id", "text", "n"), "known"), "block")
-    return tiles.mapInPandas(_compare(least, best), "id_new long, id_known long, score double")
+    tiles = _tile_pairs(block_keys(new).select("block", "id", "text", "n"), canonical_keys(known).select("block", "id", "text", "n"))
+    return tiles.select("new", "known").mapInPandas(_compare(least, best), "id_new long, id_known long, score double")
 
 
 def best_matches(new: DataFrame, known: DataFrame, least: float = 0.9) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +170,60 @@ def test_fuzzy_matches_and_clusters_equal_brute_force(spark, monkeypatch, tile):
     assert len(best) > 20 and len(set(canonical.values())) < len(rows) - 20
 
 
+def mutated(rng, text):
+    """A text with up to six characters dropped, added or exchanged."""
+    out = list(text)
+    for _ in range(rng.randint(0, 6)):
+        x = rng.randrange(len(out) + 1)
+        if rng.random() < 0.4 and len(out) > 1:
+            out.pop(min(x, len(out) - 1))
+        elif rng.random() < 0.5:
+            out.insert(x, rng.choice("abcdé漢 "))
+        elif len(out) > 1:
+            y, z = rng.randrange(len(out)), rng.randrange(len(out))
+            out[y], out[z] = out[z], out[y]
+    return "".join(out)
+
+
+def tile_similar(new, known, least):
+    a, b = similarity.TextTable(new), similarity.TextTable(known)
+    found = similarity.similar_pairs(a, b, least, lambda i, j: np.ones(len(i), dtype=bool))
+    return {(x, y): round(z, 9) for i, j, s in found for x, y, z in zip(i.tolist(), j.tolist(), s.tolist(), strict=True)}
+
+
+@pytest.mark.parametrize("longest", [1, 3, 40, 64, 65, 130, 300, 700])
+@pytest.mark.parametrize("least", [0.9, 0.75])
+def test_tiles_equal_the_plain_similarity(longest, least, monkeypatch):
+    """Texts of one word of bits, of several, and beyond; empty ones; portions of few pairs."""
+    rng = random.Random(longest)
+    base = ["".join(rng.choice("abcdefgh ij") for _ in range(rng.randint(1, longest))) for _ in range(12)]
+    new = [mutated(rng, rng.choice(base)) for _ in range(40)] + [""]
+    known = [mutated(rng, rng.choice(base)) for _ in range(45)] + ["", base[0]]
+    slow = {(x, y): round(s, 9) for x, a in enumerate(new) for y, b in enumerate(known) if (s := similarity.jaro_winkler(a, b)) >= least}
+    assert slow and tile_similar(new, known, least) == slow
+    monkeypatch.setattr(similarity, "BYTES", 4096)
+    assert tile_similar(new, known, least) == slow
+    assert tile_similar(new, [], least) == tile_similar([], known, least) == tile_similar([""], [""], least) == {}
+
+
+def test_a_text_of_a_million_characters_costs_no_matrix():
+    texts = [f"smith, j. {i} educational leadership" for i in range(200)] + ["ab" * 500_000, "ab" * 499_990 + "cd" * 10]
+    tracemalloc.start()
+    found = tile_similar(texts, texts, 0.9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (200, 201) in found and (200, 0) not in found
+    assert peak < 200e6
+
+
+def test_best_match_is_that_of_all_tiles(spark, monkeypatch):
+    """Tiles bounded by characters, and a best match that stands in another tile and portion than the second best."""
+    monkeypatch.setattr(C, "CHARACTERS", 100)
+    known = spark.createDataFrame([(i, f"smith, john 2020 leadership in schools {i}") for i in range(30)], "id long, text string")
+    new = spark.createDataFrame([(100, "smith, john 2020 leadership in schools 17x")], "id long, text string")
+    assert [(r.id_new, r.id_known) for r in C.best_matches(new, known).collect()] == [(100, 17)]
+
+
 def test_clusters_follow_the_order(spark):
     texts = spark.createDataFrame([(1, "abcdefghij 1999 x"), (2, "abcdefghij 1999 y"), (3, "zzzz qqqq 1950 long other")], "id long, text string")
     counts = spark.createDataFrame([(1, 1), (2, 5), (3, 1)], "citation_id long, n long")
