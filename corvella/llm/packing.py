@@ -23,6 +23,9 @@ from corvella.llm.store import Cuts, shuffle_width
 #: Pieces that are packed together. Bins are never shared between groups.
 GROUP = 8192
 
+#: Equal rows that are unrolled from one row at once.
+COPIES = 1 << 17
+
 PACKED = "doc_id string, piece int, first long, n_words long, bin_id long, bin_at long"
 
 
@@ -108,6 +111,15 @@ def _pack(capacity: int, source_slots: int):
     return each
 
 
+def _unrolled(counted: DataFrame, row: list[str]) -> DataFrame:
+    """A row for each of the counted copies. Those of a row that is repeated often are dealt to all tasks in blocks of COPIES."""
+    block = F.col("block")
+    few = counted.filter(F.col("copies") <= COPIES).withColumn("block", F.lit(0).cast("long"))
+    many = counted.filter(F.col("copies") > COPIES).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES}"))))
+    many = many.repartition(shuffle_width(counted.sparkSession), *row, "block")
+    return few.unionByName(many).select(*row, F.explode(F.sequence(block * COPIES + 1, F.least("copies", (block + 1) * COPIES))).alias("copy"))
+
+
 def pack(docs: DataFrame, capacity: int = 2048, source_slots: int = 2, group: int = GROUP) -> DataFrame:
     """(doc_id, piece, first, n_words, bin_id, bin_at): where each piece of each document goes.
 
@@ -121,7 +133,7 @@ def pack(docs: DataFrame, capacity: int = 2048, source_slots: int = 2, group: in
 
     Groups are cut by a hash of the document and the number among its repetitions to hold
     about `group` pieces, so a hot source, cluster or row is spread over all of them, no task
-    holds more than one group, and the result does not depend on how the table is stored. Bins
+    holds more than one group (full pieces are numbered in groups of their own), and the result does not depend on how the table is stored. Bins
     are not shared between groups: at the end of each the last bins stay open.
     """
     spark = docs.sparkSession
@@ -131,17 +143,17 @@ def pack(docs: DataFrame, capacity: int = 2048, source_slots: int = 2, group: in
     sized = docs.select("doc_id", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("source"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("cluster"), n.alias("words"))
     # Equal rows are counted and numbered without one task having to hold them.
     counted = cuts.cut(sized.groupBy(*row).agg(F.count(F.lit(1)).alias("copies")), "sized")
-    count = counted.filter(F.col("words") % capacity > 0).agg(F.sum("copies")).first()[0] or 0
-    groups = max(1, -(-count // group))
-    each = counted.select(*row, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
-    each = each.withColumn("grp", F.pmod(F.xxhash64("doc_id", "cluster", "source", "copy"), F.lit(groups)))
+    many = lambda held: F.coalesce(F.sum(F.when(held, F.col("copies"))), F.lit(0))
+    groups, long_groups = (max(1, -(-n // group)) for n in counted.agg(many(F.col("words") % capacity > 0), many(F.col("words") >= capacity)).first())
+    dealt = lambda n: F.pmod(F.xxhash64("doc_id", "cluster", "source", "copy"), F.lit(n))
+    each = _unrolled(counted, row).withColumn("grp", dealt(groups))
     full = F.expr(f"words div {capacity}")
     wide = max(1, min(groups, shuffle_width(spark)))
     # As text, an id passes pandas whole, also beside nulls.
     last = each.filter(F.col("words") % capacity > 0).select(F.col("doc_id").cast("string").alias("doc_id"), "source", "cluster", "copy", full.cast("int").alias("piece"), (full * capacity).alias("first"), (F.col("words") % capacity).alias("n_words"), "grp")
     packed = last.repartition(wide, "grp").sortWithinPartitions("grp").mapInPandas(_pack(capacity, source_slots), PACKED).withColumn("doc_id", F.col("doc_id").cast("long"))
     # Full pieces are numbered within their group.
-    long = each.filter(F.col("words") >= capacity).withColumn("full", full)
+    long = each.filter(F.col("words") >= capacity).withColumn("grp", dealt(long_groups)).withColumn("full", full)
     before = F.sum("full").over(W.partitionBy("grp").orderBy("doc_id", "cluster", "source", "copy").rowsBetween(W.unboundedPreceding, -1))
     alone = long.withColumn("before", F.coalesce(before, F.lit(0).cast("long"))).select("doc_id", "grp", "before", F.posexplode(F.expr("sequence(1L, full)")).alias("piece", "one"))
     alone = alone.select("doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("first"), F.lit(capacity).cast("long").alias("n_words"), (-1 - (F.shiftleft("grp", 32) + F.col("before") + F.col("piece"))).alias("bin_id"), F.lit(0).cast("long").alias("bin_at"))

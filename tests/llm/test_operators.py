@@ -291,6 +291,20 @@ def test_packing_of_one_hot_row(spark):
     assert max(sum(r.n_words for r in got if r.bin_id == b) for b in {r.bin_id for r in got}) <= 20
 
 
+def test_packing_unrolls_hot_rows_in_blocks(spark, monkeypatch):
+    """Blocks that end before, at and after the last copy give what one array gives; rows without words or id and rows of whole bins too."""
+    hot = [(1, "a b c", "s"), (None, "", None), (2, "w " * 40, "t"), (3, "w " * 45, None)]
+    rows = [r for r, n in zip(hot, (300, 210, 70, 71), strict=True) for _ in range(n)] + [(i, f"w{i} " * (i % 9), f"s{i % 5}") for i in range(4, 200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = bag(packing.pack(table, 20, 2, group=100).collect())
+    assert sum(n for k, n in first.items() if k[0] == 1) == 300 and sum(n for k, n in first.items() if k[0] is None) == 210
+    full = [k[4] for k, n in first.items() for _ in range(n) if k[4] is not None and k[4] < 0]
+    assert len(full) == len(set(full)) == 70 * 2 + 71 * 2
+    for block in (1, 7, 70, 71, 299):
+        monkeypatch.setattr(packing, "COPIES", block)
+        assert bag(packing.pack(table, 20, 2, group=100).collect()) == first
+
+
 def test_packing_takes_the_tightest_bin():
     rng = random.Random(3)
     for _ in range(30):
