@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvella.operators.cut import stored, tidied
+
 
 def by_year(doc_topics: DataFrame, docs: DataFrame, k: int = 10, parents: DataFrame | None = None) -> DataFrame:
     """topic_id, year, n of the k topics with most documents, outliers apart; parents(topic_id, parent) replaces topics."""
@@ -146,8 +148,9 @@ def class_weights(uses: DataFrame) -> DataFrame:
     """topic_id, term, weight of uses(topic_id, term, n): class-wise TF-IDF.
 
     A topic's share of uses that a term has, times ln(1 + mean uses of a topic / uses of the
-    term in all topics).
+    term in all topics). uses is read several times, so it is stored once.
     """
+    uses = stored(uses)
     sizes = uses.groupBy("topic_id").agg(F.sum("n").alias("size"))
     terms = uses.groupBy("term").agg(F.sum("n").alias("all"))
     # One row.
@@ -163,15 +166,17 @@ def topic_terms(weights: DataFrame, k: int = 10) -> DataFrame:
     return rounded.withColumn("rank", rank).filter(F.col("rank") <= k).select("topic_id", "rank", "term", "weight")
 
 
+@tidied
 def reassigned(uses: DataFrame, assigned: DataFrame, least: float = 0.15) -> DataFrame:
     """doc_id, topic_id: assigned(doc_id, topic_id) with outliers (-1) moved to the topic whose terms they share.
 
     uses(doc_id, term, n) are the documents' terms. An outlier's terms are weighed as a topic's
     are; it goes to the topic of the greatest cosine, ties to the smaller topic, if that is
-    `least` or more. Only outliers' terms meet the topics', in an equi-join on the term.
+    `least` or more. Only outliers' terms meet the topics', in an equi-join on the term. The
+    terms are found once: their sums by topic and the outliers' own ones are stored.
     """
-    placed = uses.join(assigned, "doc_id")
-    by_topic = placed.groupBy("topic_id", "term").agg(F.sum("n").alias("n"))
+    placed = stored(uses.join(assigned, "doc_id"))
+    by_topic = stored(placed.groupBy("topic_id", "term").agg(F.sum("n").alias("n")))
     weights = class_weights(by_topic).filter("topic_id <> -1")
     norms = weights.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     mean = by_topic.groupBy("topic_id").agg(F.sum("n").alias("size")).agg(F.avg("size")).first()[0] or 0.0

@@ -14,6 +14,7 @@ from corvella.operators import people as P
 from corvella.operators import phrases as H
 from corvella.operators import records as D
 from corvella.operators import topics as O
+from corvella.operators.cut import cut
 from corvella.operators.merge import upsert
 from corvella.plans.people import dotted
 from corvella.plans.registry import Registry
@@ -378,16 +379,19 @@ every AS (SELECT term, sum(n) AS every FROM byc GROUP BY 1), w AS MATERIALIZED (
 
 
 def uses(t: Tables) -> DataFrame:
-    """doc_id, term, n of the texts that have a topic."""
-    counts = t.raw("documents").select("doc_id", F.inline(H.in_row_counts(H.tokens(F.col("text"))))).withColumnRenamed("tf", "n")
-    return counts.join(t.doc_topics().select("doc_id"), "doc_id", "left_semi")
+    """doc_id, term, n of the texts."""
+    return t.raw("documents").select("doc_id", F.inline(H.token_counts(F.col("text")))).withColumnRenamed("tf", "n")
+
+
+def terms_by_topic(t: Tables) -> DataFrame:
+    placed = uses(t).join(t.doc_topics().select("doc_id", "topic_id"), "doc_id")
+    return placed.groupBy("topic_id", "term").agg(F.sum("n").alias("n"))
 
 
 @R.query(f"WITH {CLASSES} SELECT topic_id, rank, term, weight FROM (SELECT topic_id, term, round(weight, 9) AS weight, row_number() OVER (PARTITION BY topic_id ORDER BY round(weight, 9) DESC, term)::INTEGER AS rank FROM w) WHERE rank <= 10")
 def topic_terms(t: Tables) -> DataFrame:
     """The terms of most class-wise TF-IDF of each topic."""
-    placed = uses(t).join(t.doc_topics().select("doc_id", "topic_id"), "doc_id")
-    return O.topic_terms(O.class_weights(placed.groupBy("topic_id", "term").agg(F.sum("n").alias("n"))))
+    return O.topic_terms(O.class_weights(terms_by_topic(t)))
 
 
 @R.query(f"""
@@ -398,8 +402,8 @@ best AS (SELECT doc_id, topic_id AS moved FROM (SELECT *, row_number() OVER (PAR
 SELECT doc_id, coalesce(moved, topic_id) AS topic_id FROM (SELECT DISTINCT doc_id, topic_id FROM uses) LEFT JOIN best USING (doc_id)""")
 def outliers_reassigned(t: Tables) -> DataFrame:
     """Topics of texts, outliers moved to the topic whose vocabulary they share."""
-    own = uses(t)
-    return O.reassigned(own, t.doc_topics().join(own.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "topic_id"))
+    some = t.raw("documents").filter(F.size(H.token_counts(F.col("text"))) > 0).select("doc_id").distinct()
+    return O.reassigned(uses(t), cut(t.doc_topics().join(some, "doc_id", "left_semi").select("doc_id", "topic_id")))
 
 
 LABELLED = "(SELECT doc_id AS id, doc_id // 10 AS topic_id, 60 + (doc_id * 7) % 41 AS score, doc_id AS created, CASE WHEN doc_id % 5 = 0 THEN 'rejected' ELSE 'pending' END AS status, quality = 0 AS warned FROM labels)"
