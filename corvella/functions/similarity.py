@@ -67,8 +67,8 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def able_pairs(a: TextTable, b: TextTable, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places i of a and j of b, and common prefixes up to four, of the pairs that lengths, prefixes and character counts allow a Jaro-Winkler similarity of `least`."""
+def able_pairs(a: TextTable, b: TextTable, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Places i of a and j of b, common prefixes up to four, and bounds of the Jaro-Winkler similarity, of the pairs whose lengths, prefixes and character counts allow one of `least`."""
     filled = np.flatnonzero(b.length > 0)
     step = max(1, BYTES // (16 * max(1, len(filled))))
     for lo in range(0, len(a.texts), step):
@@ -83,14 +83,19 @@ def able_pairs(a: TextTable, b: TextTable, least: float) -> Iterator[tuple[np.nd
         most = np.zeros(prefix.shape, dtype=np.int32)
         for c in np.flatnonzero(a.bag[own].any(axis=0) & b.bag[filled].any(axis=0)):
             most += np.minimum(a.bag[own, c][:, None], b.bag[filled, c][None, :])
-        x, y = np.nonzero(_reaches(most, n, m, prefix, least))
-        yield own[x], filled[y], prefix[x, y]
+        bound = _bound(most, n, m, prefix)
+        x, y = np.nonzero((most > 0) & (bound >= least - 1e-9))
+        yield own[x], filled[y], prefix[x, y], bound[x, y]
 
 
-def _reaches(count: np.ndarray, n: np.ndarray, m: np.ndarray, prefix: np.ndarray, least: float) -> np.ndarray:
-    """Whether so many matches, all of them in order, are similar enough."""
+def _bound(count: np.ndarray, n: np.ndarray, m: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """The similarity of so many matches, all of them in order."""
     bound = (count / n + count / m + 1) / 3
-    return (count > 0) & (bound + prefix * 0.1 * (1 - bound) >= least - 1e-9)
+    return bound + prefix * 0.1 * (1 - bound)
+
+
+def _reaches(count: np.ndarray, n: np.ndarray, m: np.ndarray, prefix: np.ndarray, least: float) -> np.ndarray:
+    return (count > 0) & (_bound(count, n, m, prefix) >= least - 1e-9)
 
 
 def similar_pairs(a: TextTable, b: TextTable, least: float, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -100,10 +105,49 @@ def similar_pairs(a: TextTable, b: TextTable, least: float, wanted: Callable[[np
     as sets of bits. Texts of over WIDEST characters are compared one pair at a time, in
     time that grows with their length and without matrices.
     """
-    bits = None
-    for i, j, prefix in able_pairs(a, b, least):
+    compare = Comparison(a, b, least)
+    for i, j, prefix, _ in able_pairs(a, b, least):
         ask = wanted(i, j)
-        i, j, prefix = i[ask], j[ask], prefix[ask]
+        yield from compare(i[ask], j[ask], prefix[ask])
+
+
+#: Of each text so many of the likeliest pairs are compared first, then FIRST times as many, and so on.
+FIRST = 4
+
+
+def best_pairs(a: TextTable, b: TextTable, least: float, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As similar_pairs(), but of each text of a all pairs of the greatest similarity are among those given, and not all others.
+
+    The likeliest pairs of each text are compared first, in waves; a pair whose bound is below
+    what its text has is never compared.
+    """
+    compare = Comparison(a, b, least)
+    best = np.zeros(len(a.texts))
+    for i, j, prefix, bound in able_pairs(a, b, least):
+        ask = wanted(i, j)
+        i, j, prefix, bound = i[ask], j[ask], prefix[ask], bound[ask]
+        order = np.lexsort((-bound, i))
+        i, j, prefix, bound = i[order], j[order], prefix[order], bound[order]
+        wave = FIRST
+        while len(i):
+            # Places among the pairs of the same text, which stand together.
+            now = np.arange(len(i)) - np.searchsorted(i, i, side="left") < wave
+            for x, y, score in compare(i[now], j[now], prefix[now]):
+                np.maximum.at(best, x, score)
+                yield x, y, score
+            left = ~now & (bound >= best[i] - 1e-9)
+            i, j, prefix, bound = i[left], j[left], prefix[left], bound[left]
+            wave *= FIRST
+
+
+class Comparison:
+    """Pairs of texts of two tables with a similarity of `least` or more, of those asked for."""
+
+    def __init__(self, a: TextTable, b: TextTable, least: float):
+        self.a, self.b, self.least, self.bits = a, b, least, None
+
+    def __call__(self, i: np.ndarray, j: np.ndarray, prefix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        a, b, least = self.a, self.b, self.least
         long = np.maximum(a.length[i], b.length[j]) > WIDEST
         if long.any():
             score = np.array([jaro_winkler(a.texts[x], b.texts[y]) for x, y in zip(i[long].tolist(), j[long].tolist(), strict=True)])
@@ -111,8 +155,8 @@ def similar_pairs(a: TextTable, b: TextTable, least: float, wanted: Callable[[np
             yield i[long][good], j[long][good], score[good]
             i, j, prefix = i[~long], j[~long], prefix[~long]
         if not len(i):
-            continue
-        bits = bits or BitTables(a, b)
+            return
+        self.bits = self.bits or BitTables(a, b)
         # Pairs of long texts apart, so that short ones have one word each.
         wide = -(-np.maximum(a.length[i], b.length[j]) // 64)
         for w in np.unique(wide).tolist():
@@ -120,8 +164,7 @@ def similar_pairs(a: TextTable, b: TextTable, least: float, wanted: Callable[[np
             step = max(1, BYTES // (64 * w))
             for lo in range(0, len(at), step):
                 one = at[lo : lo + step]
-                x, y, score = bits.similar(i[one], j[one], prefix[one], w, least)
-                yield x, y, score
+                yield self.bits.similar(i[one], j[one], prefix[one], w, least)
 
 
 def similar(a: TextTable, i: int, b: TextTable, least: float) -> tuple[np.ndarray, np.ndarray]:

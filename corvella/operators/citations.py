@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvella.functions.similarity import TextTable, citation_year, prefix_key, similar_pairs
+from corvella.functions.similarity import TextTable, best_pairs, citation_year, prefix_key, similar_pairs
 from corvella.operators.cut import cut
+from corvella.operators.places import in_order
 
 
 def top_cited(links: DataFrame, citations: DataFrame, lookups: DataFrame, limit: int = 50, least: int = 2) -> DataFrame:
@@ -124,8 +125,12 @@ def _tile_pairs(new: DataFrame, known: DataFrame) -> DataFrame:
     return side(a, of_b, "t", "u", "new").join(side(b, of_a, "u", "t", "known"), ["block", "t", "u"])
 
 
-def _compare(least: float, best: bool):
-    """(id_new, id_known, score) of the pairs of two tiles that are similar enough: of each new text the best one, or of each those that stand before it."""
+#: What is asked for each new text: all known ones that stand before it, the best one, or the first one, known ones all standing before new ones.
+BEFORE, BEST, FIRST = "before", "best", "first"
+
+
+def _compare(least: float, ask: str):
+    """(id_new, id_known, score) of the pairs of two tiles that are similar enough, as asked for."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -135,26 +140,30 @@ def _compare(least: float, best: bool):
                 own, own_n = (np.array([x[c] for x in new], dtype=np.int64) for c in ("id", "n"))
                 before = lambda i, j: (n[j] > own_n[i]) | ((n[j] == own_n[i]) & (ids[j] < own[i]))  # noqa: B023, E731
                 other = lambda i, j: ids[j] != own_n[i]  # noqa: B023, E731
-                for i, j, score in similar_pairs(a, b, least, other if best else before):
-                    found = pd.DataFrame({"id_new": own[i], "id_known": ids[j], "score": score})
-                    if best:
+                pairs = best_pairs(a, b, least, other) if ask == BEST else similar_pairs(a, b, least, before)
+                for i, j, score in pairs:
+                    found = pd.DataFrame({"id_new": own[i], "id_known": ids[j], "score": score, "less": -n[j]})
+                    if ask == BEST:
                         found = found.sort_values(["id_new", "score", "id_known"], ascending=[True, False, True]).drop_duplicates("id_new")
+                    if ask == FIRST:
+                        found = found.sort_values(["id_new", "less", "id_known"]).drop_duplicates("id_new")
                     if len(found):
-                        yield found
+                        yield found[["id_new", "id_known", "score"]]
 
     return each
 
 
-def fuzzy_pairs(new: DataFrame, known: DataFrame, least: float = 0.9, best: bool = False) -> DataFrame:
+def fuzzy_pairs(new: DataFrame, known: DataFrame, least: float = 0.9, ask: str = BEFORE) -> DataFrame:
     """id_new, id_known, score of similar texts(id, text, n), lower-cased ones: those of one block that are similar enough.
 
     Blocks meet tile by tile: a row holds two arrays of about TILE texts, which are compared
-    by numpy, so no row is made for a pair that is not similar. With `best` each tile pair
-    gives the best known text of each new one; else the known ones that stand before it, by
-    larger n, then smaller id; with `best` n is the id that a new text must not match.
+    by numpy, so no row is made for a pair that is not similar. Asked for the BEST, each tile pair
+    gives the best known text of each new one, and n is the id that a new text must not match;
+    else known ones that stand before it, by larger n, then smaller id: all, or of each tile pair
+    the FIRST.
     """
     tiles = _tile_pairs(block_keys(new).select("block", "id", "text", "n"), canonical_keys(known).select("block", "id", "text", "n"))
-    return tiles.select("new", "known").mapInPandas(_compare(least, best), "id_new long, id_known long, score double")
+    return tiles.select("new", "known").mapInPandas(_compare(least, ask), "id_new long, id_known long, score double")
 
 
 def best_matches(new: DataFrame, known: DataFrame, least: float = 0.9) -> DataFrame:
@@ -174,24 +183,56 @@ def best_matches(new: DataFrame, known: DataFrame, least: float = 0.9) -> DataFr
     # n carries the id that is the text's own.
     zero = F.lit(0).cast("long")
     texts = rest.groupBy("text").agg(F.min("id").alias("id")).join(held, "text", "left").select("id", "text", F.coalesce("one", F.lit(-1).cast("long")).alias("n"))
-    found = fuzzy_pairs(texts, held.select(F.col("one").alias("id"), "text", zero.alias("n")), least, best=True)
+    found = fuzzy_pairs(texts, held.select(F.col("one").alias("id"), "text", zero.alias("n")), least, BEST)
     best = found.groupBy("id_new").agg(F.max_by("id_known", F.struct("score", -F.col("id_known"))).alias("id_known"), F.max("score").alias("score"))
     named = best.join(texts.select(F.col("id").alias("id_new"), "text"), "id_new").select("text", "id_known", "score")
     return own.unionByName(rest.join(named, "text").select(F.col("id").alias("id_new"), "id_known", "score"))
 
 
+#: Texts of the first batch, and how many times as many the batches before one come to in the next.
+BATCH, GROWTH = 4096, 4
+
+
 def cluster_first(texts: DataFrame, counts: DataFrame, least: float = 0.9, rounds: int = 50) -> DataFrame:
     """id, canonical: each text joins the first canonical before it that is similar enough, or is one itself.
 
     The order is document count, then id. Texts that are equal, lower-cased, go with the first
-    of them, which is as near to any canonical as they are. A text is canonical once all similar
-    texts before it are known not to be; it joins the first canonical among them. Each round
-    settles those that can be, so chains are as many rounds as they are long.
+    of them, which is as near to any canonical as they are. Texts are taken in batches of that
+    order: a batch meets the canonicals found before it, and only texts that resemble none of
+    them meet each other. So pairs of texts that both follow a canonical are not compared, and
+    what is compared grows with the texts times the canonicals of their blocks.
     """
     counted = texts.join(counts, texts["id"] == counts["citation_id"], "left").select("id", F.lower("text").alias("text"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    counted = cut(counted)
     first = counted.groupBy("text").agg(F.min(F.struct((-F.col("n")).alias("less"), F.col("id").alias("id"))).alias("at"))
-    order = cut(first.select(F.col("at.id").alias("id"), "text", (-F.col("at.less")).alias("n"), "at"))
-    pairs = fuzzy_pairs(order.filter(F.length("text") > 0), order.filter(F.length("text") > 0), least)
+    order = in_order(first.select(F.lit(0).alias("one"), "text", "at"), ["one"], ["at"])
+    order = order.select(F.col("at.id").alias("id"), "text", (-F.col("at.less")).alias("n"), "at", "rank")
+    total, done, heads = order.count(), 0, None
+    while heads is None or done < total:
+        upto = max(BATCH, GROWTH * done)
+        batch = order.filter((F.col("rank") >= done) & (F.col("rank") < upto))
+        joined = None
+        if heads is not None:
+            canonical = order.join(heads.filter("id = canonical").select("id"), "id", "left_semi")
+            met = fuzzy_pairs(batch.filter(F.length("text") > 0), canonical.filter(F.length("text") > 0), least, FIRST)
+            met = met.join(canonical.select(F.col("id").alias("id_known"), "at"), "id_known").groupBy(F.col("id_new").alias("id")).agg(F.min("at").alias("at"))
+            joined = cut(met.select("id", F.col("at.id").alias("canonical")))
+            batch = cut(batch.join(joined.select("id"), "id", "left_anti"))
+        fresh = _settled(batch, least, rounds)
+        done, heads = upto, cut(fresh if heads is None else heads.unionByName(joined).unionByName(fresh))
+    placed = order.join(heads, "id").select("text", "canonical")
+    return counted.select("id", "text").join(placed, "text").select("id", "canonical")
+
+
+def _settled(order: DataFrame, least: float, rounds: int) -> DataFrame:
+    """id, canonical of order(id, text, n, at), texts that meet each other.
+
+    A text is canonical once all similar texts before it are known not to be; it joins the first
+    canonical among them. Each round settles those that can be, so chains are as many rounds as
+    they are long.
+    """
+    some = order.filter(F.length("text") > 0)
+    pairs = fuzzy_pairs(some, some, least)
     before = cut(pairs.join(order.select(F.col("id").alias("id_known"), "at"), "id_known").select(F.col("id_new").alias("id"), F.col("id_known").alias("earlier"), "at").distinct())
     known = cut(order.select("id").join(before.select("id").distinct(), "id", "left_anti").withColumn("canonical", F.col("id")))
     for _ in range(rounds):
@@ -201,7 +242,6 @@ def cluster_first(texts: DataFrame, counts: DataFrame, least: float = 0.9, round
         # The first canonical counts once no undecided text stands before it.
         done = cut(judged.filter(F.col("open").isNull() | (F.col("found") < F.col("open"))).select("id", F.coalesce(F.col("found.id"), F.col("id")).alias("canonical")))
         if done.isEmpty():
-            heads = order.join(known, "id").select("text", "canonical")
-            return counted.select("id", "text").join(heads, "text").select("id", "canonical")
+            return known
         known = cut(known.unionByName(done))
     raise RuntimeError("clusters did not settle")
