@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 from corvella.operators.cut import stored, tidied
 
-#: Vectors of a block, and blocks that one of them meets at once.
-BLOCK, MEET = 1024, 8
+#: Vectors of a block, bundles of blocks that search together, and blocks that a bundle meets at once. A block is sent once to each bundle, so what is sent grows with the vectors times BUNDLES.
+BLOCK, BUNDLES, MEET = 1024, 16, 64
+
+#: Distances that are held at once, about.
+HELD = 1 << 22
 
 #: Pivots come to the driver: one for each PER_PIVOT vectors, MOST_PIVOTS at most.
 PER_PIVOT, MOST_PIVOTS = 512, 256
@@ -119,18 +122,26 @@ def _exact(row: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def _search(k: int, room: float):
-    """The k edges of least weight of each searching point of the one left block, within its bound, to points of other groups in the right blocks."""
+    """The k edges of least weight of each searching point of the left blocks, within its bound, to points of other groups in those of the right blocks that name its block or none."""
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        a = left.iloc[0]
+        out = []
+        for a in left.to_dict("records"):
+            mine = right[[a["block"] in x for x in right["lefts"]]] if "lefts" in right else right
+            if len(mine):
+                out += one(a, mine)
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "weight": []})
+
+    def one(a: dict, right: pd.DataFrame) -> list[pd.DataFrame]:
         ids, groups, cores, bounds = (np.frombuffer(a[c], t) for c, t in (("ids", np.int64), ("groups", np.int64), ("cores", float), ("bounds", float)))
         rows = np.frombuffer(a["rows"]).reshape(len(ids), -1)
         held = [np.concatenate([np.frombuffer(x, t) for x in right[c]]) for c, t in (("ids", np.int64), ("groups", np.int64), ("cores", float), ("rows", float))]
         other, of, core = held[:3]
         vectors = held[3].reshape(len(other), -1)
         out = []
-        for start in range(0, len(ids), 128):
-            now = np.arange(start, min(start + 128, len(ids)))
+        step = max(1, min(128, HELD // len(other)))
+        for start in range(0, len(ids), step):
+            now = np.arange(start, min(start + step, len(ids)))
             now = now[~np.isnan(bounds[now])]
             if not len(now):
                 continue
@@ -148,7 +159,7 @@ def _search(k: int, room: float):
                 low, high = np.minimum(ids[i], other[at]), np.maximum(ids[i], other[at])
                 first = np.lexsort((high, low, weight))[:k]
                 out.append(pd.DataFrame({"id": ids[i], "other": other[at[first]], "weight": weight[first]}))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "weight": []})
+        return out
 
     return lambda left, right: search(left, right) if len(left) and len(right) else pd.DataFrame({"id": [], "other": [], "weight": []})
 
@@ -185,12 +196,17 @@ def nearest(blocks: Blocks, known: DataFrame, k: int) -> DataFrame:
     sides = packed.filter("wanting").select("block", "bound", F.posexplode(F.arrays_zip("near", "far")).alias("pivot", "x")).select("block", "bound", "pivot", "x.near", "x.far")
     least = F.greatest(F.col("near") - F.col("hi"), F.col("lo") - F.col("far"), F.lit(0.0))
     pairs = sides.join(blocks.spans(), "pivot").filter((F.col("block") != F.col("other")) & (least <= F.col("bound") + blocks.room))
-    pairs = stored(pairs.select("block", "other", F.pmod(F.xxhash64("other"), F.lit(1 << 20)).alias("h")))
-    tally = pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / MEET).alias("parts"))
-    pairs = pairs.join(tally, "block").select("block", "other", F.pmod(F.col("h"), F.col("parts")).alias("part"))
-    left = packed.select("block", "ids", "rows", "groups", "cores", "bounds").join(pairs.select("block", "part").distinct(), "block")
-    right = packed.select(F.col("block").alias("other"), "ids", "rows", "groups", "cores").join(pairs, "other")
-    far = left.groupBy("block", "part").cogroup(_fresh(right).groupBy("block", "part")).applyInPandas(_search(k, blocks.room), FOUND)
+    # The blocks of a pivot, or of some pivots, search together.
+    bundle = F.floor(F.col("pivot") * BUNDLES / len(blocks.pivots)).cast("int")
+    home = _fresh(packed.select("block", bundle.alias("bundle")))
+    pairs = pairs.select("block", "other").join(home, "block")
+    met = stored(pairs.groupBy("bundle", "other").agg(F.collect_list("block").alias("lefts")))
+    tally = met.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / MEET).alias("parts"))
+    met = met.join(tally, "bundle").withColumn("part", F.pmod(F.xxhash64("other"), F.col("parts")))
+    of = met.select("bundle", "part", F.explode("lefts").alias("block")).distinct()
+    left = packed.select("block", "ids", "rows", "groups", "cores", "bounds").join(of, "block")
+    right = packed.select(F.col("block").alias("other"), "ids", "rows", "groups", "cores").join(met.select("other", "bundle", "part", "lefts"), "other")
+    far = left.groupBy("bundle", "part").cogroup(_fresh(right).groupBy("bundle", "part")).applyInPandas(_search(k, blocks.room), FOUND)
     return stored(_best(own.select("id", "other", "weight").unionByName(far), k))
 
 
