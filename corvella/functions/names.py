@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -53,6 +54,11 @@ def ascii_key(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 
+#: Names recur from document to document; so many are remembered by each worker.
+REMEMBERED = 1 << 17
+
+
+@lru_cache(REMEMBERED)
 def fold(name: str | None) -> str | None:
     if name is None:
         return None
@@ -65,6 +71,7 @@ def folded_key(names: pd.Series) -> pd.Series:
     return names.map(fold, na_action="ignore")
 
 
+@lru_cache(REMEMBERED)
 def without_initials(key: str) -> str:
     parts = key.split(" ")
     return " ".join(p for i, p in enumerate(parts) if i in (0, len(parts) - 1) or len(p) > 1)
@@ -75,18 +82,20 @@ def compatible(a: str, b: str) -> bool:
     if a == b:
         return True
     inner = lambda k: any(len(p) == 1 for p in k.split(" ")[1:-1])
-    return not (inner(a) and inner(b)) and without_initials(a) == without_initials(b)
+    return without_initials(a) == without_initials(b) and not (inner(a) and inner(b))
+
+
+FORMS = dict(NAME_FORMS)
 
 
 def merge_names(names: list[str]) -> list[str]:
     """Normalised names, one for each person, in order of appearance; the form with more parts stays."""
-    forms = dict(NAME_FORMS)
     kept: list[str] = []
     for name in names:
         key = fold(name)
         if not key:
             continue
-        name = forms.get(key) or forms.get(without_initials(key)) or name
+        name = FORMS.get(key) or FORMS.get(without_initials(key)) or name
         key = fold(name) or ""
         at = next((i for i, k in enumerate(kept) if compatible(key, fold(k) or "")), None)
         if at is None:

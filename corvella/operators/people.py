@@ -17,7 +17,9 @@ def named(committee: DataFrame, key=ascii_key) -> DataFrame:
 
 def person_list(committee: DataFrame, docs: DataFrame) -> DataFrame:
     """key, name, roles, affiliations, doc_count, first_year, last_year: one row a person."""
-    rows = named(committee).join(docs.select("doc_id", "year"), "doc_id")
+    # A name recurs in many documents: each is brought into form once.
+    forms = named(committee.select(F.col("name").alias("raw"), "name").distinct()).select("raw", "name", "key")
+    rows = committee.withColumnRenamed("name", "raw").join(forms, "raw").join(docs.select("doc_id", "year"), "doc_id")
     return rows.groupBy("key").agg(
         F.min("name").alias("name"),
         F.array_join(F.array_sort(F.collect_set(F.coalesce("role", F.lit("Committee Member")))), "; ").alias("roles"),
