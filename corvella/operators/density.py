@@ -48,18 +48,20 @@ class SpanningTree:
         self.rounds: list[DataFrame] = []
         while True:
             crossing = self._crossing(edges, comps)
-            light = self._lightest(crossing)
-            best = comps.join(light.select("comp", F.col("w").alias("best")), "comp", "left").join(self.cores, "id")
-            unsure = best.filter(F.col("horizon") <= F.coalesce("best", F.lit(float("inf"))))
-            if blocks.n > 1 and unsure.limit(1).count():
-                # Also where no list leaves the component; a lone component finds nothing.
-                bound = F.when(F.col("horizon") <= F.coalesce("best", F.lit(float("inf"))), F.coalesce("best", F.lit(float("inf"))))
-                if comps.select("comp").distinct().limit(2).count() > 1:
-                    found = nearest(blocks, best.select("id", F.col("comp").alias("group"), "core", bound.alias("bound")), 1)
+            light = stored(self._lightest(crossing))
+            best = stored(comps.join(light.select("comp", F.col("w").alias("best")), "comp", "left").join(self.cores, "id"))
+            # An edge that is in neither end's list is beyond both horizons, so the least one outside of a component counts too.
+            low = best.groupBy("comp").agg(F.min("horizon").alias("low")).orderBy("low", "comp").limit(2).collect()
+            if len(low) > 1:
+                outside = F.when(F.col("comp") == low[0]["comp"], low[1]["low"]).otherwise(low[0]["low"])
+                most = F.coalesce("best", F.lit(float("inf")))
+                unsure = F.greatest("horizon", outside) <= most
+                if best.filter(unsure).limit(1).count():
+                    # Also where no list leaves the component.
+                    found = nearest(blocks, best.select("id", F.col("comp").alias("group"), "core", F.when(unsure, most).alias("bound")), 1)
                     more = found.select(F.col("weight").alias("w"), F.least("id", "other").alias("lo"), F.greatest("id", "other").alias("hi"))
                     edges = stored(edges.unionByName(more).distinct())
-                    light = self._lightest(self._crossing(edges, comps))
-            light = stored(light)
+                    light = stored(self._lightest(self._crossing(edges, comps)))
             # Two components that chose the same edge hold on to the smaller; all others to the one chosen.
             chosen = light.select("comp", *EDGE, "to")
             back = chosen.select(F.col("comp").alias("to"), F.col("to").alias("comp"), F.lit(True).alias("mutual"))
@@ -176,23 +178,44 @@ def _chosen(found: DataFrame) -> DataFrame:
     """(of, label) of clusters (of, parent, size, stability): label is the chosen cluster that a cluster is part of or null.
 
     From the leaves up a cluster is kept if it is at least as stable as the best of its parts;
-    from the root down the first that is kept is chosen, the root itself never. Rounds are as
-    many as clusters are nested.
+    from the root down the first that is kept is chosen, the root itself never. Rounds are the
+    logarithm of the number of clusters, however deep they are nested.
     """
-    inner = found.filter("parent IS NOT NULL").select(F.col("parent").alias("of")).distinct()
-    scored = stored(found.join(inner, "of", "left_anti").select("of", "parent", F.col("stability").alias("score"), F.lit(True).alias("kept")))
-    done = scored
-    while True:
-        # A cluster has two parts or none: it is next once both have a score.
-        ready = done.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("of")).agg(F.count(F.lit(1)).alias("c"), F.sum("score").alias("parts")).filter("c = 2")
-        fresh = stored(found.join(ready, "of").join(done.select("of"), "of", "left_anti").select("of", "parent", F.greatest("stability", "parts").alias("score"), (F.col("stability") >= F.col("parts")).alias("kept")))
-        if not fresh.limit(1).count():
-            break
-        done = stored(done.unionByName(fresh))
-    at = stored(done.filter("parent IS NULL").select("of", F.lit(None).cast(found.schema["of"].dataType).alias("label")))
-    out = at
-    while True:
-        at = stored(done.join(at.select(F.col("of").alias("parent"), F.col("label").alias("over")), "parent").select("of", F.coalesce("over", F.when(F.col("kept"), F.col("of"))).alias("label")))
-        if not at.limit(1).count():
-            return stored(out)
-        out = stored(out.unionByName(at))
+    scores = _scores(found)
+    parts = scores.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("of")).agg(F.sum("score").alias("parts"))
+    kept = F.coalesce(F.col("stability") >= F.col("parts"), F.lit(True))
+    # label is the highest that is kept from a cluster up to, but without, the one at `up`.
+    at = stored(scores.join(parts, "of", "left").select("of", F.col("parent").alias("up"), F.when(F.col("parent").isNotNull() & kept, F.col("of")).alias("label")))
+    while at.filter("up IS NOT NULL").limit(1).count():
+        over = at.select(F.col("of").alias("up"), F.col("up").alias("next"), F.col("label").alias("over"))
+        at = stored(at.join(over, "up", "left").select("of", F.col("next").alias("up"), F.coalesce("over", "label").alias("label")))
+    return at.select("of", "label")
+
+
+def _scores(found: DataFrame) -> DataFrame:
+    """(of, parent, stability, score) of clusters with two parts or none: score is the stability or the sum of the parts' scores, whichever is greater.
+
+    Once one part has its score, a cluster's is greatest(least, more + that of the other part,
+    rest). Where rest is of this kind too the two are joined into one, so a chain of any
+    length is halved in each round; where rest has a score the cluster has.
+    """
+    kind = found.schema["of"].dataType
+    inner = found.filter("parent IS NOT NULL").select(F.col("parent").alias("of")).distinct().withColumn("inner", F.lit(True))
+    at = found.join(inner, "of", "left").select("of", "parent", "stability", F.when(F.col("inner").isNull(), F.col("stability")).alias("score"))
+    at = stored(at.withColumns({"least": F.lit(None).cast("double"), "more": F.lit(None).cast("double"), "rest": F.lit(None).cast(kind)}))
+    while at.filter("score IS NULL").limit(1).count():
+        parts = at.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("of")).agg(F.count("score").alias("known"), F.sum("score").alias("parts"), F.max(F.when(F.col("score").isNull(), F.col("of"))).alias("other"))
+        below = at.select(F.col("of").alias("rest"), F.col("score").alias("s"), F.col("least").alias("l"), F.col("more").alias("m"), F.col("rest").alias("r"))
+        chained, fresh, joined = F.col("rest").isNotNull(), F.col("rest").isNull() & (F.col("known") == 1), F.col("r").isNotNull()
+        score = F.coalesce("score", F.when(chained, F.when(F.col("s").isNotNull(), F.greatest("least", F.col("more") + F.col("s")))).when(F.col("known") == 2, F.greatest("stability", "parts")))
+        at = at.join(parts, "of", "left").join(below, "rest", "left").select(
+            "of",
+            "parent",
+            "stability",
+            score.alias("score"),
+            F.when(fresh, F.col("stability")).when(joined, F.greatest("least", F.col("more") + F.col("l"))).otherwise(F.col("least")).alias("least"),
+            F.when(fresh, F.col("parts")).when(joined, F.col("more") + F.col("m")).otherwise(F.col("more")).alias("more"),
+            F.when(fresh, F.col("other")).when(joined, F.col("r")).otherwise(F.col("rest")).alias("rest"),
+        )
+        at = stored(at)
+    return at.select("of", "parent", "stability", "score")

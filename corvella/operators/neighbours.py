@@ -71,6 +71,7 @@ class Blocks:
         parts = rung.groupBy("pivot", "ring").agg(F.ceil(F.count(F.lit(1)) / (2 * block)).alias("parts"))
         part = F.pmod(F.xxhash64("id"), F.col("parts"))
         self.dealt = stored(rung.join(parts, ["pivot", "ring"]).select("id", "vec", "pivot", F.concat_ws("-", F.col("pivot").cast("string"), F.col("ring").cast("string"), part.cast("string")).alias("block")))
+        self.spans = self._spans()
 
     def pack(self, known: DataFrame) -> DataFrame:
         """One row a block; known(id, group, core, bound): points of one group are not neighbours, core is the least weight of a point's edges, and those with a bound search for something nearer."""
@@ -99,7 +100,7 @@ class Blocks:
 
         return stored(self.dealt.join(known, "id").groupBy("block").applyInPandas(packed, PACKED))
 
-    def spans(self) -> DataFrame:
+    def _spans(self) -> DataFrame:
         """(pivot, other, lo, hi): how far a block's vectors are from their pivot. One row a block."""
         pivots = self.pivots
 
@@ -195,7 +196,7 @@ def nearest(blocks: Blocks, known: DataFrame, k: int) -> DataFrame:
     # Narrow rows, one a block and pivot, meet the blocks of that pivot.
     sides = packed.filter("wanting").select("block", "bound", F.posexplode(F.arrays_zip("near", "far")).alias("pivot", "x")).select("block", "bound", "pivot", "x.near", "x.far")
     least = F.greatest(F.col("near") - F.col("hi"), F.col("lo") - F.col("far"), F.lit(0.0))
-    pairs = sides.join(blocks.spans(), "pivot").filter((F.col("block") != F.col("other")) & (least <= F.col("bound") + blocks.room))
+    pairs = sides.join(blocks.spans, "pivot").filter((F.col("block") != F.col("other")) & (least <= F.col("bound") + blocks.room))
     # The blocks of a pivot, or of some pivots, search together.
     bundle = F.floor(F.col("pivot") * BUNDLES / len(blocks.pivots)).cast("int")
     home = _fresh(packed.select("block", bundle.alias("bundle")))

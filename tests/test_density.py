@@ -127,6 +127,50 @@ def test_clusters_equal_slow_version(spark, n, dim, min_samples, least):
     assert all((r.strength == 0) == (r.cluster == -1) and 0 <= r.strength <= 1 for r in got.values())
 
 
+def slow_chosen(rows):
+    """From the leaves up, then from the root down, one cluster at a time."""
+    stable, parent, parts, order = {r[0]: r[3] for r in rows}, {r[0]: r[1] for r in rows}, {}, [None]
+    for of, up in parent.items():
+        parts.setdefault(up, []).append(of)
+    for x in order:
+        order += parts.get(x, [])
+    score, kept, label = {}, {}, {None: None}
+    for x in reversed(order[1:]):
+        inner = sum(score[k] for k in parts[x]) if x in parts else stable[x]
+        kept[x], score[x] = stable[x] >= inner, max(stable[x], inner)
+    for x in order[1:]:
+        up = parent[x]
+        label[x] = None if up is None else label[up] if label[up] is not None else x if kept[x] else None
+    return {x: label[x] for x in order[1:]}
+
+
+@pytest.mark.parametrize("nested", ["chain", "bush"])
+def test_chosen_clusters_of_deep_nesting(spark, nested, monkeypatch):
+    """Clusters nested 200 deep take few rounds, and the same ones are chosen as one by one."""
+    rng = np.random.default_rng(7)
+    rows, leaves = [(0, None, 1, 3.0)], [0]
+    for _ in range(200):
+        up = leaves.pop(-1 if nested == "chain" else -rng.integers(1, min(3, len(leaves)) + 1))
+        for _ in range(2):
+            rows.append((len(rows), up, 1, float(rng.integers(1, 8 if nested == "bush" else 200))))
+            leaves.append(len(rows) - 1)
+    written, stored = [], density.stored
+    monkeypatch.setattr(density, "stored", lambda x: written.append(1) or stored(x))
+    got = density._chosen(spark.createDataFrame(rows, "of long, parent long, size long, stability double").repartition(3))
+    assert {r.of: r.label for r in got.collect()} == slow_chosen(rows)
+    assert len(written) < 40 and len(set(slow_chosen(rows).values())) > 20
+
+
+def test_no_search_where_lists_are_sure(spark, monkeypatch):
+    """A large group and lone points far from it: what leaves the group stands in the lone points' lists, so nothing is searched."""
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.normal(0, 1, (60, 3)), 30 * np.array([(1, 0, 0), (0, 1, 0), (0, 0, 1), (-1, 0, 0)])])
+    searched, nearest_edges = [], density.nearest
+    monkeypatch.setattr(density, "nearest", lambda *a: searched.append(1) or nearest_edges(*a))
+    tree = density.SpanningTree(frame(spark, points), k=8)
+    assert sorted((r.w, r.lo, r.hi) for r in tree.edges().collect()) == sorted(spanning(points)) and not searched
+
+
 def test_tree_is_exact_where_lists_are_short(spark, monkeypatch):
     """Two far groups larger than the neighbour lists: their bridge is found by search."""
     monkeypatch.setattr(neighbours, "PER_PIVOT", 20)
