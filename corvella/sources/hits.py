@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from corvella.functions.names import merged_names, person_name
-from corvella.functions.text import estimated_pages, first_present, flat_text, methodologies, page_count, word_count, year_in
+from corvella.functions.text import estimated_pages, first_present, flat_text, methodologies, page_count, year_in
 from corvella.operators.phrases import document_concepts
 from corvella.operators.records import UNSPECIFIED, addresses
 
@@ -50,14 +50,13 @@ def hits(payloads: DataFrame, column: str = "payload") -> DataFrame:
     return one.select(inner.alias("record"), F.get_json_object("hit", "$._index").alias("index"), F.coalesce(F.get_json_object("hit", "$._id"), F.get_json_object("hit", "$._source.id")).alias("hit_id"))
 
 
-def field(record: Column, names: tuple[str, ...]) -> Column:
-    """A variant record's field, as a variant: under the first of its names that is neither absent, null nor ''; an empty list counts as a value."""
+def field(values: Column, names: tuple[str, ...]) -> Column:
+    """A record's field, as a variant, from the map of its values: under the first of its names that is neither absent, null nor ''; an empty list counts as a value."""
 
-    def some(name: str) -> Column:
-        x = F.variant_get(record, f"$.{name}", "variant")
-        return F.when(~F.is_variant_null(x) & (F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("?")) != ""), x)
-
-    return F.coalesce(*[some(n) for n in names])
+    # Over an array of names, as code for each name apart grows too long to be compiled.
+    found = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.try_element_at(values, n))
+    some = F.filter(found, lambda x: x.isNotNull() & ~F.is_variant_null(x) & (F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("?")) != ""))
+    return F.get(some, F.lit(0))
 
 
 def listed(value: Column) -> Column:
@@ -83,8 +82,9 @@ def records(found: DataFrame, items: str | None = None, dictionary: DataFrame |
     n_docs documents for concept_terms, which are empty without it. Records that are no JSON
     objects give empty fields.
     """
-    parsed = found.select("hit_id", F.try_parse_json("record").alias("v"))
-    fields = parsed.select("hit_id", *[field(F.col("v"), names).alias(k) for k, names in FIELDS.items()], F.array(*[F.variant_get("v", f"$.{n}", "variant") for n in ADDRESS_FIELDS]).alias("places"))
+    # A look into a variant goes over its names as text, one into a map compares bytes: records are opened once for all names.
+    parsed = found.select("hit_id", F.try_variant_get(F.try_parse_json("record"), "$", "map<string,variant>").alias("v"))
+    fields = parsed.select("hit_id", *[field(F.col("v"), names).alias(k) for k, names in FIELDS.items()], F.array(*[F.try_element_at("v", F.lit(n)) for n in ADDRESS_FIELDS]).alias("places"))
     own = F.coalesce(F.nullif(flat_text(listed(F.col("raw_id"))), F.lit("")), "hit_id", F.lit(""))
     lists = {k: listed(F.col(k)) for k in ("creators", "supervisors", "affiliation", "subjects", "program", "degree", "genre", "extent")}
     texts = {k: flat_text(listed(F.col(k))) for k in ("title", "description", "full_text", "uri", "rights", "doi", "original_record", "campus", "scholarly_level")}
@@ -92,8 +92,11 @@ def records(found: DataFrame, items: str | None = None, dictionary: DataFrame |
     near = addresses(F.flatten(F.transform("places", listed)))
     if items is not None:
         near = F.when(F.col("raw_id") == "", near).otherwise(F.array_distinct(F.concat(near, F.array(F.concat(F.lit(items), F.url_encode("raw_id"))))))
-    flat = flat.withColumn("download_candidates", near).withColumn("plain", F.trim(F.regexp_replace(first_present(F.col("full_text"), F.col("description"), F.lit(" ")), r"\s+", " ")))
-    flat = flat.withColumn("word_count", word_count(F.col("plain")))
+    # Flat texts have single blanks only, so words are what blanks part, and no long text goes further than here.
+    plain = F.col("plain")
+    words = F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1).cast("long")
+    flat = flat.withColumn("download_candidates", near).withColumn("plain", F.coalesce(first_present(F.col("full_text"), F.col("description")), F.lit("")))
+    flat = flat.withColumns({"word_count": words, "char_count": F.length(plain).cast("long")}).drop("plain", "full_text")
     pages = page_count(F.col("extent"))
     first = F.coalesce(F.get("creators", F.lit(0)), F.lit(""))
     by_address = F.get(F.array_compact(F.transform("download_candidates", lambda x: stable_id(x))), F.lit(0))
@@ -123,7 +126,7 @@ def records(found: DataFrame, items: str | None = None, dictionary: DataFrame |
         F.when(F.size("subjects") > 0, F.col("subjects")).otherwise(F.array(F.lit(UNSPECIFIED))).alias("subjects"),
         "word_count",
         F.lit("metadata_text").alias("word_source"),
-        F.length("plain").cast("long").alias("char_count"),
+        "char_count",
         none.alias("themes"),
         methodologies(F.concat_ws(" ", "title", "description", F.array_join("subjects", " "))).alias("methodologies"),
         none.alias("concept_terms"),

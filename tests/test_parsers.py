@@ -227,3 +227,14 @@ def test_concepts_of_records(spark):
 def test_hits_elsewhere(spark):
     rows = spark.createDataFrame([('{"results": [{"doc": {"id": "x"}}, {"id": "y"}]}',), ("not json",), (None,)], "payload string")
     assert sorted(r.record for r in H.hits(rows).collect()) == ['{"id":"x"}', '{"id":"y"}']
+
+
+def test_records_open_each_record_once(spark):
+    """Fields come out of one map of the record, not by a look-up of each name in the variant; long texts end at their counts."""
+    found = spark.createDataFrame([('{"id": "1", "Title": "A  b", "full_text": " one \\n two\\u00a0three ", "subject": null, "keywords": ["k"]}', None), ("[1]", None)], "record string, hit_id string")
+    out = H.records(found)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("variant_get") + plan.count("variantget") < 150
+    rows = {r.title: r for r in out.collect()}
+    assert (rows["A b"].word_count, rows["A b"].char_count, rows["A b"].subjects) == (3, 13, ["k"])
+    assert (rows[""].word_count, rows[""].char_count, rows[""].author) == (0, 0, "Unknown")
