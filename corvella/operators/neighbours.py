@@ -20,8 +20,8 @@ from corvella.operators.cut import stored, tidied
 #: Vectors of a block, bundles of blocks that search together, and blocks that a bundle meets at once. A block is sent once to each bundle, so what is sent grows with the vectors times BUNDLES.
 BLOCK, BUNDLES, MEET = 1024, 16, 64
 
-#: Distances that are held at once, about.
-HELD = 1 << 22
+#: Numbers that are held at once, about, and the tile of a product: small enough to stay in a core's cache.
+HELD, ROWS, WIDE = 1 << 22, 256, 1024
 
 #: Pivots come to the driver: one for each PER_PIVOT vectors, MOST_PIVOTS at most.
 PER_PIVOT, MOST_PIVOTS = 512, 256
@@ -117,9 +117,62 @@ def _distances(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, d2))
 
 
-def _exact(row: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Distances of one point as every block computes them, rounded."""
-    return np.round(np.sqrt(((others - row) ** 2).sum(axis=1)), PLACES)
+def _exact(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Distances of points as every block computes them, rounded."""
+    return np.round(np.sqrt(((others - rows) ** 2).sum(axis=1)), PLACES)
+
+
+class _Best:
+    """The k edges of least weight of some points, out of candidates that come in turn; what is sure to be beyond them is dropped as they come."""
+
+    def __init__(self, k: int, room: float, rows: np.ndarray, ids: np.ndarray, cores: np.ndarray, bounds: np.ndarray, vectors: np.ndarray, other: np.ndarray, core: np.ndarray):
+        self.k, self.room, self.rows, self.ids, self.cores, self.bounds = k, room, rows, ids, cores, bounds
+        self.vectors, self.other, self.core = vectors, other, core
+        self.square = (rows * rows).sum(axis=1)
+        # With room for rounding; what is left is measured again.
+        self.limit = bounds + 2 * room
+        self.i, self.j, self.loose = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def asked(self) -> np.ndarray:
+        return (self.square - self.limit * self.limit) / 2
+
+    def add(self, i: np.ndarray, j: np.ndarray, products: np.ndarray) -> None:
+        away = np.sqrt(np.maximum(0, self.square[i] - 2 * products)) - self.room
+        loose = np.maximum(np.maximum(away, self.cores[i]), self.core[j])
+        fine = loose <= self.bounds[i] + self.room
+        self.i, self.j, self.loose = (np.concatenate([x, y[fine]]) for x, y in ((self.i, i), (self.j, j), (self.loose, loose)))
+        if np.bincount(self.i, minlength=1).max() > 4 * self.k:
+            self._keep(np.lexsort((self.loose, self.i)))
+            first = np.searchsorted(self.i, np.arange(len(self.ids)))
+            have = np.bincount(self.i, minlength=len(self.ids)) >= self.k
+            least = np.full(len(self.ids), np.inf)
+            least[have] = self.loose[first[have] + self.k - 1]
+            self._keep(self.loose <= least[self.i] + 4 * self.room)
+            self.limit = np.minimum(self.limit, least + 5 * self.room)
+            if len(self.i) > 8 * self.k * len(self.ids):
+                # Many at one distance: their ids decide.
+                self._settle()
+
+    def _keep(self, at: np.ndarray) -> None:
+        self.i, self.j, self.loose = self.i[at], self.j[at], self.loose[at]
+
+    def _settle(self) -> np.ndarray:
+        """The weights of the k best of each point, which alone are kept."""
+        i, j = self.i, self.j
+        step = max(1, HELD // max(1, self.rows.shape[1]))
+        away = [_exact(self.rows[i[n : n + step]], self.vectors[j[n : n + step]]) for n in range(0, len(i), step)]
+        weight = np.maximum(np.maximum(np.concatenate([np.zeros(0), *away]), self.cores[i]), self.core[j])
+        low, high = np.minimum(self.ids[i], self.other[j]), np.maximum(self.ids[i], self.other[j])
+        order = np.lexsort((high, low, weight, i))
+        order = order[weight[order] <= self.bounds[i[order]]]
+        placed = i[order]
+        at = order[np.arange(len(order)) - np.searchsorted(placed, placed) < self.k]
+        self._keep(at)
+        return weight[at]
+
+    def found(self) -> pd.DataFrame:
+        weight = self._settle()
+        return pd.DataFrame({"id": self.ids[self.i], "other": self.other[self.j], "weight": weight})
 
 
 def _search(k: int, room: float):
@@ -139,27 +192,28 @@ def _search(k: int, room: float):
         held = [np.concatenate([np.frombuffer(x, t) for x in right[c]]) for c, t in (("ids", np.int64), ("groups", np.int64), ("cores", float), ("rows", float))]
         other, of, core = held[:3]
         vectors = held[3].reshape(len(other), -1)
+        half = (vectors * vectors).sum(axis=1) / 2
+        wanting = np.flatnonzero(~np.isnan(bounds))
         out = []
-        step = max(1, min(128, HELD // len(other)))
-        for start in range(0, len(ids), step):
-            now = np.arange(start, min(start + step, len(ids)))
-            now = now[~np.isnan(bounds[now])]
-            if not len(now):
-                continue
-            # With room for rounding; what is left is measured again.
-            loose = np.maximum(np.maximum(_distances(rows[now], vectors) - room, cores[now, None]), core[None, :])
-            loose[of[None, :] == groups[now, None]] = np.inf
-            for j, i in enumerate(now):
-                at = np.flatnonzero((loose[j] <= bounds[i] + room) & np.isfinite(loose[j]))
-                if len(at) > 4 * k:
-                    least = np.partition(loose[j, at], k - 1)[k - 1]
-                    at = at[loose[j, at] <= least + 4 * room]
-                weight = np.maximum(np.maximum(_exact(rows[i], vectors[at]), cores[i]), core[at])
-                fine = weight <= bounds[i]
-                at, weight = at[fine], weight[fine]
-                low, high = np.minimum(ids[i], other[at]), np.maximum(ids[i], other[at])
-                first = np.lexsort((high, low, weight))[:k]
-                out.append(pd.DataFrame({"id": ids[i], "other": other[at[first]], "weight": weight[first]}))
+        for start in range(0, len(wanting), ROWS):
+            now = wanting[start : start + ROWS]
+            best = _Best(k, room, rows[now], ids[now], cores[now], bounds[now], vectors, other, core)
+            mine = groups[now]
+            apart = mine[:, None]
+            for left in range(0, len(other), WIDE):
+                part = slice(left, left + WIDE)
+                # A distance is within a limit if the product less half the other's square is beyond what the limit asks.
+                products = best.rows @ vectors[part].T
+                products -= half[part]
+                near = products >= best.asked()[:, None]
+                if np.count_nonzero(near) > near.size // 64:
+                    near &= of[part] != apart
+                i, j = np.nonzero(near)
+                fine = of[j + left] != mine[i]
+                i, j = i[fine], j[fine]
+                if len(i):
+                    best.add(i, j + left, products[i, j])
+            out.append(best.found())
         return out
 
     return lambda left, right: search(left, right) if len(left) and len(right) else pd.DataFrame({"id": [], "other": [], "weight": []})
